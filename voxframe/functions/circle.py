@@ -1,7 +1,7 @@
 """Closed-form area and arc length of a disc inside an axis-parallel rectangle.
 
 Everything is expressed for the unit disc and scaled by r² (area) or r (arc).
-``quadrant_*`` is the part of the disc left of ``a`` and below ``b``; a rectangle
+A quadrant is the part of the disc left of ``a`` and below ``b``; a rectangle
 is the alternating sum of its four corners.  Pure column arithmetic, so the
 expressions stay inside whole-stage code generation.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .rounding import clip
 
@@ -25,34 +25,39 @@ def _strip_arc(t: Column) -> Column:
     return 2 * F.asin(t) + F.lit(math.pi)
 
 
-def _by_corner(a: Column, b: Column, inside: Column, both: Column, left: Column, below: Column) -> Column:
+def _quadrant(a: Column, b: Column, pa: Column, pb: Column, whole: float, inside: Column) -> Column:
+    """Part of the disc left of ``a`` and below ``b`` from the strip values ``pa`` and ``pb``."""
     return (F.when(a * a + b * b < 1, inside)
-            .when((a >= 0) & (b >= 0), both)
-            .when((a < 0) & (b >= 0), left)
-            .when((a >= 0) & (b < 0), below)
+            .when((a >= 0) & (b >= 0), pa + pb - F.lit(whole))
+            .when(b >= 0, pa)
+            .when(a >= 0, pb)
             .otherwise(F.lit(0.0)))
 
 
-def quadrant_area(a: Column, b: Column) -> Column:
-    sa, sb = _strip_area(a), _strip_area(b)
-    return _by_corner(a, b, (sa + sb) / 2 + a * b - F.lit(math.pi / 4), sa + sb - F.lit(math.pi), sa, sb)
+def add_overlap(df: DataFrame, cx: Column, cy: Column, r: Column, box: list[Column],
+                area: str = "area", arc: str = "arc") -> DataFrame:
+    """Add the area and arc length of the disc inside the box ``[x0, x1, y0, y1]``.
 
+    The scaled edges and their strip values are columns of their own, so that each
+    is computed once and the generated code stays small.
+    """
+    edges = {f"_{n}": clip((edge - centre) / r, -1.0, 1.0)
+             for n, edge, centre in zip(("u0", "u1", "v0", "v1"), box, (cx, cx, cy, cy))}
+    df = df.withColumns(edges)
+    df = df.withColumns({**{f"_s{n}": _strip_area(F.col(n)) for n in edges}, **{f"_c{n}": _strip_arc(F.col(n)) for n in edges}})
 
-def quadrant_arc(a: Column, b: Column) -> Column:
-    ca, cb = _strip_arc(a), _strip_arc(b)
-    return _by_corner(a, b, (ca + cb) / 2 - F.lit(math.pi / 2), ca + cb - F.lit(2 * math.pi), ca, cb)
+    def area_of(a: str, b: str) -> Column:
+        sa, sb = F.col(f"_s{a}"), F.col(f"_s{b}")
+        inside = (sa + sb) / 2 + F.col(a) * F.col(b) - F.lit(math.pi / 4)
+        return _quadrant(F.col(a), F.col(b), sa, sb, math.pi, inside)
 
+    def arc_of(a: str, b: str) -> Column:
+        ca, cb = F.col(f"_c{a}"), F.col(f"_c{b}")
+        return _quadrant(F.col(a), F.col(b), ca, cb, 2 * math.pi, (ca + cb) / 2 - F.lit(math.pi / 2))
 
-def _rectangle(quadrant, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    total = quadrant(x1, y1) - quadrant(x0, y1) - quadrant(x1, y0) + quadrant(x0, y0)
-    return F.greatest(total, F.lit(0.0))
+    def rectangle(quadrant) -> Column:
+        total = quadrant("_u1", "_v1") - quadrant("_u0", "_v1") - quadrant("_u1", "_v0") + quadrant("_u0", "_v0")
+        return F.greatest(total, F.lit(0.0))
 
-
-def overlap_area(cx: Column, cy: Column, r: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    edges = [clip((edge - c) / r, -1.0, 1.0) for edge, c in ((x0, cx), (x1, cx), (y0, cy), (y1, cy))]
-    return _rectangle(quadrant_area, *edges) * r * r
-
-
-def overlap_arc(cx: Column, cy: Column, r: Column, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    edges = [clip((edge - c) / r, -1.0, 1.0) for edge, c in ((x0, cx), (x1, cx), (y0, cy), (y1, cy))]
-    return _rectangle(quadrant_arc, *edges) * r
+    df = df.withColumns({area: rectangle(area_of) * r * r, arc: rectangle(arc_of) * r})
+    return df.drop(*edges, *[f"_s{n}" for n in edges], *[f"_c{n}" for n in edges])

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.circle import GEOMETRY_TOLERANCE, overlap_arc, overlap_area
+from ..functions.circle import GEOMETRY_TOLERANCE, add_overlap
 from ..grid import Grid, attach_grid
 from .geometry import spacing
 
@@ -35,8 +35,7 @@ def circle_cell_overlap(circles: DataFrame, grid: Grid | DataFrame, radius: floa
 
     df = df.withColumn("i", F.explode(cell_range("cx", "sx", "g_nx"))).withColumn("j", F.explode(cell_range("cy", "sy", "g_ny")))
     box = [F.col("i") * F.col("sx"), (F.col("i") + 1) * F.col("sx"), F.col("j") * F.col("sy"), (F.col("j") + 1) * F.col("sy")]
-    df = df.withColumns({"area": overlap_area(F.col("cx"), F.col("cy"), r, *box),
-                         "arc": overlap_arc(F.col("cx"), F.col("cy"), r, *box)})
+    df = add_overlap(df, F.col("cx"), F.col("cy"), r, box)
     df = df.withColumns({c: F.when(F.col(c) > GEOMETRY_TOLERANCE, F.col(c)).otherwise(F.lit(0.0)) for c in ("area", "arc")})
     return df.where("area > 0 or arc > 0").select("volume_id", "point_id", "i", "j", "k", "area", "arc", "corner_case")
 

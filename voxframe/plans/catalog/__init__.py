@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-for _part in ("geometry_queries", "statistics_queries"):
+for _part in ("geometry_queries", "statistics_queries", "patch_queries"):
     import_module(f"{__name__}.{_part}")
 
 __all__ = ["REGISTRY", "Query"]

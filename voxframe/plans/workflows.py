@@ -68,3 +68,19 @@ def fibre_sv(circles: DataFrame, grid: Grid, radius: float) -> dict[str, DataFra
         "cells": cells_, "assignments": fibre.assignment_summary(assignments), "first_circles": fibre.debug_rows(assignments),
         "histogram": aggregate.histogram_fixed(cells_, ["volume_id"], "s_over_v", 0.0, 0.15, 0.0005),
         "counters": aggregate.range_counters(cells_, ["volume_id"], "s_over_v", 0.0, 0.15)}
+
+
+def merge_patches(patch_labels: DataFrame, patches: DataFrame, sizes: DataFrame, min_voxels: int = 10,
+                  min_share: float = 0.3, min_points: int = 10) -> dict[str, DataFrame]:
+    """Per-patch labels to one global label volume with its component map and low-point region."""
+    from ..operators import patches as p
+
+    matches = p.greedy_match(p.label_overlap(patch_labels, patches, min_voxels, min_share))
+    component_map = p.merge_patch_components(patch_labels, matches)
+    owned = p.owned_boxes(patches, sizes)
+    merged = p.to_global_labels(p.owned_labels(patch_labels, owned), component_map)
+    labels = merged.select(*KEY, F.col("global_component_id").alias("label"))
+    low = p.low_point_patches(patches, patch_labels, min_points)
+    low_region = p.owned_region(owned.join(low.select("volume_id", "patch_index"), ["volume_id", "patch_index"], "left_semi"))
+    return {"matches": matches, "component_map": component_map, "labels": labels, "mask": labels.select(*KEY),
+            "low_point_mask": low_region.select(*KEY)}
