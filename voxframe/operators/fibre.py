@@ -35,9 +35,13 @@ def circle_cell_overlap(circles: DataFrame, grid: Grid | DataFrame, radius: floa
 
     df = df.withColumn("i", F.explode(cell_range("cx", "sx", "g_nx"))).withColumn("j", F.explode(cell_range("cy", "sy", "g_ny")))
     box = [F.col("i") * F.col("sx"), (F.col("i") + 1) * F.col("sx"), F.col("j") * F.col("sy"), (F.col("j") + 1) * F.col("sy")]
+    # cells that the disc really enters: the nearest point of the cell is closer than r
+    gap = lambda low, high, c: F.greatest(low - c, c - high, F.lit(0.0))
+    dx, dy = gap(box[0], box[1], F.col("cx")), gap(box[2], box[3], F.col("cy"))
+    df = df.where(dx * dx + dy * dy < r * r)
     df = add_overlap(df, F.col("cx"), F.col("cy"), r, box)
     df = df.withColumns({c: F.when(F.col(c) > GEOMETRY_TOLERANCE, F.col(c)).otherwise(F.lit(0.0)) for c in ("area", "arc")})
-    return df.where("area > 0 or arc > 0").select("volume_id", "point_id", "i", "j", "k", "area", "arc", "corner_case")
+    return df.select("volume_id", "point_id", "i", "j", "k", "area", "arc", "corner_case")
 
 
 def sum_overlap(pairs: DataFrame) -> DataFrame:
@@ -59,8 +63,8 @@ def sv_map(cells: DataFrame, grid: Grid, radius: float, tolerance: float = GEOME
 def circle_assignments(circles: DataFrame, pairs: DataFrame, radius: float) -> DataFrame:
     """One row per circle with totals, fractions and flags; circles outside have zeros."""
     per_circle = pairs.groupBy("volume_id", "point_id").agg(
-        F.count("*").alias("n_cells"), F.sum("area").alias("area"), F.sum("arc").alias("arc"),
-        F.bool_or("corner_case").alias("corner_case"))
+        F.count_if((F.col("area") > 0) | (F.col("arc") > 0)).alias("n_cells"),
+        F.sum("area").alias("area"), F.sum("arc").alias("arc"), F.bool_or("corner_case").alias("corner_case"))
     joined = circles.join(per_circle, ["volume_id", "point_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return joined.select(
