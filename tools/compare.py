@@ -64,8 +64,8 @@ def compare(spark, folder: str, name: str, query):
     mine, other = rows_of(df.columns, [tuple(r) for r in rows]), rows_of(columns, expected)
     if mine == other:
         return ("ok" if not odd else "TYPES"), len(rows), spark_seconds, note + " " + ",".join(odd)
-    extra = [r for r in mine if r not in set(other)][:3]
-    missing = [r for r in other if r not in set(mine)][:3]
+    mine_set, other_set = set(mine), set(other)
+    extra, missing = list(mine_set - other_set)[:3], list(other_set - mine_set)[:3]
     return "DIFF", len(rows), spark_seconds, f"{len(mine)}/{len(other)} rows; only spark {extra}; only sql {missing}; {note}"
 
 

@@ -47,13 +47,18 @@ TRILINEAR = """
 NEAREST = """
     select c.volume_id, c.i, c.j, c.k, value from coords c join {source} v
     on v.volume_id = c.volume_id and v.i = floor(cx + 0.5) and v.j = floor(cy + 0.5) and v.k = floor(cz + 0.5)"""
-LINEAR_OUT = "select volume_id, i, j, k, round(value, 4) as value from lin"
+LINEAR_OUT = "select volume_id, i, j, k, round(value * cast(0.7310585786 as double), 4) as value from lin"
+
+
+def scaled(df):
+    """Times an odd factor, so that no value lies on a rounding tie."""
+    return rounded(df.withColumn("value", F.col("value") * 0.7310585786), 4)
 
 
 @query("resample_linear", compose("vox_a", LINEAR_OUT, {"coords": coordinates_sql(ROTATED, VOX_GRID, "array"), "lin": TRILINEAR.format(source="vox_a")}))
 def _(t: Tables):
     """Trilinear values on a rotated grid, array edge rule."""
-    return rounded(rs.resample(t.vox_a(), VOX_GRID, ROTATED), 4)
+    return scaled(rs.resample(t.vox_a(), VOX_GRID, ROTATED))
 
 
 @query("resample_nearest", compose("vox_a", "select volume_id, i, j, k, round(value, 4) as value from n",
@@ -66,7 +71,7 @@ def _(t: Tables):
 @query("resample_diagonal", compose("vox_a", LINEAR_OUT, {"coords": coordinates_sql(FINE, VOX_GRID, "half_voxel"), "lin": TRILINEAR.format(source="vox_a")}))
 def _(t: Tables):
     """Trilinear values through axis maps."""
-    return rounded(rs.resample_diagonal(t.vox_a(), VOX_GRID, FINE, "linear", "half_voxel"), 4)
+    return scaled(rs.resample_diagonal(t.vox_a(), VOX_GRID, FINE, "linear", "half_voxel"))
 
 
 @query("resample_weighted", compose("vox_a", """
@@ -86,7 +91,7 @@ ZOOM_GRID = Grid.regular((75, 22, 9), (49 / 74, 10 / 21, 1.0))
     "coords": coordinates_sql(ZOOM_GRID, Grid.regular((50, 11, 9)), "array"), "lin": TRILINEAR.format(source="vox_a")}))
 def _(t: Tables):
     """End-aligned enlargement by 1.5 and 2."""
-    return rounded(rs.zoom(t.vox_a(), VOX_GRID.shape, (1.5, 2.0, 1.0)), 4)
+    return scaled(rs.zoom(t.vox_a(), VOX_GRID.shape, (1.5, 2.0, 1.0)))
 
 
 @query("mask_to_native", compose("vox_a", "select volume_id, i, j, k from n", {
@@ -200,7 +205,7 @@ def _(t: Tables):
         1, 0, 0, a, 0, 1, 0, b, 0, 0, 1, c, 0, 0, 0, 1)]).alias("matrix")) for n, (a, b, c) in enumerate(((3.0, -4.0, 1.0), (0.7, -0.1, 0.3)))])
     rows = ids.select("volume_id", F.explode(steps).alias("s")).select("volume_id", "s.step", "s.matrix")
     chains = transforms.compose_chains(rows, ["volume_id"])
-    return rounded(transforms.apply_chain(t.vox_a(), chains, VOX_GRID, VOX_GRID), 4)
+    return scaled(transforms.apply_chain(t.vox_a(), chains, VOX_GRID, VOX_GRID))
 
 
 @query("affine_jacobian", compose("cloud", "select volume_id, cast(f0 * f1 * f2 as double) as determinant from e2", EULER))

@@ -84,3 +84,53 @@ def merge_patches(patch_labels: DataFrame, patches: DataFrame, sizes: DataFrame,
     low_region = p.owned_region(owned.join(low.select("volume_id", "patch_index"), ["volume_id", "patch_index"], "left_semi"))
     return {"matches": matches, "component_map": component_map, "labels": labels, "mask": labels.select(*KEY),
             "low_point_mask": low_region.select(*KEY)}
+
+
+def erode_and_mask(images: DataFrame, mask: DataFrame, iterations: int) -> DataFrame:
+    """A batch of images under an eroded mask, the removed outline flagged."""
+    from ..operators.morphology import erode_iter
+
+    core = erode_iter(mask, iterations)
+    outline = filters.mask_and_not(mask, core).withColumn("_outline", F.lit(True))
+    masked = filters.apply_mask(images, core)
+    return masked.join(outline, KEY, "left").withColumn("outline", F.coalesce("_outline", F.lit(False))).drop("_outline")
+
+
+def grid_overlay(labels: DataFrame, centres: DataFrame, grid: Grid, factors) -> DataFrame:
+    """Pixels per overlay code and volume."""
+    from ..operators import raster
+
+    lines = raster.grid_lines(labels, grid, factors)
+    return raster.overlay_labels(labels, lines, centres).groupBy("volume_id", "label").agg(F.count("*").alias("n"))
+
+
+def fibre_segmentation(image: DataFrame, grid: Grid, diameter_um: float, spacing_um: float, scales: int = 15,
+                       disk_size: int = 15, growth_px: float = 2.0, area=(1, 50)) -> DataFrame:
+    """Image to region table: disc, dots, blob seeds, limited watershed, area filter, properties."""
+    from ..operators import aggregate, regions
+    from ..operators.morphology import gaussian
+    from ..operators.ranking import dense_relabel
+    from ..session import cut_lineage
+
+    scaled = aggregate.normalize_minmax(image)
+    disk = cut_lineage(regions.disk_mask(scaled, grid, disk_size))
+    dots = cut_lineage(regions.dot_mask(scaled, disk, grid))
+    dark = scaled.join(disk, KEY, "left_semi").withColumn("value", 1.0 - F.col("value"))
+    blobs = regions.log_blobs(gaussian(dark, grid, 1.0), grid, regions.blob_sigmas(diameter_um, spacing_um, scales))
+    markers = cut_lineage(regions.blob_markers(blobs, disk, dots).select(*KEY, "label"))
+    flooded = regions.seeded_watershed(regions.limited_relief(dots, markers, grid, growth_px), markers)
+    kept = dense_relabel(filters.area_between(flooded, *area)).select(*KEY, "label")
+    return aggregate.region_props(kept, scaled)
+
+
+def regrid_counts(points: DataFrame, point_grid: Grid, spacings, mask: DataFrame | None = None) -> DataFrame:
+    """Count maps on isotropic grids of several spacings over the same outer edge."""
+    import numpy as np
+
+    out = None
+    for spacing in spacings:
+        shape = tuple(max(1, int(np.rint(n * s / spacing))) for n, s in zip(point_grid.shape, point_grid.spacing))
+        counted = cells.count_points(cells.points_to_cells(points, point_grid, Grid.regular(shape, (spacing,) * 3)))
+        counted = counted.withColumn("spacing", F.lit(float(spacing)))
+        out = counted if out is None else out.unionByName(counted)
+    return out if mask is None else out.join(mask.select(*KEY), KEY, "left_semi")
