@@ -86,12 +86,15 @@ def source_corners(cells: DataFrame, keys: Sequence[str], method: str) -> DataFr
 
 
 def sample(voxels: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("volume_id",), method: str = "linear",
-           edge: str = "array") -> DataFrame:
-    """(keys, i, j, k, value, weight): weighted sums over the source voxels that exist."""
-    keys = list(keys)
+           edge: str = "array", source_keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """(keys, i, j, k, value, weight): weighted sums over the source voxels that exist.
+
+    ``source_keys`` are the keys that name the source volume of a job.
+    """
+    keys, source_keys = list(keys), list(source_keys)
     corners = source_corners(inside_source(job_cells(jobs, keys), edge), keys, method)
-    source = voxels.select("volume_id", F.col("i").alias("si"), F.col("j").alias("sj"), F.col("k").alias("sk"), "value")
-    joined = corners.join(source, ["volume_id", "si", "sj", "sk"])
+    source = voxels.select(*source_keys, F.col("i").alias("si"), F.col("j").alias("sj"), F.col("k").alias("sk"), "value")
+    joined = corners.join(source, [*source_keys, "si", "sj", "sk"])
     if method == "nearest":
         return joined.select(*keys, *INDEX, "value", F.col("w").alias("weight"))
     return joined.groupBy(*keys, *INDEX).agg(F.sum(F.col("w") * F.col("value")).alias("value"), F.sum("w").alias("weight"))

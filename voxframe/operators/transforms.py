@@ -90,13 +90,14 @@ def compose_chains(transforms: DataFrame, keys: Sequence[str] = ("chain_id",)) -
 
 
 def apply_chain(voxels: DataFrame, chains: DataFrame, source: Grid | DataFrame, target: Grid | DataFrame,
-                method: str = "linear", edge: str = "half_voxel", keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+                method: str = "linear", edge: str = "half_voxel", keys: Sequence[str] = ("volume_id",),
+                source_keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Resample every volume once through the composed matrix of its chain (target world → source world).
 
     ``chains`` holds ``keys`` (with ``volume_id``) and ``matrix``.
     """
     jobs = resample_jobs(chains, source, target, F.col("matrix"), keys)
-    return sample(voxels, jobs, keys, method, edge).drop("weight")
+    return sample(voxels, jobs, keys, method, edge, source_keys).drop("weight")
 
 
 def transform_points(points: DataFrame, chains: DataFrame) -> DataFrame:
