@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.rounding import nearest_up
 from ..functions.validity import valid_metric
 from ..grid import Grid, attach_grid, matrix_columns
+from ..session import cut_lineage
 from .geometry import inverse_affine, matrix_product, transform_point
 
 INDEX = ["i", "j", "k"]
@@ -29,18 +30,22 @@ BROADCAST_AXIS_LIMIT = 200_000
 
 def resample_jobs(volumes: DataFrame, source: Grid | DataFrame, target: Grid | DataFrame,
                   transform: Column | None = None, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """Jobs for volumes whose output grid is ``target``; ``transform`` maps target world to source world."""
+    """Jobs for volumes whose output grid is ``target``; ``transform`` maps target world to source world.
+
+    Jobs are few (one row per output volume).  They are materialised between the matrix
+    steps, since nested matrix expressions would otherwise be inlined into each other.
+    """
     keys = list(keys)
-    base = volumes.select(*keys, *([transform.alias("_t")] if transform is not None else []))
     if isinstance(source, Grid) and isinstance(target, Grid) and transform is None:
         matrix = matrix_columns((np.linalg.inv(source.matrix) @ target.matrix).ravel())
-        out = attach_grid(attach_grid(base, source, "m"), target).drop("affine", "maffine")
+        out = attach_grid(attach_grid(volumes.select(*keys), source, "m"), target).drop("affine", "maffine")
         return out.withColumn("matrix", matrix)
-    out = attach_grid(attach_grid(base, source, "m"), target)
+    base = volumes.select(*keys, *([transform.alias("_t")] if transform is not None else []))
+    out = attach_grid(attach_grid(cut_lineage(base), source, "m"), target)
     world = F.col("affine") if transform is None else matrix_product(F.col("_t"), F.col("affine"))
-    return (out.withColumn("_inverse", inverse_affine(F.col("maffine"))).withColumn("_world", world)
-            .withColumn("matrix", matrix_product(F.col("_inverse"), F.col("_world")))
-            .drop("affine", "maffine", "_t", "_inverse", "_world"))
+    inverse = matrix_columns(np.linalg.inv(source.matrix).ravel()) if isinstance(source, Grid) else inverse_affine(F.col("maffine"))
+    out = cut_lineage(out.withColumn("_inverse", inverse).withColumn("_world", world).drop("affine", "maffine", "_t"))
+    return cut_lineage(out.withColumn("matrix", matrix_product(F.col("_inverse"), F.col("_world"))).drop("_inverse", "_world"))
 
 
 def job_cells(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
