@@ -66,9 +66,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     return picked.select(*keys, *columns)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(group, value, rank) with ties sharing their mean rank, starting at 1."""
-    ranked = prefix_sums(value_counts(df, keys, value), keys, value, "n")
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(group, value, rank) with ties sharing their mean rank, starting at 1; ``weight`` counts a row several times."""
+    counts = value_counts(df, keys, value) if weight is None else df.groupBy(*keys, value).agg(F.sum(weight).alias("n"))
+    ranked = prefix_sums(counts, keys, value, "n")
     return ranked.select(*keys, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank"))
 
 

@@ -11,7 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.validity import is_finite
+from ..session import cut_lineage
 from .ranking import quantiles
+from .stats import safe_corr
 
 KEY = ["volume_id", "i", "j", "k"]
 FLAT = 1e-12
@@ -58,7 +60,7 @@ def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 64, mi
 def cross_correlation(pairs: DataFrame, keys: Sequence[str], minimum: int = 100) -> DataFrame:
     """NCC over the unclipped values; NULL for few rows or a vanishing denominator."""
     sums = finite_pairs(pairs).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr("a", "b").alias("_r"), F.var_pop("a").alias("_va"), F.var_pop("b").alias("_vb"))
+        F.count("*").alias("n"), safe_corr("a", "b").alias("_r"), F.var_pop("a").alias("_va"), F.var_pop("b").alias("_vb"))
     sound = (F.col("n") >= minimum) & (F.sqrt(F.col("_va") * F.col("_vb")) * F.col("n") >= FLAT)
     return sums.select(*keys, "n", F.when(sound, F.col("_r")).alias("ncc"))
 
@@ -66,6 +68,7 @@ def cross_correlation(pairs: DataFrame, keys: Sequence[str], minimum: int = 100)
 def similarity(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: int = 100) -> DataFrame:
     """(keys, n, mi, ncc) of every image pair."""
     keys = list(keys)
+    pairs = cut_lineage(finite_pairs(pairs.select(*keys, "a", "b")))  # limits, histogram and moments all read it
     return cross_correlation(pairs, keys, minimum).join(mutual_information(pairs, keys, bins, minimum), keys, "left")
 
 

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.student import p_value, t_critical
+from ..session import cut_lineage
 from .ranking import average_ranks, quantiles
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson coefficient, NULL (not an error) where a column has no spread."""
+    return F.covar_pop(x, y) / F.sqrt(F.nullif(F.var_pop(x) * F.var_pop(y), F.lit(0.0)))
+
+
 def pearson(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson_r"))
+    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), safe_corr(x, y).alias("pearson_r"))
 
 
 def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -21,10 +27,14 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     inputs shrink before the rank joins; the final moments are one aggregation.
     """
     keys = list(keys)
-    weighted = pairs.groupBy(*keys, x, y).agg(F.count("*").alias("_w"))
-    rank_x = average_ranks(pairs, keys, x).withColumnRenamed("rank", "_rx")
-    rank_y = average_ranks(pairs, keys, y).withColumnRenamed("rank", "_ry")
-    ranked = weighted.join(rank_x, [*keys, x]).join(rank_y, [*keys, y])
+    weighted = pairs.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    weighted = weighted.groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w"))
+    # both columns are ranked in one pass
+    sides = F.array(F.struct(F.lit("x").alias("side"), F.col("_x").alias("v")), F.struct(F.lit("y").alias("side"), F.col("_y").alias("v")))
+    long = weighted.select(*keys, "_w", F.explode(sides).alias("s")).select(*keys, "_w", "s.side", "s.v")
+    ranks = average_ranks(long, [*keys, "side"], "v", weight="_w")
+    side = lambda name: ranks.where(F.col("side") == name).select(*keys, F.col("v").alias(f"_{name}"), F.col("rank").alias(f"_r{name}"))
+    ranked = weighted.join(side("x"), [*keys, "_x"]).join(side("y"), [*keys, "_y"])
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
@@ -39,13 +49,16 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
 def linear_fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Slope, intercept and slope standard error from one pass of moments; NULL where undefined."""
     moments = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
+        F.count("*").alias("n"), F.regr_avgx(y, x).alias("mean_x"), F.regr_avgy(y, x).alias("mean_y"),
         F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
     usable = (F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0)
-    error = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / F.col("sxx"), F.lit(0.0))
+    sxx = F.when(usable, F.col("sxx"))  # NULL carries through where the fit is undefined
+    slope = F.col("sxy") / sxx
+    error = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / sxx, F.lit(0.0))
+    freedom = F.when(usable, F.col("n") - 2)
     return moments.select(
-        *keys, "n", F.when(usable, F.col("slope")).alias("slope"), F.when(usable, F.col("intercept")).alias("intercept"),
-        F.when(usable, F.sqrt(error / (F.col("n") - 2)) / F.sqrt("sxx")).alias("slope_se"))
+        *keys, "n", slope.alias("slope"), (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"),
+        F.when(usable, F.sqrt(error / freedom) / F.sqrt(sxx)).alias("slope_se"))
 
 
 def slope_interval(fit: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -99,6 +112,7 @@ def correlation_summary(pairs: DataFrame, keys: Sequence[str], x: str, y: str, c
     Groups with fewer than two rows are skipped; groups without spread have NULL statistics.
     """
     keys = list(keys)
+    pairs = cut_lineage(pairs.select(*keys, x, y))  # read by every statistic below
     sizes = guarded(pairs, keys, x, y).where("n >= 2")
     joined = (sizes.join(pearson(pairs, keys, x, y).drop("n"), keys)
               .join(spearman(pairs, keys, x, y).drop("n"), keys)
