@@ -47,12 +47,12 @@ TRILINEAR = """
 NEAREST = """
     select c.volume_id, c.i, c.j, c.k, value from coords c join {source} v
     on v.volume_id = c.volume_id and v.i = floor(cx + 0.5) and v.j = floor(cy + 0.5) and v.k = floor(cz + 0.5)"""
-LINEAR_OUT = "select volume_id, i, j, k, round(value * cast(0.7310585786 as double), 4) as value from lin"
+LINEAR_OUT = "select volume_id, i, j, k, round(value * cast(0.7310585786300049 as double), 4) as value from lin"
 
 
 def scaled(df):
     """Times an odd factor, so that no value lies on a rounding tie."""
-    return rounded(df.withColumn("value", F.col("value") * 0.7310585786), 4)
+    return rounded(df.withColumn("value", F.col("value") * 0.7310585786300049), 4)
 
 
 @query("resample_linear", compose("vox_a", LINEAR_OUT, {"coords": coordinates_sql(ROTATED, VOX_GRID, "array"), "lin": TRILINEAR.format(source="vox_a")}))
@@ -75,13 +75,13 @@ def _(t: Tables):
 
 
 @query("resample_weighted", compose("vox_a", """
-    select volume_id, i, j, k, round(value / weight, 4) as value from lin semi join n using (volume_id, i, j, k) where weight > 1e-6""",
+    select volume_id, i, j, k, round(value / weight * cast(0.7310585786300049 as double), 4) as value from lin semi join n using (volume_id, i, j, k) where weight > 1e-6""",
     {"holed": "select * from vox_a where (i + j + k) % 4 <> 0", "coords": coordinates_sql(FINE, VOX_GRID, "array"),
      "lin": TRILINEAR.format(source="holed"), "n": NEAREST.format(source="holed")}))
 def _(t: Tables):
     """Resampling of a map whose every fourth diagonal has no data."""
     hole = (F.col("i") + F.col("j") + F.col("k")) % 4 == 0
-    return rounded(rs.resample_weighted(t.vox_a().withColumn("value", F.when(hole, 0.0).otherwise(F.col("value"))), VOX_GRID, FINE), 4)
+    return scaled(rs.resample_weighted(t.vox_a().withColumn("value", F.when(hole, 0.0).otherwise(F.col("value"))), VOX_GRID, FINE))
 
 
 ZOOM_GRID = Grid.regular((75, 22, 9), (49 / 74, 10 / 21, 1.0))

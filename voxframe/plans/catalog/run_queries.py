@@ -60,11 +60,11 @@ def _(t: Tables):
     return rounded(ps.read_components(t.spark, path, 10, ["volume_id"]))
 
 
-@query("write_table", compose("vox", "select cast(volume_id as varchar) as volume_id, cast(i as varchar) as i, cast(j as varchar) as j, cast(k as varchar) as k, printf('%.6f', value_a * 0.7310585786) as value from vox"))
+@query("write_table", compose("vox", "select cast(volume_id as varchar) as volume_id, cast(i as varchar) as i, cast(j as varchar) as j, cast(k as varchar) as k, printf('%.6f', value_a * cast(0.7310585786300049 as double)) as value from vox"))
 def _(t: Tables):
     """Fixed float format in CSV."""
     path = scratch_path(t.spark, "table")
-    ps.write_table(t.vox_a().withColumn("value", F.col("value") * 0.7310585786), path, {"value": "%.6f"})
+    ps.write_table(t.vox_a().withColumn("value", F.col("value") * 0.7310585786300049), path, {"value": "%.6f"})
     return ps.read_text_table(t.spark, path)
 
 
@@ -232,13 +232,13 @@ def _shift(t: Tables):
 
 
 @query("apply_transforms", compose("vox_a vox_b", """
-    select volume_id, image, i, j, k, round(value * 0.7310585786, 3) as value from (
+    select volume_id, image, i, j, k, round(value * cast(0.7310585786300049 as double), 3) as value from (
       select *, 'a' as image from lin_a union all select *, 'b' from lin_b) semi join hit using (volume_id, i, j, k)""", MOVED))
 def _(t: Tables):
     """Both maps and the mask moved by a chain, the maps masked."""
     mask = t.vox_a().where("value > 40000")
     moved = registration.apply_transforms(_images(t), mask, _shift(t), VOX_GRID, VOX_GRID)
-    return rounded(moved.withColumn("value", F.col("value") * 0.7310585786), 3)
+    return rounded(moved.withColumn("value", F.col("value") * 0.7310585786300049), 3)
 
 
 @query("evaluate_transforms", compose("vox vox_a vox_b", """

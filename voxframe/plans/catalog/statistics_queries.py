@@ -353,11 +353,11 @@ def _(t: Tables):
 
 @query("orient_sign", compose("vox", """
     select volume_id, i, j, k, round(v * sign(median(v) filter (where value_a > 40000) over (partition by volume_id)), 4) as value
-    from (select *, (30000 - value_b) * cast(0.7310585786 as double) as v from vox)"""))
+    from (select *, (30000 - value_b) * cast(0.7310585786300049 as double) as v from vox)"""))
 def _(t: Tables):
     """Maps with a negative masked median are turned over."""
     mask = filters.threshold(t.vox_a(), 40000.0)
-    return rounded(aggregate.orient_sign(t.vox_b().withColumn("value", (30000 - F.col("value")) * 0.7310585786), mask), 4)
+    return rounded(aggregate.orient_sign(t.vox_b().withColumn("value", (30000 - F.col("value")) * 0.7310585786300049), mask), 4)
 
 
 @query("fibre_sv_histogram")
