@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ...operators import aggregate, filters, geometry, ranking, similarity, stats
 from ...operators.cells import points_to_cells
-from ..adapters import IMAGE_GRID, PTS_GRID, VOX_GRID, Tables
+from ..adapters import FIBRE_GRID, FIBRE_RADIUS, PTS_GRID, VOX_GRID, Tables
 from ..oracle_sql import compose
-from ..workflows import density_correlation, density_on_grid, density_pairs, sv_compare
+from ..workflows import density_correlation, density_on_grid, density_pairs, fibre_sv, sv_compare
+from .geometry_queries import OVERLAP
 from .registry import query, rounded
 
 
@@ -360,10 +361,10 @@ def _(t: Tables):
     return rounded(aggregate.orient_sign(t.vox_b().withColumn("value", (30000 - F.col("value")) * 0.7310585786300049), mask), 4)
 
 
-@query("fibre_sv_histogram")
+@query("fibre_sv_histogram", compose("circles", """
+    select volume_id, least(cast(floor(v / cast(0.0005 as double)) as bigint), 299) as bin, count(*) as n
+    from (select volume_id, case when area > 1e-10 and 2500 - area > 1e-10 then arc / (2500 - area) else 0 end as v from cell_sums)
+    where v between 0 and 0.15 group by 1, 2""", OVERLAP))
 def _(t: Tables):
     """Fixed-width histogram of the surface-to-volume map of the circles."""
-    from ..workflows import fibre_sv
-    from ..adapters import FIBRE_GRID, FIBRE_RADIUS
-
     return fibre_sv(t.circles(), FIBRE_GRID, FIBRE_RADIUS)["histogram"]
