@@ -1,3 +1,10 @@
 """voxframe: voxel, label, point and transform analytics as Spark DataFrame jobs."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python helpers travel with the job, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
