@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, pii, secrets
+from . import bpe, chat, packing, pii, secrets
 from .tables import table
 
 CONTROL_CHAT = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
                   AS t(conv_id, turn, role, text)"""
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.bpe_digest(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -19,10 +26,15 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.format_chats(turns.unionByName(spark.sql(CONTROL_CHAT))))
 
 
-QUERIES = {f.__name__: f for f in (op5_secrets, op6_pii, op10_chat)}
+QUERIES = {f.__name__: f for f in (op4_bpe, op5_secrets, op6_pii, op9_packing, op10_chat)}
 ORACLES: dict[str, str] = {}
