@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, packing, pii, secrets
+from . import bpe, chat, jaccard, langid, packing, pii, quality, secrets
 from .tables import table
 
 CONTROL_CHAT = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
                   AS t(conv_id, turn, role, text)"""
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_low")
+
+
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,6 +36,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = langid.identify(docs.select("doc_id", "text"), langid.train(docs.select("doc_id", "text", "lang")))
+    return told.select("doc_id", F.coalesce(langid.fold_of("doc_id") == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -36,5 +52,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(spark.sql(CONTROL_CHAT))))
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_secrets, op6_pii, op9_packing, op10_chat)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op4_bpe, op5_secrets, op6_pii, op8_language, op9_packing, op10_chat)}
 ORACLES: dict[str, str] = {}
