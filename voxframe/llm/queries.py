@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, jaccard, langid, packing, pii, quality, secrets
+from . import bpe, chat, fingerprint, jaccard, langid, packing, pii, quality, secrets, sharding
 from .tables import table
 
 CONTROL_CHAT = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
@@ -22,6 +22,10 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=90)
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -36,6 +40,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     told = langid.identify(docs.select("doc_id", "text"), langid.train(docs.select("doc_id", "text", "lang")))
@@ -52,5 +60,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(spark.sql(CONTROL_CHAT))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op4_bpe, op5_secrets, op6_pii, op8_language, op9_packing, op10_chat)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_sharding, op4_bpe, op5_secrets, op6_pii, op7_fingerprint, op8_language, op9_packing, op10_chat)}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.sharding_sql()}
