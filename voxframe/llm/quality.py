@@ -29,10 +29,17 @@ FAMILIES = len(CHAR_SIZES) + 2
 
 
 class _Numbers(dict):
-    """Words numbered as they come."""
+    """Words numbered as they come, with a hash of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.hashes = np.zeros(1 << 16, np.uint64)
 
     def __missing__(self, word):
         self[word] = number = len(self)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+        self.hashes[number] = zlib.crc32(word) | zlib.adler32(word) << 32
         return number
 
 
@@ -95,21 +102,18 @@ def text_facts(text: str, data: bytes, words: list[bytes], numbers: np.ndarray)
 
 
 class Reader:
-    """Facts and features of texts; word hashes are remembered for a bounded number of words."""
+    """Facts and features of texts; a bounded number of words keep their numbers from text to text."""
 
     def __init__(self, most: int = 400_000):
-        self.most, self.numbers, self.hashes = most, _Numbers(), np.zeros(0, np.uint64)
+        self.most, self.numbers = most, _Numbers()
 
     def read(self, text: str) -> tuple[TextFacts, list[np.ndarray]]:
         if len(self.numbers) > self.most:
-            self.numbers, self.hashes = _Numbers(), np.zeros(0, np.uint64)
+            self.numbers = _Numbers()
         data = text.encode("utf-8", "surrogatepass")
         words = data.split()
         numbers = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if len(self.numbers) > len(self.hashes):
-            fresh = list(self.numbers)[len(self.hashes):] if len(self.numbers) - len(self.hashes) > 1 else [next(reversed(self.numbers))]
-            self.hashes = np.concatenate((self.hashes, np.array([zlib.crc32(w) | zlib.adler32(w) << 32 for w in fresh], np.uint64)))
-        return text_facts(text, data, words, numbers), hashed_ngrams(data, self.hashes[numbers])
+        return text_facts(text, data, words, numbers), hashed_ngrams(data, self.numbers.hashes[numbers])
 
 
 @dataclass(frozen=True)
