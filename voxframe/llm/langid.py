@@ -42,7 +42,7 @@ def gram_hashes(words: list[str], order: int = ORDER) -> tuple[np.ndarray, list[
     hashes, current = [], np.zeros(len(flat), np.uint64)
     for m in range(1, order + 1):
         shifted = np.zeros(len(flat), np.uint64)
-        shifted[m - 1:] = flat[:len(flat) - m + 1]
+        shifted[m - 1:] = flat[:max(0, len(flat) - m + 1)]
         current = (current ^ (shifted + np.uint64(m << 40))) * np.uint64(0x9E3779B97F4A7C15)
         current = current ^ (current >> np.uint64(31))
         hashes.append(current.view(np.int64).copy())
