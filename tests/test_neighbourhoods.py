@@ -117,38 +117,81 @@ def test_watershed_ridge_tie(voxels):
     assert [r.label for r in out.orderBy("i").collect()] == [7, 7, 3, 3, 3]
 
 
-def grow_in_order(image, markers, mask, tolerance, radius):
-    """The sequential rule, seed after seed over one shared label image."""
+def grown_by_rings(image, markers, mask, tolerance, radius, moving):
+    """Owner of every pixel when the labels grow one after the other, each in rings around its own pixels."""
     owner = dict(markers)
     for label in sorted(set(markers.values())):
-        own = sorted(p for p, v in markers.items() if v == label)
-        centre = (round(sum(p[0] for p in own) / len(own)), round(sum(p[1] for p in own) / len(own)))
-        total, count = sum(image[p] for p in own), len(own)
-        queue, seen = deque(own), set(own)
-        while queue:
-            p = queue.popleft()
-            taken = owner.get(p, label) != label
-            if p not in mask or taken or math.dist(p, centre) > radius or abs(image[p] - total / count) > tolerance:
-                continue
-            if p not in owner:
-                owner[p] = label
-                total, count = total + image[p], count + 1
-            for a, b in itertools.product((-1, 0, 1), repeat=2):
-                q = (p[0] + a, p[1] + b)
-                if q in image and q not in seen and markers.get(q, label) == label:
-                    seen.add(q)
-                    queue.append(q)
+        core = sorted((p for p, v in markers.items() if v == label), key=lambda p: (p[0], p[1]))
+        centre = tuple(round(sum(axis) / len(core)) for axis in zip(*core))
+        values = [image[p] for p in core]
+        start = sum(values) / len(values)
+        allowed = {p for p in mask if math.dist(p, centre) <= radius and owner.get(p, label) == label}
+        ring, offered = core, set(core)
+        while ring:
+            following = []
+            for p in ring:
+                level = sum(values) / len(values) if moving else start
+                if p in allowed and abs(image[p] - level) <= tolerance:
+                    if p not in core:
+                        owner[p] = label
+                        values.append(image[p])
+                    following += [(p[0] + a, p[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            ring = [p for p in dict.fromkeys(following) if p not in offered]
+            offered.update(ring)
     return owner
 
 
-def test_region_grow(voxels):
+@pytest.mark.parametrize("moving", [True, False])
+def test_region_grow(voxels, moving):
     rng = random.Random(9)
     image = {(i, j): float(rng.randrange(20)) for i in range(N) for j in range(N)}
     mask = random_mask(1, 0.8)
     markers = {p: n % 7 + 1 for n, p in enumerate(rng.sample(sorted(image), 9))}
     out = regions.region_grow(voxels([(*p, v) for p, v in image.items()]), voxels([(*p, v) for p, v in markers.items()], "label long"),
-                              voxels(mask, ""), GRID, 6.0, 4)
-    assert {(r.i, r.j): r.label for r in out.collect()} == grow_in_order(image, markers, mask, 6.0, 4)
+                              voxels(mask, ""), GRID, 6.0, 4, moving)
+    assert {(r.i, r.j): r.label for r in out.collect()} == grown_by_rings(image, markers, mask, 6.0, 4, moving)
+
+
+def test_closing_contains_its_input_and_the_edge_is_no_boundary(voxels):
+    grid, full = Grid.regular((5, 5, 1)), {(i, j) for i in range(5) for j in range(5)}
+    assert pixels(mo.closing(voxels(full, ""), grid, 1, 2)) == full
+    assert pixels(mo.boundary(voxels(full, ""), grid, 1, 2)) == set()
+    for seed in range(3):
+        mask = random_mask(seed, 0.5)
+        assert mask <= pixels(mo.closing(voxels(mask, ""), GRID, 2, 2))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_smoothing_keeps_a_constant(voxels, n):
+    flat = voxels([(i, 0, 10.0) for i in range(n)])
+    out = mo.gaussian(flat, Grid.regular((n, 1, 1)), 2.0, "i").collect()
+    assert [r.value for r in out] == pytest.approx([10.0] * n)
+
+
+def test_pruned_blobs_prune_no_others(spark):
+    rows = [(0, 0, 10, 2.0, 1.0), (0, 0, 12, 2.2, 1.0), (0, 0, 14, 2.4, 1.0), (0, 30, 30, 2.0, 1.0), (0, 30, 30, 2.4, 1.0)]
+    blobs = spark.createDataFrame(rows, "volume_id long, i long, j long, sigma double, value double")
+    kept = lambda df: {(r.i, r.j, r.sigma) for r in regions.prune_blobs(df, 2.4).collect()}
+    assert kept(blobs) == {(0, 10, 2.0), (0, 14, 2.4), (30, 30, 2.4)}
+    assert kept(blobs.where("j <> 12")) == kept(blobs)
+
+
+def test_ranking_needs_finite_scores(spark):
+    from voxframe.operators import registration
+
+    rows = [(1, 1, float("nan"), "success"), (1, 2, 0.5, "success"), (1, 3, float("inf"), "success"), (1, 4, 0.7, "failed"), (1, 5, 0.2, "success")]
+    scores = spark.createDataFrame(rows, "volume_id long, candidate long, mi double, status string")
+    order = [r.candidate for r in registration.rank_candidates(scores).orderBy("rank").collect()]
+    assert order[:2] == [2, 5]
+    assert registration.select_candidate(scores).first().candidate == 2
+
+
+def test_patch_names_begin_the_file_name(spark):
+    from voxframe.sources.runs import list_patches
+
+    names = ["patch_000001_z0-1_y0-2_x0-3.nii.gz", "old_patch_000001_z0-1_y0-2_x0-3.nii.gz", "run/patch_2_z0-1_y0-2_x0-3.nii"]
+    found = list_patches(spark.createDataFrame([(n,) for n in names], "name string")).collect()
+    assert {r.patch_index for r in found} == {1, 2}
 
 
 def test_greedy_match(spark):

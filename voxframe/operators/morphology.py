@@ -45,12 +45,17 @@ def _span_table(spans: Sequence[Span]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(span, names)]) for span in spans])
 
 
-def sweep(runs: DataFrame, need: int) -> DataFrame:
-    """Runs of the positions that at least ``need`` of the given (overlapping) runs cover."""
+def sweep(runs: DataFrame, need: int | Column, grid: Grid | DataFrame | None = None) -> DataFrame:
+    """Runs of the positions that at least ``need`` of the given (overlapping) runs cover.
+
+    ``need`` may depend on the line (``j``, ``k``) and, where ``grid`` is given, on its sizes (``g_ny``, ``g_nz``).
+    """
     ends = F.array(F.struct(F.col("i0").alias("at"), F.lit(1).alias("step")),
                    F.struct((F.col("i1") + 1).alias("at"), F.lit(-1).alias("step")))
     events = (runs.select("volume_id", "j", "k", F.explode(ends).alias("e"))
               .groupBy("volume_id", "j", "k", F.col("e.at").alias("at")).agg(F.sum("e.step").alias("step")).where("step <> 0"))
+    if grid is not None:
+        events = attach_grid(events, grid, "g_")
     line = Window.partitionBy("volume_id", "j", "k").orderBy("at")
     level = F.sum("step").over(line.rowsBetween(Window.unboundedPreceding, 0)) >= need
     flagged = events.withColumn("on", level)
@@ -70,13 +75,29 @@ def dilate_runs(runs: DataFrame, grid: Grid | DataFrame, spans: Sequence[Span])
     return sweep(inside, 1)
 
 
-def erode_runs(runs: DataFrame, spans: Sequence[Span]) -> DataFrame:
-    """A voxel stays when the element placed on it lies inside the mask; outside the grid counts as empty."""
+def erode_runs(runs: DataFrame, spans: Sequence[Span], grid: Grid | DataFrame | None = None) -> DataFrame:
+    """A voxel stays when the element placed on it lies inside the mask.
+
+    Outside the grid counts as empty; with ``grid`` it counts as set: runs that touch the border go on beyond
+    it, and spans on lines outside the grid are not asked for.
+    """
+    if grid is not None:
+        reach = max(max(abs(lo), abs(hi)) for _, _, lo, hi in spans)
+        sized = attach_grid(runs, grid, "g_")
+        runs = sized.withColumn("i0", F.when(F.col("i0") == 0, -reach).otherwise(F.col("i0"))).withColumn(
+            "i1", F.when(F.col("i1") == F.col("g_nx") - 1, F.col("i1") + reach).otherwise(F.col("i1")))
     copies = runs.select("*", F.explode(_span_table(spans)).alias("s"))
     moved = copies.select(
         "volume_id", (F.col("j") - F.col("s.dj")).alias("j"), (F.col("k") - F.col("s.dk")).alias("k"),
-        (F.col("i0") - F.col("s.lo")).alias("i0"), (F.col("i1") - F.col("s.hi")).alias("i1")).where("i0 <= i1")
-    return sweep(moved, len(spans))
+        (F.col("i0") - F.col("s.lo")).alias("i0"), (F.col("i1") - F.col("s.hi")).alias("i1"),
+        *([] if grid is None else ["g_nx", "g_ny", "g_nz"])).where("i0 <= i1")
+    if grid is None:
+        return sweep(moved, len(spans))
+    moved = moved.withColumn("i0", F.greatest(F.col("i0"), F.lit(0))).withColumn("i1", F.least(F.col("i1"), F.col("g_nx") - 1))
+    moved = moved.where("j >= 0 and j < g_ny and k >= 0 and k < g_nz and i0 <= i1")
+    asked = F.size(F.filter(_span_table(spans), lambda s: (F.col("j") + s["dj"] >= 0) & (F.col("j") + s["dj"] < F.col("g_ny"))
+                            & (F.col("k") + s["dk"] >= 0) & (F.col("k") + s["dk"] < F.col("g_nz"))))
+    return sweep(moved.drop("g_nx", "g_ny", "g_nz"), asked, grid)
 
 
 def _mirrored(spans: Sequence[Span]) -> list[Span]:
@@ -114,16 +135,20 @@ def erode_ball(mask: DataFrame, radius: int, dims: int = 3) -> DataFrame:
 
 
 def closing(mask: DataFrame, grid: Grid | DataFrame, radius: int, dims: int = 3) -> DataFrame:
-    """Dilation then erosion by a ball, staying in run form between the two."""
+    """Dilation then erosion by a ball, staying in run form between the two.
+
+    Outside the grid counts as set for the erosion, so a closing never removes a mask voxel.
+    """
     spans = ball_spans(radius, dims)
-    return expand_runs(erode_runs(dilate_runs(line_runs(mask), grid, spans), spans))
+    return expand_runs(erode_runs(dilate_runs(line_runs(mask), grid, spans), spans, grid))
 
 
-def boundary(mask: DataFrame, radius: int, dims: int = 3) -> DataFrame:
-    """Mask voxels that the erosion removes; the whole mask for a radius of 0 or less."""
+def boundary(mask: DataFrame, grid: Grid | DataFrame, radius: int, dims: int = 3) -> DataFrame:
+    """Mask voxels that an erosion with a set outside removes; the whole mask for a radius of 0 or less."""
     if radius <= 0:
         return mask.select(*KEY)
-    return mask.select(*KEY).join(erode_ball(mask, radius, dims), KEY, "left_anti")
+    core = expand_runs(erode_runs(line_runs(mask), ball_spans(radius, dims), grid))
+    return mask.select(*KEY).join(core, KEY, "left_anti")
 
 
 # --- neighbourhood filters -----------------------------------------------------------------------
@@ -153,20 +178,22 @@ def label_edges(labels: DataFrame, grid: Grid | DataFrame, thicken: bool = True)
     return dilate_box(edges, grid, (2, 2, 1)).join(labels.select(*KEY), KEY, "left_semi")
 
 
-def _reflected(position: str, n: Column, radius: int) -> Column:
-    """Positions (a few) that a mirrored border maps to the voxel: ``2mn + p`` and ``2mn - 1 - p`` near the grid."""
-    turns = range(-1, 2)
-    p = F.col(position)
-    everything = [2 * m * n + p for m in turns] + [2 * m * n - 1 - p for m in turns]
-    near = F.filter(F.array(*everything), lambda q: (q >= -radius) & (q < n + radius))
-    return near
+def reflected(position: str, n: Column, radius: int) -> Column:
+    """All positions from ``-radius`` to ``n - 1 + radius`` that a mirrored border maps to the voxel: ``2mn + p`` and ``2mn - 1 - p``."""
+    p, turn = F.col(position), (2 * n).cast("long")
+
+    def images(base: Column) -> Column:
+        first, last = F.ceil((F.lit(-radius) - base) / turn), F.floor((n - 1 + radius - base) / turn)
+        return F.when(first <= last, F.transform(F.sequence(first, last), lambda m: m * turn + base)).otherwise(F.array().cast("array<bigint>"))
+
+    return F.concat(images(p), images(-1 - p))
 
 
 def median3(image: DataFrame, grid: Grid | DataFrame) -> DataFrame:
     """3×3 median with mirrored border; absent pixels count as 0, pixels without any neighbour are left out."""
     df = attach_grid(image, grid, "g_")
     for c, n in (("i", "g_nx"), ("j", "g_ny")):
-        df = df.withColumn("_p", F.explode(_reflected(c, F.col(n), 1)))
+        df = df.withColumn("_p", F.explode(reflected(c, F.col(n), 1)))
         df = df.withColumn(c, F.explode(F.sequence(F.col("_p") - 1, F.col("_p") + 1))).where((F.col(c) >= 0) & (F.col(c) < F.col(n)))
     nine = df.groupBy(*KEY).agg(F.collect_list("value").alias("v"))
     padded = F.array_sort(F.concat("v", F.array_repeat(F.lit(0.0), (F.lit(9) - F.size("v")).cast("int"))))
@@ -190,7 +217,7 @@ def convolve_axis(image: DataFrame, grid: Grid | DataFrame, axis: str, kernel: S
     """Symmetric kernel along one axis, mirrored border: scatter with weights, one aggregation."""
     radius = max(abs(o) for o, _ in kernel)
     n = f"g_n{'xyz'['ijk'.index(axis)]}"
-    df = attach_grid(image, grid, "g_").withColumn("_p", F.explode(_reflected(axis, F.col(n), radius)))
+    df = attach_grid(image, grid, "g_").withColumn("_p", F.explode(reflected(axis, F.col(n), radius)))
     taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel])
     df = df.withColumn("_t", F.explode(taps)).withColumn("_x", (F.col("_p") - F.col("_t.o")).cast("long"))
     df = df.where((F.col("_x") >= 0) & (F.col("_x") < F.col(n)))

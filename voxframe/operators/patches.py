@@ -126,7 +126,7 @@ def label_overlap(patch_labels: DataFrame, patches: DataFrame, min_voxels: int =
             .select(*PAIR, "label_a", "label_b", "intersection", "iomin"))
 
 
-def greedy_match(candidates: DataFrame, max_rounds: int = 200) -> DataFrame:
+def greedy_match(candidates: DataFrame) -> DataFrame:
     """One-to-one matching per patch pair in descending (iomin, intersection, label_a, label_b) order.
 
     Under a strict order a pair that is the best of both its labels is always taken by
@@ -136,7 +136,7 @@ def greedy_match(candidates: DataFrame, max_rounds: int = 200) -> DataFrame:
     score = F.struct("iomin", "intersection", "label_a", "label_b")
     rest = cut_lineage(candidates)
     taken = None
-    for _ in range(max_rounds):
+    while True:  # the best remaining pair is taken in every round
         of_a = Window.partitionBy(*PAIR, "label_a")
         of_b = Window.partitionBy(*PAIR, "label_b")
         judged = rest.withColumns({"_best_a": F.max(score).over(of_a), "_best_b": F.max(score).over(of_b)})
@@ -146,11 +146,13 @@ def greedy_match(candidates: DataFrame, max_rounds: int = 200) -> DataFrame:
                            .join(best.select(*PAIR, "label_b"), [*PAIR, "label_b"], "left_anti"))
         if rest.isEmpty():
             return taken
-    raise RuntimeError(f"matching did not finish in {max_rounds} rounds")
 
 
 def _node(patch: str, label: str):
-    return F.shiftleft(F.col(patch).cast("long"), 32) + F.col(label)
+    """One number for (patch, label); ids of 2^31 and more, or labels of 2^32 and more, are an error."""
+    fits = F.col(patch).between(0, (1 << 31) - 1) & F.col(label).between(0, (1 << 32) - 1)
+    return F.when(fits, F.shiftleft(F.col(patch).cast("long"), 32) + F.col(label)).otherwise(
+        F.raise_error(F.lit("patch index or label out of range")).cast("long"))
 
 
 def merge_patch_components(patch_labels: DataFrame, matches: DataFrame) -> DataFrame:

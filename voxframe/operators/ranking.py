@@ -93,6 +93,6 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[
 
 def top_candidates(df: DataFrame, score: str, sequence: str, keys: Sequence[str] = ()) -> DataFrame:
     """The best row per key set; the earlier ``sequence`` wins ties, invalid scores count as -inf."""
-    usable = F.when(F.col(score).isNotNull() & ~F.isnan(score), F.col(score)).otherwise(F.lit(float("-inf")))
+    usable = F.when(F.abs(F.col(score)) < float("inf"), F.col(score)).otherwise(F.lit(float("-inf")))
     best = F.max_by(F.struct(*[F.col(c) for c in df.columns if c not in keys]), F.struct(usable, -F.col(sequence)))
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import deque
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -14,7 +12,7 @@ from ..session import cut_lineage
 from . import components as cc
 from .aggregate import normalize_minmax, otsu
 from .filters import mask_and
-from .morphology import FACE_OFFSETS, closing, convolve_axis, dilate_box, erode_box, gaussian, gaussian_kernel, send
+from .morphology import FACE_OFFSETS, closing, dilate_box, erode_box, gaussian, gaussian_kernel, reflected, send
 from .ranking import dense_relabel
 
 KEY = ["volume_id", "i", "j", "k"]
@@ -79,7 +77,7 @@ def prepare_markers(markers: DataFrame, mask: DataFrame, grid: Grid | DataFrame,
     return dense_relabel(out).select(*KEY, "label") if relabel else out
 
 
-def seeded_watershed(relief: DataFrame, markers: DataFrame, dims: int = 2, max_rounds: int = 10_000) -> DataFrame:
+def seeded_watershed(relief: DataFrame, markers: DataFrame, dims: int = 2) -> DataFrame:
     """Flood ``relief`` (voxels with ``value``; absent voxels are walls) from the markers through faces.
 
     A voxel joins the neighbour that the flood reaches first.  Arrival order is
@@ -94,7 +92,7 @@ def seeded_watershed(relief: DataFrame, markers: DataFrame, dims: int = 2, max_r
     start = cut_lineage(start)
     state, seen = start, None
     fixed = start.select(*KEY)
-    for _ in range(max_rounds):
+    while True:  # arrivals only get earlier, so this ends
         first = send(state, offsets, ["a"]).groupBy(*KEY).agg(F.min("a").alias("b"))
         reached = field.join(first, KEY).join(fixed, KEY, "left_anti")
         rises = F.col("value") > F.col("b.level")
@@ -107,7 +105,6 @@ def seeded_watershed(relief: DataFrame, markers: DataFrame, dims: int = 2, max_r
         if mark == seen:
             return state.select(*KEY, F.col("a.label").alias("label"))
         seen = mark
-    raise RuntimeError(f"flooding did not settle in {max_rounds} rounds")
 
 
 def limited_relief(mask: DataFrame, markers: DataFrame, grid: Grid | DataFrame, limit: float, dims: int = 2) -> DataFrame:
@@ -121,75 +118,100 @@ def limited_relief(mask: DataFrame, markers: DataFrame, grid: Grid | DataFrame,
 
 # --- region growing ------------------------------------------------------------------------------
 
-def _grow(window: pd.DataFrame, radius: float, tolerance: float, running_mean: bool) -> np.ndarray:
-    """Breadth-first growth of one seed inside its bounded window; returns the accepted rows."""
-    place = {(r, c): n for n, (r, c) in enumerate(zip(window["i"].to_numpy(), window["j"].to_numpy()))}
-    value, own, masked = (window[c].to_numpy() for c in ("value", "own", "masked"))
-    row, column = int(window["ci"].iloc[0]), int(window["cj"].iloc[0])
-    total, count = float(value[own].sum()), int(own.sum())
-    fixed = total / count
-    accepted = own.copy()
-    queue = deque(sorted(key for key, n in place.items() if own[n]))
-    visited = set(queue)
-    while queue:
-        r, c = queue.popleft()
-        n = place[(r, c)]
-        if not masked[n] or math.hypot(r - row, c - column) > radius:
-            continue
-        if abs(value[n] - (total / count if running_mean else fixed)) > tolerance:
-            continue
-        if not accepted[n]:
-            accepted[n] = True
-            total, count = total + float(value[n]), count + 1
-        for dr in (-1, 0, 1):
-            for dc in (-1, 0, 1):
-                step = (r + dr, c + dc)
-                if step in place and step not in visited:
-                    visited.add(step)
-                    queue.append(step)
-    return accepted
+NEAR = np.array([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)])
+
+
+def _spread(pixels: pd.DataFrame, tolerance: float) -> np.ndarray:
+    """Rows of one marker's window that its growing region takes, when the region's mean moves.
+
+    Works ring by ring: the candidates of a ring are the open neighbours of the last ring in the order in which
+    that ring took its members, and each is measured against the mean of all members so far.
+    """
+    i, j = (pixels[c].to_numpy() - pixels[c].min() + 1 for c in "ij")
+    rows = np.full((i.max() + 2, j.max() + 2), -1)            # row of every window pixel, with an empty margin
+    rows[i, j] = np.arange(len(pixels))
+    value, own, usable = pixels["value"].to_numpy(float), pixels["own"].to_numpy(bool), pixels["usable"].to_numpy(bool)
+    member, offered = own.copy(), own.copy()
+    weight, mass = int(own.sum()), float(value[own].sum())
+    ring = np.flatnonzero(own)
+    ring = ring[np.lexsort((j[ring], i[ring]))]
+    while len(ring):
+        passed = []
+        for row in ring[usable[ring]]:
+            if abs(value[row] - mass / weight) <= tolerance:
+                passed.append(row)
+                if not member[row]:
+                    member[row], weight, mass = True, weight + 1, mass + value[row]
+        beside = rows[(i[passed][:, None] + NEAR[:, 0]).ravel(), (j[passed][:, None] + NEAR[:, 1]).ravel()] if passed else rows[:0, 0]
+        _, order = np.unique(beside, return_index=True)
+        ring = beside[np.sort(order)]
+        ring = ring[(ring >= 0) & ~offered[ring]]
+        offered[ring] = True
+    return member
+
+
+def _connected_claims(free: DataFrame, tolerance: float) -> DataFrame:
+    """With the mean of the marker fixed: its own pixels, and the components of similar usable pixels that hold one of them."""
+    mean = free.where("own").groupBy("volume_id", "label").agg(F.avg("value").alias("mean"))
+    similar = cut_lineage(free.where("usable").join(mean, ["volume_id", "label"]).where(F.abs(F.col("value") - F.col("mean")) <= tolerance)
+                          .select(*KEY, "label", "own"))
+    place = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    here = similar.select("volume_id", "label", "k", "i", "j", place(F.col("i"), F.col("j")).alias("u"))
+    half = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    moved = here.select("volume_id", "label", "k", F.col("u").alias("v"), F.explode(half).alias("o"), "i", "j").select(
+        "volume_id", "label", "k", "v", (F.col("i") + F.col("o.a")).alias("i"), (F.col("j") + F.col("o.b")).alias("j"))
+    edges = here.join(moved, ["volume_id", "label", "k", "i", "j"]).select("volume_id", "label", "k", "u", "v")
+    keys = ["volume_id", "label", "k"]
+    rooted = cc.component_roots(similar.select(*keys, "i", "j", "own", place(F.col("i"), F.col("j")).alias("node")), edges, keys)
+    seeded = rooted.where("own").select(*keys, "root").distinct()
+    grown = rooted.join(seeded, [*keys, "root"], "left_semi").select(*KEY, "label")
+    return grown.unionByName(free.where("own").select(*KEY, "label")).distinct()
 
 
 def region_grow(image: DataFrame, markers: DataFrame, mask: DataFrame, grid: Grid | DataFrame, tolerance: float, radius: int,
-                running_mean: bool = True, max_rounds: int = 1000) -> DataFrame:
+                running_mean: bool = True) -> DataFrame:
     """Grow markers in ascending label order over similar mask pixels within ``radius`` of their centre.
 
-    A marker only ever sees its own disc of pixels, so each group is bounded.  The
-    sequential rule (lower labels take pixels first) is the fixed point of: grow every
-    marker around the pixels that lower labels hold, then give each pixel to its lowest
-    claimant.  By induction over the labels the loop ends with the sequential result.
+    A marker only ever sees its own disc of pixels, so each group is bounded.  The sequential rule (lower labels
+    take pixels first) is the fixed point of: grow every marker around the pixels that lower labels hold, then
+    give each pixel to its lowest claimant.  By induction over the labels the rounds end with the sequential
+    result.  Only markers whose window changed hands in the last round grow again.
     """
     seeds = markers.where("label > 0").select(*KEY, "label")
     centres = seeds.groupBy("volume_id", "label", "k").agg(F.rint(F.avg("i")).cast("long").alias("ci"), F.rint(F.avg("j")).cast("long").alias("cj"))
     disc = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in range(-radius, radius + 1)
                      for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius])
-    reach = centres.select("*", F.explode(disc).alias("o")).select(
-        "volume_id", "label", "ci", "cj", (F.col("ci") + F.col("o.di")).alias("i"), (F.col("cj") + F.col("o.dj")).alias("j"), "k")
+    reach = centres.select("volume_id", "label", "k", F.explode(disc).alias("o"), "ci", "cj").select(
+        "volume_id", "label", (F.col("ci") + F.col("o.di")).alias("i"), (F.col("cj") + F.col("o.dj")).alias("j"), "k")
     taken = seeds.select(*KEY, F.col("label").alias("marker"))
     # pixels of the disc that are in the mask, plus the marker's own pixels wherever they lie
-    near = reach.join(mask.select(*KEY).withColumn("masked", F.lit(True)), KEY).join(taken, KEY, "left")
-    near = near.where("marker is null or marker = label").select("volume_id", "label", "ci", "cj", "i", "j", "k", "masked")
-    own = seeds.join(centres, ["volume_id", "label", "k"]).select("volume_id", "label", "ci", "cj", "i", "j", "k", F.lit(True).alias("own"))
-    both = near.join(own, ["volume_id", "label", "ci", "cj", "i", "j", "k"], "full")
+    near = reach.join(mask.select(*KEY).withColumn("usable", F.lit(True)), KEY).join(taken, KEY, "left")
+    near = near.where("marker is null or marker = label").select(*KEY, "label", "usable")
+    both = near.join(seeds.withColumn("own", F.lit(True)), [*KEY, "label"], "full")
     window = cut_lineage(both.join(image.select(*KEY, "value"), KEY, "left").select(
-        "volume_id", "label", "ci", "cj", *"ijk", F.coalesce("masked", F.lit(False)).alias("masked"),
-        F.coalesce("own", F.lit(False)).alias("own"), F.coalesce("value", F.lit(0.0)).alias("value")))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.loc[_grow(pdf, radius, tolerance, running_mean), [*KEY, "label"]]
-
-    owner, seen = None, None
-    for _ in range(max_rounds):
-        free = window
-        if owner is not None:
-            free = window.join(owner.select(*KEY, F.col("label").alias("holder")), KEY, "left").where("own or holder is null or holder >= label").drop("holder")
-        claims = free.groupBy("volume_id", "label").applyInPandas(grow, "volume_id long, i long, j long, k long, label long")
-        owner = cut_lineage(claims.groupBy(*KEY).agg(F.min("label").alias("label")))
-        mark = tuple(owner.agg(F.count("*"), F.bit_xor(F.xxhash64(*KEY, "label")), F.sum(F.xxhash64(*KEY, "label").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        *KEY, "label", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("usable", "own")], F.coalesce("value", F.lit(0.0)).alias("value")))
+
+    def grow(pixels: pd.DataFrame) -> pd.DataFrame:
+        return pixels.loc[_spread(pixels, tolerance), [*KEY, "label"]]
+
+    def claimed(free: DataFrame) -> DataFrame:
+        if not running_mean:
+            return _connected_claims(free, tolerance)
+        return free.groupBy("volume_id", "label").applyInPandas(grow, "volume_id long, i long, j long, k long, label long")
+
+    claims = cut_lineage(claimed(window))
+    owner = cut_lineage(claims.groupBy(*KEY).agg(F.min("label").alias("label")))
+    before = None
+    while True:  # markers settle in label order, at least one more in each round
+        held = owner.select(*KEY, F.col("label").alias("holder"))
+        changed = held if before is None else held.join(before, [*KEY, "holder"], "left_anti").unionByName(before.join(held, [*KEY, "holder"], "left_anti"))
+        again = cut_lineage(window.join(changed.select(*KEY).distinct(), KEY, "left_semi").select("volume_id", "label").distinct())
+        if again.isEmpty():
             return owner
-        seen = mark
-    raise RuntimeError(f"growing did not settle in {max_rounds} rounds")
+        free = (window.join(again, ["volume_id", "label"], "left_semi").join(held, KEY, "left")
+                .where("own or holder is null or holder >= label").drop("holder"))
+        claims = cut_lineage(claims.join(again, ["volume_id", "label"], "left_anti").unionByName(claimed(free)))
+        before, owner = held, cut_lineage(claims.groupBy(*KEY).agg(F.min("label").alias("label")))
 
 
 # --- blobs -----------------------------------------------------------------------------------------
@@ -200,21 +222,35 @@ def blob_sigmas(diameter_um: float, spacing_um: float, count: int = 15) -> list[
     return np.linspace(0.8 * expected, 1.2 * expected, count).tolist()
 
 
+def log_cube(image: DataFrame, grid: Grid | DataFrame, sigmas: list[float]) -> DataFrame:
+    """Scale-normalised negative Laplacian of Gaussian of flat images at every σ; ``k`` is the number of the scale."""
+    taps = [(n, o, flat, curved) for n, sigma in enumerate(sigmas)
+            for (o, flat), (_, curved) in zip(gaussian_kernel(sigma), gaussian_kernel(sigma, 2))]
+    reach = max(abs(o) for _, o, _, _ in taps)
+    scales = [F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((o, flat, curved), ("o", "flat", "curved"))]) for m, o, flat, curved in taps if m == n])
+              for n in range(len(sigmas))]
+    spread = attach_grid(image.select("volume_id", "i", "j", "value"), grid, "g_").withColumn("p", F.explode(reflected("i", F.col("g_nx"), reach)))
+    by_scale = F.array(*[F.struct(F.lit(n).cast("long").alias("k"), taps_.alias("taps")) for n, taps_ in enumerate(scales)])
+    first = (spread.withColumn("s", F.explode(by_scale)).select("volume_id", "j", "value", "p", "g_nx", F.col("s.k").alias("k"), F.explode("s.taps").alias("t"))
+             .withColumn("x", F.col("p") - F.col("t.o")).where("x >= 0 and x < g_nx")
+             .groupBy("volume_id", F.col("x").alias("i"), "j", "k").agg(F.sum(F.col("t.flat") * F.col("value")).alias("flat"), F.sum(F.col("t.curved") * F.col("value")).alias("curved")))
+    second = attach_grid(first, grid, "g_").withColumn("p", F.explode(reflected("j", F.col("g_ny"), reach)))
+    own = F.element_at(F.array(*scales), (F.col("k") + 1).cast("int"))
+    total = (second.withColumn("t", F.explode(own)).withColumn("y", F.col("p") - F.col("t.o")).where("y >= 0 and y < g_ny")
+             .groupBy("volume_id", "i", F.col("y").alias("j"), "k")
+             .agg(F.sum(F.col("t.curved") * F.col("flat") + F.col("t.flat") * F.col("curved")).alias("value")))
+    strength = F.element_at(F.array(*[F.lit(-float(s) * float(s)) for s in sigmas]), (F.col("k") + 1).cast("int"))
+    return total.select("volume_id", "i", "j", "k", (F.col("value") * strength).alias("value"))
+
+
 def log_blobs(image: DataFrame, grid: Grid | DataFrame, sigmas: list[float], threshold: float = 0.02, overlap: float = 0.5) -> DataFrame:
     """Scale-normalised Laplacian-of-Gaussian maxima over (i, j, σ); of two blobs that overlap more than
     ``overlap`` the smaller one goes.
 
-    Each σ is a separable convolution; maxima and pruning are equi-joins on neighbouring
+    All σ are convolved together, one aggregation per axis; maxima and pruning are equi-joins on neighbouring
     positions and on cells of a spatial hash.
     """
-    cube = None
-    for n, sigma in enumerate(sigmas):
-        flat, curved = gaussian_kernel(sigma), gaussian_kernel(sigma, 2)
-        parts = [convolve_axis(convolve_axis(image, grid, a, curved), grid, b, flat) for a, b in (("i", "j"), ("j", "i"))]
-        total = parts[0].unionByName(parts[1]).groupBy(*KEY).agg(F.sum("value").alias("value"))
-        layer = total.select("volume_id", "i", "j", F.lit(n).cast("long").alias("k"), (F.col("value") * F.lit(-sigma * sigma)).alias("value"))
-        cube = layer if cube is None else cube.unionByName(layer)
-    cube = cut_lineage(cube)
+    cube = cut_lineage(log_cube(image, grid, sigmas))
     around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
     highest = send(cube, around, ["value"]).groupBy(*KEY).agg(F.max("value").alias("rival"))
     peaks = cube.where(F.col("value") > threshold).join(highest, KEY, "left").where("rival is null or value >= rival")
@@ -235,14 +271,15 @@ def _disc_overlap(d, r1, r2):
 
 
 def prune_blobs(blobs: DataFrame, largest_sigma: float, overlap: float = 0.5) -> DataFrame:
-    """Drop the smaller of two blobs that overlap too much (the later one when equal).
+    """Drop every blob that overlaps a larger surviving one too much (the later one when equal).
 
-    Partners are found in the 3×3 cells of a spatial hash whose cells are as wide as the
-    largest possible distance of two overlapping blobs.
+    Partners are found in the 3×3 cells of a spatial hash whose cells are as wide as the largest possible
+    distance of two overlapping blobs. Blobs are settled from the largest down: in each round those without an
+    unsettled larger partner stay, and their smaller partners go, so a dropped blob drops no other.
     """
     width = 2.0 * math.sqrt(2.0) * largest_sigma
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    a = blobs.select("*", cell("i").alias("gi"), cell("j").alias("gj"))
+    a = blobs.select("volume_id", "i", "j", "sigma", cell("i").alias("gi"), cell("j").alias("gj"))
     hood = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
     b = a.select("volume_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("sigma").alias("bs"), "gi", "gj", F.explode(hood).alias("h"))
     b = b.select("volume_id", "bi", "bj", "bs", (F.col("gi") + F.col("h.x")).alias("gi"), (F.col("gj") + F.col("h.y")).alias("gj"))
@@ -251,8 +288,18 @@ def prune_blobs(blobs: DataFrame, largest_sigma: float, overlap: float = 0.5) ->
     d = F.sqrt((F.col("i") - F.col("bi")) ** 2 + (F.col("j") - F.col("bj")) ** 2)
     share = _disc_overlap(d, F.col("sigma") * root2, F.col("bs") * root2)
     loses = (F.col("sigma") < F.col("bs")) | ((F.col("sigma") == F.col("bs")) & (F.struct("i", "j") > F.struct("bi", "bj")))
-    lost = pairs.where((share > overlap) & loses).select("volume_id", "i", "j", "sigma").distinct()
-    return blobs.join(lost, ["volume_id", "i", "j", "sigma"], "left_anti")
+    small, large = ["volume_id", "i", "j", "sigma"], ["volume_id", "bi", "bj", "bs"]
+    as_small = lambda df: df.select("volume_id", F.col("bi").alias("i"), F.col("bj").alias("j"), F.col("bs").alias("sigma"))
+    rivals = cut_lineage(pairs.where((share > overlap) & loses).select(*small, "bi", "bj", "bs").distinct())
+    lost = rivals.select(*small).limit(0)
+    while not rivals.isEmpty():  # the largest unsettled blob settles in every round
+        settled = as_small(rivals).distinct().join(rivals.select(*small), small, "left_anti")
+        at = settled.select("volume_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("sigma").alias("bs"))
+        gone = cut_lineage(rivals.join(at, large, "left_semi").select(*small).distinct())
+        lost = lost.unionByName(gone)
+        gone_large = gone.select("volume_id", F.col("i").alias("bi"), F.col("j").alias("bj"), F.col("sigma").alias("bs"))
+        rivals = cut_lineage(rivals.join(gone, small, "left_anti").join(gone_large, large, "left_anti"))
+    return blobs.join(lost, small, "left_anti")
 
 
 def blob_markers(blobs: DataFrame, disk: DataFrame, dots: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def rank_candidates(scores: DataFrame, method: str = "mi") -> DataFrame:
 
     The window spans the candidates of one volume, a fixed small number.
     """
-    usable = (F.col("status") == "success") & F.col(method).isNotNull()
+    usable = (F.col("status") == "success") & (F.abs(F.col(method)) < float("inf"))  # neither null nor NaN
     combined = F.when(usable, F.col(method)).otherwise(F.lit(float("-inf")))
     order = Window.partitionBy("volume_id").orderBy(F.col("combined_score").desc(), F.col("candidate"))
     return scores.withColumn("combined_score", combined).withColumn("rank", F.row_number().over(order)).withColumn("score_method", F.lit(method))
@@ -110,4 +110,4 @@ def upsert_summary(existing: DataFrame, new: DataFrame, keys: Sequence[str], ord
 
 def sample_rows(df: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     """A fixed number of rows without replacement, the same for the same seed (hash order)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(count)
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(count)

@@ -108,7 +108,7 @@ def sample(voxels: DataFrame, jobs: DataFrame, keys: Sequence[str] = ("volume_id
 def resample(voxels: DataFrame, source: Grid | DataFrame, target: Grid | DataFrame, method: str = "linear",
              edge: str = "array", transform: Column | None = None) -> DataFrame:
     """Voxels on the target grid (sparse: cells without support have no row)."""
-    if source is target and transform is None:
+    if isinstance(source, Grid) and source == target and transform is None:
         return voxels
     jobs = resample_jobs(voxels.select("volume_id").distinct(), source, target, transform)
     return sample(voxels, jobs, ["volume_id"], method, edge).drop("weight")
@@ -118,7 +118,7 @@ def resample_weighted(voxels: DataFrame, source: Grid | DataFrame, target: Grid
                       minimum_weight: float = 1e-6) -> DataFrame:
     """Linear resampling that ignores invalid voxels: value over support where the nearest voxel is valid."""
     valid = voxels.where(valid_metric(F.col("value")))
-    if source is target:
+    if isinstance(source, Grid) and source == target:
         return valid
     jobs = resample_jobs(voxels.select("volume_id").distinct(), source, target)
     linear = sample(valid, jobs, ["volume_id"], "linear", edge)

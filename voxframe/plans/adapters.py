@@ -111,10 +111,12 @@ class Tables:
         return self.field3().where("value > 20").select("volume_id", "i", "j", "k")
 
     def cloud(self) -> DataFrame:
-        e = F.col("embedding")
-        return self.table("embeddings").select(
-            F.col("label").cast("long").alias("volume_id"), F.col("vec_id").alias("point_id"),
-            *[e[n].cast("double").alias(c) for n, c in enumerate("xyz")])
+        """Every vector as points of three consecutive coordinates each, the last one filled up with 0."""
+        parts = F.sequence(F.lit(0), F.ceil(F.size("embedding") / 3).cast("int") - 1)
+        cut = self.table("embeddings").select("label", "vec_id", "embedding", F.explode(parts).alias("n"))
+        at = lambda k: F.coalesce(F.get("embedding", F.col("n") * 3 + k), F.lit(0.0)).cast("double")
+        return cut.select(F.col("label").cast("long").alias("volume_id"), (F.col("vec_id") * 1000 + F.col("n")).alias("point_id"),
+                          *[at(k).alias(c) for k, c in enumerate("xyz")])
 
     def plane(self) -> DataFrame:
         """Foreground pixels of a plane that patches are cut from."""

@@ -343,17 +343,16 @@ def _overlaps(t: Tables):
 
 
 @query("circle_cell_overlap", compose("circles", """
-    select volume_id, point_id, i, j, k, round(area, 5) as area, round(arc, 5) as arc, corner_case from disc_cells
-    where area > 1e-6 or arc > 1e-6""", OVERLAP))
+    select volume_id, point_id, i, j, k, round(area, 5) as area, round(arc, 5) as arc, corner_case from disc_cells""", OVERLAP))
 def _(t: Tables):
-    """Exact overlap per circle and cell (slivers below 1e-6 are left out of the comparison)."""
-    return rounded(_overlaps(t).where("area > 1e-6 or arc > 1e-6"), 5)
+    """Exact overlap per circle and cell."""
+    return rounded(_overlaps(t), 5)
 
 
 @query("sum_overlap", compose("circles", """
-    select volume_id, i, j, k, round(area, 5) as area, round(arc, 5) as arc from cell_sums where area > 1e-6 or arc > 1e-6""", OVERLAP))
+    select volume_id, i, j, k, round(area, 5) as area, round(arc, 5) as arc from cell_sums""", OVERLAP))
 def _(t: Tables):
-    return rounded(fibre.sum_overlap(_overlaps(t)).where("area > 1e-6 or arc > 1e-6"), 5)
+    return rounded(fibre.sum_overlap(_overlaps(t)), 5)
 
 
 SV_SQL = """
@@ -361,21 +360,20 @@ SV_SQL = """
            round(arc, 5) as s, round(2500 - area, 5) as v,
            round(case when area > 1e-10 and 2500 - area > 1e-10 then arc / (2500 - area) else 0 end, 5) as s_over_v,
            area > 1e-10 and 2500 - area <= 1e-10 as volume_exhausted
-    from cell_sums where area > 1e-6"""
+    from cell_sums"""
 
 
 @query("sv_map", compose("circles", SV_SQL, OVERLAP))
 def _(t: Tables):
     """Surface, free volume and their ratio per cell."""
-    return rounded(fibre.sv_map(fibre.sum_overlap(_overlaps(t)).where("area > 1e-6"), FIBRE_GRID, FIBRE_RADIUS), 5)
+    return rounded(fibre.sv_map(fibre.sum_overlap(_overlaps(t)), FIBRE_GRID, FIBRE_RADIUS), 5)
 
 
 @query("sv_from_s", compose("circles", """
     select volume_id, i, j, k, round_even(arc, 4) as s, cast(2500 as double) as v, round_even(arc / 2500, 6) as s_over_v
-    from cell_sums where arc > 1e-6""", OVERLAP))
+    from cell_sums""", OVERLAP))
 def _(t: Tables):
-    cells_ = fibre.sum_overlap(_overlaps(t)).where("arc > 1e-6")
-    return fibre.sv_from_s(cells_.withColumnRenamed("arc", "s"), FIBRE_GRID)
+    return fibre.sv_from_s(fibre.sum_overlap(_overlaps(t)).withColumnRenamed("arc", "s"), FIBRE_GRID)
 
 
 @query("expected_single_sv", compose("circles", """

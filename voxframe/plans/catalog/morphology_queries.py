@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ...operators import aggregate, distance, filters, morphology as mo, raster, regions
+from ...grid import Grid
 from ..adapters import FIBRE_GRID, IMAGE_GRID, MASK2_GRID, MASK3_GRID, Tables
 from ..oracle_sql import compose
 from ..workflows import erode_and_mask, fibre_segmentation, grid_overlay
-from .patch_queries import component_sql
+from .patch_queries import NEAR4, NEAR8, component_sql
 from .registry import query, rounded
 
 IN2 = "i between 0 and 47 and j between 0 and 47"
@@ -62,17 +65,37 @@ def _(t: Tables):
     return mo.erode_ball(t.mask3(), 1)
 
 
-@query("closing", compose("mask2", erode_sql("wide", "di * di + dj * dj <= 4", 2, 2, 13), {
-    "wide": dilate_sql("mask2", "di * di + dj * dj <= 4", 2, 2)}))
+def cells_sql(mask: str, shape: tuple[int, int, int]) -> str:
+    """All grid cells of the volumes that the mask touches."""
+    axes = ", ".join(f"range({n}) {c}r({c})" for n, c in zip(shape, "ijk"))
+    return f"select volume_id, cast(i as bigint) as i, cast(j as bigint) as j, cast(k as bigint) as k from (select distinct volume_id from {mask}), {axes}"
+
+
+def unset_sql(mask: str, shape: tuple[int, int, int]) -> str:
+    return f"select * from ({cells_sql(mask, shape)}) anti join {mask} using (volume_id, i, j, k)"
+
+
+@query("closing", compose("mask2", f"select * from ({cells_sql('mask2', (48, 48, 1))}) anti join eaten using (volume_id, i, j, k)", {
+    "wide": dilate_sql("mask2", "di * di + dj * dj <= 4", 2, 2), "gaps": unset_sql("wide", (48, 48, 1)),
+    "eaten": dilate_sql("gaps", "di * di + dj * dj <= 4", 2, 2)}))
 def _(t: Tables):
-    """Closing by a disc of radius 2."""
+    """Closing by a disc of radius 2; outside the grid counts as set, so the mask is contained in it."""
     return mo.closing(t.mask2(), MASK2_GRID, 2, 2)
 
 
-@query("boundary", compose("mask3", "select * from mask3 anti join core using (volume_id, i, j, k)", {
-    "core": erode_sql("mask3", "di * di + dj * dj + dk * dk <= 1", 1, 3, 7)}))
+@query("closing3", compose("mask3", f"select * from ({cells_sql('mask3', (16, 16, 8))}) anti join eaten using (volume_id, i, j, k)", {
+    "wide": dilate_sql("mask3", "di * di + dj * dj + dk * dk <= 1", 1, 3), "gaps": unset_sql("wide", (16, 16, 8)),
+    "eaten": dilate_sql("gaps", "di * di + dj * dj + dk * dk <= 1", 1, 3)}))
+def _(t: Tables):
+    """Closing of volumes by a ball of radius 1."""
+    return mo.closing(t.mask3(), MASK3_GRID, 1, 3)
+
+
+@query("boundary", compose("mask3", "select * from mask3 semi join eaten using (volume_id, i, j, k)", {
+    "gaps": unset_sql("mask3", (16, 16, 8)), "eaten": dilate_sql("gaps", "di * di + dj * dj + dk * dk <= 1", 1, 3)}))
 def _(t: Tables):
-    return mo.boundary(t.mask3(), 1)
+    """Mask voxels beside unset voxels; the grid edge is no boundary."""
+    return mo.boundary(t.mask3(), MASK3_GRID, 1)
 
 
 EDGES = {
@@ -107,7 +130,7 @@ def gauss_sql(source: str, sigma: float, axis: str, n: int = 64) -> str:
     values = ", ".join(f"({o}, cast({w!r} as double))" for o, w in kernel)
     return f"""select volume_id, {', '.join('x as ' + c if c == axis else c for c in 'ijk')}, sum(w * value) as value from (
         select s.volume_id, x.range as x, s.i, s.j, s.k, w, value from range({n}) x, (values {values}) t(o, w)
-        join {source} s on s.{axis} = case when x.range + o < 0 then -1 - (x.range + o) when x.range + o >= {n} then {2 * n - 1} - (x.range + o) else x.range + o end)
+        join {source} s on s.{axis} = least((x.range + o + {2 * n * radius}) % {2 * n}, {2 * n - 1} - (x.range + o + {2 * n * radius}) % {2 * n}))
         group by 1, 2, 3, 4"""
 
 
@@ -118,6 +141,17 @@ def _(t: Tables):
     return rounded(mo.gaussian(t.image(), IMAGE_GRID, 1.5), 4)
 
 
+THIN = "select volume_id, i, j, k % 3 as k, max(value) as value from field3 group by 1, 2, 3, 4"
+
+
+@query("gaussian_thin", compose("field3", "select volume_id, i, j, k, round(value, 4) as value from g1", {
+    "thin": THIN, "g1": gauss_sql("thin", 2.0, "k", 3)}))
+def _(t: Tables):
+    """Smoothing, σ 2, along an axis of three cells: the border is mirrored several times."""
+    thin = t.field3().groupBy("volume_id", "i", "j", (F.col("k") % 3).alias("k")).agg(F.max("value").alias("value"))
+    return rounded(mo.gaussian(thin, Grid.regular((16, 16, 3)), 2.0, "k"), 4)
+
+
 # --- distances -----------------------------------------------------------------------------------
 
 @query("distance_within", compose("seeds2", f"""
@@ -202,16 +236,62 @@ def _(t: Tables):
     return regions.prepare_markers(t.seeds2().withColumn("label", binary), t.mask2(), MASK2_GRID)
 
 
-@query("disk_mask")
+def otsu_sql(source: str, tag: str, bins: int = 256) -> dict[str, str]:
+    """Threshold ``t`` per volume in ``thr_<tag>``."""
+    slot = f"least(cast(floor((value - lo) / w) as bigint), {bins - 1})"
+    return {
+        f"lim_{tag}": f"select volume_id, min(value) as lo, (max(value) - min(value)) / cast({bins} as double) as w from {source} group by 1",
+        f"bars_{tag}": f"""select volume_id, {slot} as bin, lo + {slot} * w + w / 2 as c, count(*) as n
+                           from {source} join lim_{tag} using (volume_id) group by volume_id, bin, c""",
+        f"cum_{tag}": f"""select volume_id, bin, c, sum(n) over w as n1, sum(n * c) over w as m1, sum(n) over (partition by volume_id) as nall,
+                          sum(n * c) over (partition by volume_id) as mall from bars_{tag} window w as (partition by volume_id order by bin rows unbounded preceding)""",
+        f"thr_{tag}": f"""select volume_id, arg_max(c, (n1 * (nall - n1) * (m1 / n1 - (mall - m1) / (nall - n1)) * (m1 / n1 - (mall - m1) / (nall - n1)), -bin)) as t
+                          from cum_{tag} where n1 > 0 and nall > n1 group by 1"""}
+
+
+def parts_sql(mask: str, tag: str, n: int, near: str) -> dict[str, str]:
+    """Components of a flat mask with their sizes in ``parts_<tag>``; the label is the smallest flat index."""
+    own = lambda text: re.sub(r"\b(from|join) (px|links|reach|roots|comp)\b", rf"\1 \2_{tag}", text)
+    out = {f"{name}_{tag}": own(text) for name, text in component_sql(mask, n, 1, near).items()}
+    out[f"parts_{tag}"] = f"select *, count(*) over (partition by volume_id, label) as size from comp_{tag}"
+    return out
+
+
+def largest_sql(tag: str) -> str:
+    return f"""select p.volume_id, i, j, k from parts_{tag} p join (select volume_id, arg_max(label, (size, -label)) as best from parts_{tag} group by 1) b
+               on b.volume_id = p.volume_id and b.best = p.label"""
+
+
+def fill_sql(mask: str, tag: str, n: int) -> dict[str, str]:
+    """The mask and the gaps that no face path joins to the border, in ``full_<tag>``."""
+    return {
+        f"gap_{tag}": unset_sql(mask, (n, n, 1)),
+        f"sea_{tag}": f"""select * from gap_{tag} where i in (0, {n - 1}) or j in (0, {n - 1})
+            union select g.* from sea_{tag} s join gap_{tag} g on g.volume_id = s.volume_id and abs(g.i - s.i) + abs(g.j - s.j) = 1""",
+        f"full_{tag}": f"select * from ({cells_sql(mask, (n, n, 1))}) anti join sea_{tag} using (volume_id, i, j, k)"}
+
+
+BOX15 = "di between -7 and 7 and dj between -7 and 7"
+DISK = {
+    **otsu_sql("image", "a"), "bright": "select volume_id, i, j, k from image join thr_a using (volume_id) where value > t",
+    **parts_sql("bright", "a", 64, NEAR8), "big": largest_sql("a"), **fill_sql("big", "a", 64),
+    "broad": f"select * from ({shifted_sql('full_a', BOX15, 7, 2)}) where i between 0 and 63 and j between 0 and 63 group by all",
+    **fill_sql("broad", "b", 64), "disk": erode_sql("full_b", BOX15, 7, 2, 225)}
+DOTS = {
+    **DISK, "inside": "select image.* from image semi join disk using (volume_id, i, j, k)", **otsu_sql("inside", "b"),
+    "dark": "select volume_id, i, j, k from inside join thr_b using (volume_id) where value < t", **parts_sql("dark", "b", 64, NEAR4)}
+
+
+@query("disk_mask", compose("image", "select * from disk", DISK, recursive=True))
 def _(t: Tables):
     """Large disc of every image tile."""
-    return regions.disk_mask(t.image(), IMAGE_GRID, 5)
+    return regions.disk_mask(t.image(), IMAGE_GRID)
 
 
-@query("dot_mask")
+@query("dot_mask", compose("image", "select volume_id, i, j, k from parts_b where size >= 2", DOTS, recursive=True))
 def _(t: Tables):
     """Dark dots inside the disc of every image tile."""
-    return regions.dot_mask(t.image(), regions.disk_mask(t.image(), IMAGE_GRID, 5), IMAGE_GRID)
+    return regions.dot_mask(t.image(), regions.disk_mask(t.image(), IMAGE_GRID), IMAGE_GRID)
 
 
 @query("label_foreground_fallback", compose("image", """
@@ -229,7 +309,15 @@ def _(t: Tables):
     return regions.label_foreground_fallback(t.image())
 
 
-@query("segment_foreground")
+@query("segment_foreground", compose("image", f"select * from ({largest_sql('t')})", {
+    "unit": "select volume_id, i, j, k, (value - lo) / (hi - lo) as value from image join (select volume_id, min(value) as lo, max(value) as hi from image group by 1) using (volume_id)",
+    "s1": gauss_sql("unit", 1.0, "i"), "smooth": gauss_sql("s1", 1.0, "j"), **otsu_sql("smooth", "s"),
+    "lit": "select volume_id, i, j, k from smooth join thr_s using (volume_id) where value > t", **parts_sql("lit", "s", 64, NEAR4),
+    "kept": "select volume_id, i, j, k from parts_s where size >= 8",
+    "broad": f"select * from ({shifted_sql('kept', 'di * di + dj * dj <= 1', 1, 2)}) where i between 0 and 63 and j between 0 and 63 group by all",
+    "holes": unset_sql("broad", (64, 64, 1)), "eaten": f"select * from ({shifted_sql('holes', 'di * di + dj * dj <= 1', 1, 2)}) group by all",
+    "shut": f"select * from ({cells_sql('broad', (64, 64, 1))}) anti join eaten using (volume_id, i, j, k)",
+    **fill_sql("shut", "s", 64), **parts_sql("full_s", "t", 64, NEAR4)}, recursive=True))
 def _(t: Tables):
     """Whole foreground chain on every image tile."""
     return regions.segment_foreground(t.image(), IMAGE_GRID)
@@ -244,22 +332,37 @@ def _(t: Tables):
 
 @query("region_grow")
 def _(t: Tables):
-    """Markers grown over similar pixels."""
+    """Markers grown over similar pixels, measured against the mean of the growing region."""
     mask = t.field2().where("value > 20").select("volume_id", "i", "j", "k")
     return regions.region_grow(t.field2(), t.seeds2(), mask, MASK2_GRID, 12.0, 3)
 
 
+@query("region_grow_fixed", compose("field2 seeds2", """
+    select volume_id, i, j, k, min(label) as label from claims group by 1, 2, 3, 4""", {
+    "alike": """select s.volume_id, s.label, f.i, f.j, f.k from seeds2 s join field2 f on f.volume_id = s.volume_id and f.i between s.i - 3 and s.i + 3 and f.j between s.j - 3 and s.j + 3
+        left join seeds2 o on o.volume_id = f.volume_id and o.i = f.i and o.j = f.j
+        join field2 c on c.volume_id = s.volume_id and c.i = s.i and c.j = s.j
+        where f.value > 20 and (f.i - s.i) ** 2 + (f.j - s.j) ** 2 <= 9 and abs(f.value - c.value) <= 1.5 and (o.label is null or o.label = s.label)""",
+    "claims": """select volume_id, label, i, j, k from seeds2 union
+        select p.volume_id, p.label, p.i, p.j, p.k from claims c join alike p on p.volume_id = c.volume_id and p.label = c.label
+        and abs(p.i - c.i) <= 1 and abs(p.j - c.j) <= 1"""}, recursive=True))
+def _(t: Tables):
+    """Markers grown over pixels close to the marker's own value, where no two markers claim a pixel."""
+    mask = t.field2().where("value > 20").select("volume_id", "i", "j", "k")
+    return regions.region_grow(t.field2(), t.seeds2(), mask, MASK2_GRID, 1.5, 3, running_mean=False)
+
+
 @query("log_blobs")
 def _(t: Tables):
-    """Blobs of the normalised images at five scales."""
+    """Blobs of the normalised images at all scales."""
     image = aggregate.normalize_minmax(t.image())
-    return rounded(regions.log_blobs(image, IMAGE_GRID, regions.blob_sigmas(25.0, 8.0, 5), 0.02), 4)
+    return rounded(regions.log_blobs(image, IMAGE_GRID, regions.blob_sigmas(25.0, 8.0), 0.02), 4)
 
 
 @query("fibre_segmentation")
 def _(t: Tables):
     """Disc, dots, blobs, watershed, area filter and region table in one workflow."""
-    return rounded(fibre_segmentation(t.image(), IMAGE_GRID, 25.0, 8.0, scales=3, disk_size=5))
+    return rounded(fibre_segmentation(t.image(), IMAGE_GRID, 25.0, 8.0))
 
 
 # --- raster --------------------------------------------------------------------------------------

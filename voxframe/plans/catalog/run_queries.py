@@ -8,7 +8,7 @@ from ...grid import Grid
 from ...operators import aggregate, cells, registration, similarity, transforms
 from ...session import cut_lineage, scratch_path
 from ...sources import points as ps, runs, volumes
-from ...streaming.patch_stream import stream_patch_results
+from ...streaming.patch_stream import stored_counts, stream_patch_results
 from ..adapters import PTS_GRID, VOX_GRID, Tables
 from ..oracle_sql import compose
 from ..workflows import regrid_counts, slab_correlation
@@ -183,7 +183,7 @@ def _(t: Tables):
 
 # --- registration --------------------------------------------------------------------------------
 
-def _poses(t: Tables, step: int = 90):
+def _poses(t: Tables, step: int = 30):
     centres = aggregate.foreground_centroid(t.vox_a(), VOX_GRID.spacing).select(
         "volume_id", "center_x", "center_y", "center_z", F.lit(1.0).alias("axis_x"), F.lit(0.2).alias("axis_y"), F.lit(0.1).alias("axis_z"))
     return transforms.roll_flip_matrices(transforms.pose_table(centres, step))
@@ -191,7 +191,7 @@ def _poses(t: Tables, step: int = 90):
 
 @query("score_candidates")
 def _(t: Tables):
-    """Eight poses per volume scored against the fixed map."""
+    """All 24 poses per volume scored against the fixed map."""
     return rounded(registration.score_candidates(t.vox_a(), t.vox_b(), _poses(t), VOX_GRID))
 
 
@@ -256,7 +256,7 @@ def _(t: Tables):
     return rounded(out.select("volume_id", "image", "scope", "n", "ncc"), 5)
 
 
-@query("sample_rows")
+@query("sample_rows", compose("cloud", "select volume_id, point_id, x, y, z from cloud order by md5('1234|' || cast(point_id as varchar)), point_id limit 300"))
 def _(t: Tables):
     """300 points of the cloud in hash order."""
     return registration.sample_rows(t.cloud(), "point_id", 300, 1234)
@@ -299,11 +299,12 @@ def _(t: Tables):
 
 @query("stream_patch_results", compose("patch_labels", "select volume_id, patch_index, local_label, count(*) as voxels from patch_labels group by 1, 2, 3"))
 def _(t: Tables):
-    """Patch labels delivered in two rounds, the first patches twice; the store equals the batch result."""
+    """Patch labels delivered in two rounds: some patches twice in one round, some in both, and one in two parts."""
     incoming, store, mark = (scratch_path(t.spark, n) for n in ("incoming", "store", "progress"))
     labels = cut_lineage(t.patch_labels())
-    labels.where("patch_index < 6").write.mode("append").parquet(incoming)
+    early = labels.where("patch_index < 6 and (patch_index <> 4 or i % 2 = 0)")
+    early.unionByName(labels.where("patch_index = 1")).write.mode("append").parquet(incoming)
     stream_patch_results(t.spark, incoming, store, mark).awaitTermination()
     labels.where("patch_index >= 3").write.mode("append").parquet(incoming)
     stream_patch_results(t.spark, incoming, store, mark).awaitTermination()
-    return t.spark.read.parquet(store).select("volume_id", "patch_index", "local_label", "voxels")
+    return stored_counts(t.spark, store)

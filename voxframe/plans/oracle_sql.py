@@ -36,8 +36,9 @@ CTES = {
                max(l_quantity) as value from lineitem group by 1, 2, 3, 4""",
     "mask3": "select volume_id, i, j, k from field3 where value > 20",
     "cloud": """
-        select cast(label as bigint) as volume_id, vec_id as point_id, cast(embedding[1] as double) as x,
-               cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings""",
+        select cast(label as bigint) as volume_id, vec_id * 1000 + n as point_id, cast(embedding[3 * n + 1] as double) as x,
+               coalesce(cast(embedding[3 * n + 2] as double), 0) as y, coalesce(cast(embedding[3 * n + 3] as double), 0) as z
+        from (select *, unnest(range((len(embedding) + 2) // 3)) as n from embeddings)""",
     "plane": """
         select * from (select l_orderkey // 4000 as volume_id, l_partkey % 128 as i,
                (l_suppkey + 13 * l_linenumber) % 96 as j, cast(0 as bigint) as k, max(l_quantity) as value

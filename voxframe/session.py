@@ -35,8 +35,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests, laptops) a temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``. Only on a local master a temporary
+    folder takes its place where that is unset; executors on other machines could not see it.
     """
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -46,6 +46,8 @@ def checkpoint_root(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if not active:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-voxframe-"))
         active = context.getCheckpointDir()
     return active

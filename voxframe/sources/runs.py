@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 # Grammar of patch file names, and of parameter lines.
-PATCH_NAME = r"(?i)patch_(\d+)_z(\d+)-(\d+)_y(\d+)-(\d+)_x(\d+)-(\d+)\.nii(?:\.gz)?$"
+PATCH_NAME = r"(?i)(?:^|/)patch_(\d+)_z(\d+)-(\d+)_y(\d+)-(\d+)_x(\d+)-(\d+)\.nii(?:\.gz)?$"
 PARAMETER_LINE = r"^\s*\(\s*(\S+)\s+(.*?)\s*\)\s*$"
 BOX = ("patch_index", "z0", "z1", "y0", "y1", "x0", "x1")
 

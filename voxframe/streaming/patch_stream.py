@@ -19,27 +19,35 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+VOXEL = [*KEYS, "i", "j", "k"]
+
+
 def stream_patch_results(spark: SparkSession, incoming: str, store: str, checkpoint: str):
-    """Keep (volume, patch, label, voxels) for every patch that arrived; a patch delivered again is ignored.
+    """Keep every label voxel of every patch once, however often and in however many parts it is delivered.
 
-    Each micro-batch writes its own ``batch`` folder, overwriting it when the batch is
-    retried after a failure, so the store holds every batch exactly once.
+    Each micro-batch writes the voxels that no earlier batch holds into its own ``batch`` folder, and overwrites
+    that folder when it is retried after a failure. The first delivery of a voxel counts; ``stored_counts`` reads
+    the store.
     """
     arrivals = spark.readStream.schema(PATCH_LABELS).parquet(incoming)
 
     def store_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        counts = batch.groupBy(*KEYS, "local_label").agg(F.count("*").alias("voxels"))
+        fresh = batch.groupBy(*VOXEL).agg(F.min("local_label").alias("local_label"))
         known = _stored(session, store)
         if known is not None:
-            earlier = known.where(F.col("batch") != batch_id).select(*KEYS).distinct()
-            counts = counts.join(earlier, KEYS, "left_anti")
-        counts.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+            fresh = fresh.join(known.where(F.col("batch") != batch_id).select(*VOXEL), VOXEL, "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return (arrivals.writeStream.foreachBatch(store_batch).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def stored_counts(spark: SparkSession, store: str) -> DataFrame:
+    """(volume, patch, label, voxels) of all that has arrived."""
+    return label_counts(spark.read.parquet(store))
+
+
 def label_counts(patch_labels: DataFrame) -> DataFrame:
     """The batch equivalent."""
     return patch_labels.groupBy(*KEYS, "local_label").agg(F.count("*").alias("voxels"))
