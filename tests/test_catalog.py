@@ -7,8 +7,19 @@ from voxframe.plans.catalog import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
 
+# Queries that SQL does not express, and what checks them instead.
+WITHOUT_SQL = {
+    "correlation_summary": "p-values and limits of the t distribution; test_functions and test_statistics_guards",
+    "augment_volumes": "random by design; its ranges are checked here by running it",
+    "seeded_watershed": "arrival order over paths; test_watershed floods in sequence",
+    "region_grow": "the mean moves while a region grows; test_region_grow grows in rings",
+    "log_blobs": "pruning from the largest down; test_blob_is_found and test_pruned_blobs_prune_no_others",
+    "fibre_segmentation": "composed of the two above",
+    "score_candidates": "resampling by 24 arbitrary matrices; its parts have SQL of their own",
+}
+
 
 @pytest.mark.parametrize("name", list(REGISTRY))
 def test_query(spark, name):
     status, count, _, note = compare(spark, FOLDER, name, REGISTRY[name])
-    assert status in ("ok", "rows"), note
+    assert status == ("rows" if name in WITHOUT_SQL else "ok"), note
