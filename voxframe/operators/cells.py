@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rounding import half_even
@@ -101,7 +103,7 @@ def unique_density(densities: DataFrame, column: str = "density", top: int = 20)
 
 
 def block_of_voxel(voxels: DataFrame, factors, blocks) -> DataFrame:
-    """Block of each voxel along i and j: block ``b`` covers ``[int(b·f), int((b+1)·f))``.
+    """Block of each voxel along i and j, and k where a third factor is given: block ``b`` covers ``[int(b·f), int((b+1)·f))``.
 
     The bounds are turned into an index → block lookup per axis (one row per index of
     the axis), so the range condition becomes an equi-join. Factors below one make
@@ -109,7 +111,7 @@ def block_of_voxel(voxels: DataFrame, factors, blocks) -> DataFrame:
     """
     spark = voxels.sparkSession
     out = voxels
-    for axis, factor, count in zip(("i", "j"), factors, blocks):
+    for axis, factor, count in zip(("i", "j", "k"), factors, blocks):
         b = F.col("id")
         start, stop = F.floor(b * F.lit(float(factor))), F.floor((b + 1) * F.lit(float(factor)))
         lookup = (spark.range(int(count)).where(stop > start)
@@ -120,7 +122,14 @@ def block_of_voxel(voxels: DataFrame, factors, blocks) -> DataFrame:
 
 def block_label_count(blocked_labels: DataFrame, radius_um: float, block_volume_um: float) -> DataFrame:
     """Distinct labels per block with surface and surface-to-volume from the fibre radius."""
-    per_label = blocked_labels.where("label <> 0").select("volume_id", "block_i", "block_j", "label").distinct()
-    counted = per_label.groupBy("volume_id", "block_i", "block_j").agg(F.count("*").alias("n_labels"))
+    block = [c for c in ("block_i", "block_j", "block_k") if c in blocked_labels.columns]
+    per_label = blocked_labels.where("label <> 0").select("volume_id", *block, "label").distinct()
+    counted = per_label.groupBy("volume_id", *block).agg(F.count("*").alias("n_labels"))
     surface = F.col("n_labels") * F.lit(2.0) * F.pi() * F.lit(float(radius_um))
     return counted.withColumn("surface", surface).withColumn("s_over_v", surface / F.lit(float(block_volume_um)))
+
+
+def block_summary(counted: DataFrame, blocks) -> DataFrame:
+    """Number of blocks, mean and maximum of surface-to-volume per volume; blocks without labels count as 0."""
+    total = math.prod(blocks)
+    return counted.groupBy("volume_id").agg(F.lit(total).cast("long").alias("n_blocks"), (F.sum("s_over_v") / total).alias("mean"), F.max("s_over_v").alias("max"))

@@ -58,7 +58,12 @@ PLANE_CODES = {"sagittal": ("L", "R"), "coronal": ("P", "A"), "axial": ("I", "S"
 
 
 def slab(voxels: DataFrame, grids: DataFrame, plane: str, range_mm: tuple[float, float]) -> DataFrame:
-    """Voxels whose centre along the plane's stacking axis lies in the closed range (mm from the edge)."""
+    """Voxels whose centre along the plane's stacking axis lies in the closed range (mm from the edge).
+
+    A range that is negative or turned round is an error; ``require_nonempty`` tells whether anything is left.
+    """
+    if not 0 <= range_mm[0] <= range_mm[1]:
+        raise ValueError(f"{range_mm} is no slab range")
     affine = F.col("affine")
     scale = spacing_um(affine, F.col("unit"))
     position = F.lit(None).cast("double")

@@ -11,7 +11,7 @@ from ..grid import Grid, attach_grid
 from ..session import cut_lineage
 from . import components as cc
 from .aggregate import normalize_minmax, otsu
-from .filters import mask_and
+from .filters import mask_and, require_nonempty
 from .morphology import FACE_OFFSETS, closing, dilate_box, erode_box, gaussian, gaussian_kernel, reflected, send
 from .ranking import dense_relabel
 
@@ -60,7 +60,8 @@ def segment_foreground(image: DataFrame, grid: Grid | DataFrame, sigma: float =
 
 
 def seeds_in_mask(seeds: DataFrame, mask: DataFrame) -> DataFrame:
-    return seeds.join(mask.select(*KEY), KEY, "left_semi")
+    """Seeds inside the mask; none at all is an error."""
+    return require_nonempty(seeds.join(mask.select(*KEY), KEY, "left_semi"), "the seeds inside the mask")
 
 
 def prepare_markers(markers: DataFrame, mask: DataFrame, grid: Grid | DataFrame, relabel: bool = True) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.validity import is_finite
 from ..session import cut_lineage
 from .ranking import quantiles
 from .stats import safe_corr
+from .filters import require_nonempty
 
 KEY = ["volume_id", "i", "j", "k"]
 FLAT = 1e-12
@@ -73,9 +74,9 @@ def similarity(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: i
 
 
 def align(fixed: DataFrame, moving: DataFrame) -> DataFrame:
-    """Join two maps voxel by voxel as ``a`` and ``b``."""
-    return (fixed.select(*KEY, F.col("value").alias("a"))
-            .join(moving.select(*KEY, F.col("value").alias("b")), KEY))
+    """Join two maps voxel by voxel as ``a`` and ``b``; maps without a common voxel are an error."""
+    both = fixed.select(*KEY, F.col("value").alias("a")).join(moving.select(*KEY, F.col("value").alias("b")), KEY)
+    return require_nonempty(both, "the join of the maps")
 
 
 def scoped(pairs: DataFrame, mask: DataFrame) -> DataFrame:

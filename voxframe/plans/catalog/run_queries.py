@@ -289,12 +289,23 @@ def _(t: Tables):
 
 
 @query("block_sv", compose("labels2", """
-    select volume_id, count(*) as n_blocks, round(avg(s), 6) as mean, round(max(s), 6) as max from (
+    select volume_id, cast(36 as bigint) as n_blocks, round(sum(s) / 36, 6) as mean, round(max(s), 6) as max from (
       select volume_id, i // 8 as bi, j // 8 as bj, count(distinct label) * 2 * pi() * 12.5 / 2500 as s from labels2 group by 1, 2, 3) group by 1"""))
 def _(t: Tables):
     """Summary of surface-to-volume per block."""
     blocked = cells.block_label_count(cells.block_of_voxel(t.labels2(), (8.0, 8.0), (6, 6)), 12.5, 2500.0)
-    return rounded(blocked.groupBy("volume_id").agg(F.count("*").alias("n_blocks"), F.avg("s_over_v").alias("mean"), F.max("s_over_v").alias("max")))
+    return rounded(cells.block_summary(blocked, (6, 6)))
+
+
+@query("block_sv3", compose("field3", """
+    select volume_id, cast(32 as bigint) as n_blocks, round(sum(s) / 32, 6) as mean, round(max(s), 6) as max from (
+      select volume_id, i // 4 as bi, j // 8 as bj, k // 2 as bk, count(distinct (i + j + k) % 7 + 1) * 2 * pi() * 12.5 / 2500 as s
+      from field3 group by 1, 2, 3, 4) group by 1"""))
+def _(t: Tables):
+    """The same over blocks in three axes."""
+    labels = t.field3().select("volume_id", "i", "j", "k", ((F.col("i") + F.col("j") + F.col("k")) % 7 + 1).alias("label"))
+    blocked = cells.block_label_count(cells.block_of_voxel(labels, (4.0, 8.0, 2.0), (4, 2, 4)), 12.5, 2500.0)
+    return rounded(cells.block_summary(blocked, (4, 2, 4)))
 
 
 @query("stream_patch_results", compose("patch_labels", "select volume_id, patch_index, local_label, count(*) as voxels from patch_labels group by 1, 2, 3"))

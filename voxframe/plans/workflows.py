@@ -44,7 +44,8 @@ def low_density(points: DataFrame, point_grid: Grid, target: Grid, reference: Da
 def slab_correlation(points: DataFrame, point_grid: Grid, target: Grid, metrics: DataFrame, grids: DataFrame,
                      plane: str, range_mm: tuple[float, float], **options) -> DataFrame:
     """The density correlation restricted to a slab of the grid."""
-    out = density_correlation(points, point_grid, target, filters.slab(metrics, grids, plane, range_mm), **options)
+    cut = filters.require_nonempty(filters.slab(metrics, grids, plane, range_mm), "the slab")
+    out = density_correlation(points, point_grid, target, cut, **options)
     low, high = range_mm
     return out.withColumns({"slab_plane": F.lit(plane), "slab_low_mm": F.lit(float(low)), "slab_high_mm": F.lit(float(high))})
 

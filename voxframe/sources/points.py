@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.filters import require_nonempty
 from ..operators.geometry import inverse_affine, transform_point
 
 WORLD = ("world_x", "world_y", "world_z")
@@ -25,9 +26,9 @@ def cast_or_drop(df: DataFrame, columns: Sequence[str], kind: str = "double") ->
 def read_points(spark: SparkSession, path: str, affine: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Voxel coordinates ``x, y, z`` of a centre table.
 
-    World columns win over voxel columns and go through the inverse of ``affine``.
+    World columns win over voxel columns and go through the inverse of ``affine``. An empty table is an error.
     """
-    raw = read_text_table(spark, path)
+    raw = require_nonempty(read_text_table(spark, path), path)
     if all(c in raw.columns for c in WORLD):
         world = cast_or_drop(raw, WORLD)
         moved = transform_point(inverse_affine(affine), *[F.col(c) for c in WORLD])

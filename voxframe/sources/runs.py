@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
+from ..operators.filters import require_nonempty
+
 # Grammar of patch file names, and of parameter lines.
 PATCH_NAME = r"(?i)(?:^|/)patch_(\d+)_z(\d+)-(\d+)_y(\d+)-(\d+)_x(\d+)-(\d+)\.nii(?:\.gz)?$"
 PARAMETER_LINE = r"^\s*\(\s*(\S+)\s+(.*?)\s*\)\s*$"
@@ -12,8 +14,8 @@ BOX = ("patch_index", "z0", "z1", "y0", "y1", "x0", "x1")
 
 
 def list_patches(names: DataFrame, column: str = "name") -> DataFrame:
-    """Patch boxes from file names; names that do not follow the grammar are skipped."""
-    parsed = names.where(F.col(column).rlike(PATCH_NAME))
+    """Patch boxes from file names; names that do not follow the grammar are skipped, and it is an error if all are."""
+    parsed = require_nonempty(names.where(F.col(column).rlike(PATCH_NAME)), "the list of patch files")
     return parsed.select(*[c for c in names.columns], *[
         F.regexp_extract(column, PATCH_NAME, n + 1).cast("long").alias(c) for n, c in enumerate(BOX)])
 
