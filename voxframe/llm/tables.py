@@ -1,9 +1,26 @@
-"""Reading the corpus tables through Spark only."""
+"""Reading the corpus tables and keeping intermediate tables, through Spark only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import scratch_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again, so it survives the loss of executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(stored: DataFrame) -> None:
+    """Delete what ``store`` wrote and nothing reads any more."""
+    hadoop = stored.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in {f.rpartition("/")[0] for f in stored.inputFiles()}:
+        folder = hadoop(path)
+        folder.getFileSystem(stored.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
