@@ -149,3 +149,29 @@ def chat_digest(chats: DataFrame, template: Template = INSTRUCT) -> DataFrame:
     return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
                        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                        F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+def chat_sql(extra: str, template: Template = INSTRUCT) -> str:
+    """The digest in SQL, over ``conversations`` and the ``extra`` rows. The role order is a pattern of the machine above."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def escape(column: str) -> str:
+        out = f"replace({column}, {quoted(ESCAPE)}, {quoted(ESCAPE * 2)})"
+        for control in template.controls():
+            out = f"replace({out}, {quoted(control)}, {quoted(control[0] + ESCAPE + control[1:])})"
+        return out
+
+    marks = " ".join(f"WHEN {quoted(role)} THEN {len(template.opening(turn)) + len(turn.close)}" for role, turn in template.roles.items())
+    other = len(template.opening(template.other)) + len(template.other.close) + len("[/ROLE] ")
+    loss = ", ".join(quoted(role) for role, turn in template.roles.items() if turn.loss)
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+    SELECT conv_id, turn, role, text FROM conversations UNION ALL {extra}))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role IN ({loss})), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {order}) FILTER (WHERE role IN ({loss})), '')) AS loss_sha256,
+       CAST(sum(length({escape('text')}) + CASE role {marks} ELSE {other} + length({escape('role')}) END) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(CASE role WHEN 'system' THEN 'S' WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'X' END, '' {order}), 'S?(UA)+') AS valid
+FROM t GROUP BY conv_id"""

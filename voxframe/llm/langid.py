@@ -20,7 +20,7 @@ from .quality import fit_scale
 
 ORDER = 5
 DISCOUNT = 0.75
-MAX_PER_LANGUAGE = 2000    # expected documents per language that the models are fitted on
+MAX_PER_LANGUAGE = 1000    # expected documents per language that the models are fitted on
 UNKNOWN = "und"
 MIN_SCORE = 0.5            # below: rejected
 START, END = 1, 2          # marks around a word; no letters
@@ -177,7 +177,8 @@ def train(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> Model:
     spark = docs.sparkSession
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("fold", fold_of("doc_id")).where("fold <> 0")
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("limit", (F.least(F.lit(1.0), most / F.col("n")) * (1 << 20)).cast("long"))
-    chosen = (usable.join(counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("limit")).select("lang", "fold", "text"))
+    few = counts.count() <= 10_000  # one row per language
+    chosen = (usable.join(F.broadcast(counts) if few else counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("limit")).select("lang", "fold", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import bpe, chat, fingerprint, jaccard, langid, packing, pii, quality, secrets, sharding
 from .tables import table
 
-CONTROL_CHAT = """SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]')
-                  AS t(conv_id, turn, role, text)"""
+CONTROL_CHAT = """SELECT -7 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
+                  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'"""
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_sharding, op4_bpe, op5_secrets, op6_pii, op7_fingerprint, op8_language, op9_packing, op10_chat)}
-ORACLES: dict[str, str] = {"op3_sharding": sharding.sharding_sql()}
+QUERIES["pipeline"] = corpus_pipeline.run
+ORACLES: dict[str, str] = {
+    "op2_jaccard": jaccard.jaccard_sql(3, 90), "op3_sharding": sharding.sharding_sql(), "op10_chat": chat.chat_sql(CONTROL_CHAT)}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
