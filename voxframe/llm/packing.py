@@ -10,10 +10,11 @@ number among the pieces of its length. The result is that of one best-fit-decrea
 from __future__ import annotations
 
 import os
-import zlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,7 +23,7 @@ from .ranks import number_rows
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 300_000
+CACHED_WORDS = 400_000  # in each of two generations
 
 
 class TightestBins:
@@ -104,33 +105,73 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Ru
     return runs, opened
 
 
-_WORDS: dict[str, dict[bytes, bytes]] = {}
-_TOKENIZERS: dict[str, object] = {}
+class Chunks:
+    """Ids of white-space separated chunks. Each is encoded once; the least recently seen are forgotten beyond a bound.
 
+    White space ends every token of this vocabulary and composes with nothing, so the ids of a text are those of
+    its chunks. A run of ASCII letters before a run of ASCII punctuation is one token group of its own.
+    """
+
+    MARK = b"\x7f"     # stands between chunks that are encoded together
+    PARTS = re.compile(rb"([a-z]+)([.,:;!?#*$%&|<>()]+)")
 
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-        _TOKENIZERS[path].encode_special_tokens = True  # such strings in a text are ordinary text
-    return _TOKENIZERS[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.most, self.known, self.older = most, {}, {}
+        self.mark = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        plain = [c for c in chunks if self.MARK not in c]
+        for at in range(0, len(plain), 1024):
+            some = plain[at:at + 1024]
+            joined = (b" " + self.MARK + b" ").join(some).decode("utf-8", "surrogatepass")
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)] if len(self.mark) == 1 else []
+            if len(ends) != len(some):
+                self._one_by_one(some)
+                continue
+            data = ids.tobytes()
+            self.known.update((chunk, data[low:4 * high]) for chunk, low, high in zip(some, [0, *[4 * e + 4 for e in ends[:-1]]], ends))
+        self._one_by_one([c for c in chunks if self.MARK in c])
+
+    def _one_by_one(self, chunks: list[bytes]) -> None:
+        for chunk in chunks:
+            ids = self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
+            self.known[chunk] = np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, little-endian unsigned 32-bit."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        chunks = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        known, older, whole, split = self.known, self.older, [], []
+        for chunk in set().union(*chunks).difference(known):
+            if chunk in older:
+                known[chunk] = older[chunk]
+            elif parts := self.PARTS.fullmatch(chunk):
+                split.append((chunk, *parts.groups()))
+            else:
+                whole.append(chunk)
+        pieces = {p for _, *both in split for p in both}.difference(known, whole)
+        self._encode([*whole, *pieces])
+        for chunk, word, sign in split:
+            known[chunk] = known[word] + known[sign]
+        find = known.__getitem__
+        return [b"".join(map(find, words)) for words in chunks]
+
+
+_CHUNKS: dict[str, Chunks] = {}
 
 
 def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of every text, little-endian. White space ends every token of this vocabulary, so each distinct chunk is encoded once."""
-    known = _WORDS.setdefault(path, {})
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    chunks = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-    fresh = list({c for words in chunks for c in words if c not in known})
-    for at in range(0, len(fresh), 4096):
-        some = fresh[at:at + 4096]
-        coded = _tokenizer(path).encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in some], add_special_tokens=False)
-        known.update((c, b"".join(i.to_bytes(4, "little") for i in e.ids)) for c, e in zip(some, coded))
-    find = known.__getitem__
-    return [b"".join(map(find, words)) for words in chunks]
+    """``Chunks`` of a task's process, which remembers across tasks."""
+    if path not in _CHUNKS:
+        _CHUNKS[path] = Chunks(path)
+    return _CHUNKS[path].encode(texts)
 
 
 def piece_rows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -141,8 +182,8 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 4 * capacity
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                some = batch.slice(low, 512)
+            for low in range(0, batch.num_rows, 2048):
+                some = batch.slice(low, 2048)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 source, numbers, starts, lengths, ids = [], [], [], [], []
                 for row, coded in enumerate(_encode_texts(tokenizer, texts)):
