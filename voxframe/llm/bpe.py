@@ -1,22 +1,27 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
-Texts are cut into pre-tokens in blocks of bounded size. A block gives one row per distinct word with the
-word's positions. Every distinct word of the corpus is encoded once, its ids are joined back to the blocks,
-and each block is put together again by position. Decoding joins ids with the token-byte table.
+Texts are cut into pre-tokens in blocks of bounded size: the positions of a block, and its distinct words in
+messages by bucket of their hash. All messages of a bucket meet in one place, where every distinct word of the
+corpus is encoded once; the answers return to their blocks, whose texts are put together again by position.
+Decoding joins ids with the token-byte table.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-BLOCK_BYTES = 16 << 20
+BLOCK_CHARS = 16 << 20
+SHORT, MIDDLE = 1 << 7, 1 << 14  # numbers below take one byte, and two
+BUCKETS = 512  # words with one remainder of their hash travel together
 #: White space as the Unicode property; Python's own class also has the separators U+001C to U+001F.
 SPACE = r"\p{White_Space}"
 
@@ -52,8 +57,37 @@ def unpack_numbers(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def pack_strings(items: list[bytes]) -> bytes:
+    lengths, _ = pack_numbers(np.fromiter(map(len, items), np.int64, len(items)))
+    return np.array([len(items)], "<u4").tobytes() + lengths.tobytes() + b"".join(items)
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    count = int(np.frombuffer(data, "<u4", 1)[0])
+    flat = np.frombuffer(data, np.uint8, offset=4)
+    head = int(np.flatnonzero(flat < 128)[count - 1]) + 1 if count else 0
+    ends = np.cumsum(unpack_numbers(flat[:head])).tolist()
+    body = data[4 + head:]
+    return [body[low:high] for low, high in zip([0, *ends[:-1]], ends)]
+
+
+def word_numbers(width: np.ndarray) -> np.ndarray:
+    """Numbers of a block's words in bucket order: first those of width class 0, then 1, then 2."""
+    number = np.empty(len(width), np.int64)
+    number[np.argsort(width, kind="stable")] = np.arange(len(width))
+    return number
+
+
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _Block:
-    """Words of consecutive rows with their positions."""
+    """Distinct words of consecutive rows and the word at each position."""
 
     def __init__(self, find):
         self.find, self.words, self.places, self.counts, self.ids, self.size = find, {}, [], [], [], 0
@@ -69,34 +103,35 @@ class _Block:
         self.size += len(text)
 
     def rows(self, block: int) -> pa.RecordBatch:
-        place = np.concatenate(self.places) if self.places else np.zeros(0, np.int32)
-        order = np.argsort(place, kind="stable")
+        """The documents with their positions (bucket -1), and the words of every bucket."""
+        place = np.concatenate(self.places)
         uses = np.bincount(place, minlength=len(self.words))
-        first = np.cumsum(uses) - uses
-        steps = np.diff(order, prepend=0)
-        if len(order):
-            steps[first] = order[first]
-        data, lengths = pack_numbers(steps)
-        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate((first, [len(order)]))] if len(order) else np.zeros(1, np.int64)
-        positions = pa.Array.from_buffers(pa.binary(), len(self.words), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-        n = len(self.words)
-        head = pa.RecordBatch.from_arrays([
-            pa.array([block], pa.int64()), pa.array([f"block {block}"]), pa.array([None], pa.binary()),
-            pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.counts], pa.list_(pa.int64()))], names=NAMES)
-        body = pa.RecordBatch.from_arrays([
-            pa.array(np.full(n, block)), pa.array(list(self.words), pa.string()), positions,
-            pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], names=NAMES)
-        return head, body
-
-
-NAMES = ["block", "word", "positions", "doc_ids", "counts"]
-
-
-def explode_words(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per block and distinct word with its positions, and one row per block with its documents.
-
-    The latter has a key no word can equal (letters, space and digits), which spreads these rows like words.
-    """
+        words = [w.encode("utf-8", "surrogatepass") for w in self.words]
+        bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words), np.int64, len(words))
+        width = np.full(len(words), 2, np.uint8)       # frequent words get the short numbers
+        common = np.argsort(-uses, kind="stable")
+        width[common[:SHORT]], width[common[SHORT:MIDDLE]] = 0, 1
+        order = np.argsort(bucket, kind="stable")      # words by bucket, in which the ids will come back
+        number = np.empty(len(words), np.int64)
+        number[order] = word_numbers(width[order])
+        positions, _ = pack_numbers(number[place])
+        head = [np.array([len(words)], "<u8").tobytes(), width[order].tobytes(), positions.tobytes()]
+        present, starts = np.unique(bucket[order], return_index=True)
+        stops = [*starts[1:].tolist(), len(order)]
+        blobs = [squeeze(pack_strings([words[i] for i in order[low:high]])) for low, high in zip(starts.tolist(), stops)]
+        n = len(blobs) + 1
+        empty = [None] * len(blobs)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(n, block)), pa.array([-1, *present.tolist()], pa.int32()), pa.array([squeeze(b"".join(head), 6), *blobs], pa.binary()),
+             pa.array([self.ids, *empty], pa.list_(pa.int64())), pa.array([self.counts, *empty], pa.list_(pa.int64()))],
+            names=["block", "bucket", "data", "doc_ids", "counts"])
+
+
+MESSAGE = "block long, bucket int, data binary, doc_ids array<long>, counts array<long>"
+
+
+def explode_words(docs: DataFrame, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Per block one row with its documents and positions, and one row per bucket with its distinct words."""
     pattern = pretoken_pattern(pattern)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,14 +142,13 @@ def explode_words(docs: DataFrame, pattern: str, block_bytes: int = BLOCK_BYTES)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 block.add(doc_id, text.as_py() or "")
-                if block.size >= block_bytes:
-                    yield from block.rows(base + number)
+                if block.size >= block_chars:
+                    yield block.rows(base + number)
                     block, number = _Block(find), number + 1
         if block.ids:
-            yield from block.rows(base + number)
+            yield block.rows(base + number)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        cut, "block long, word string, positions binary, doc_ids array<long>, counts array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(cut, MESSAGE)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,40 +167,67 @@ def _encoder(path: str):
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_PACKED: dict[str, dict[int, bytes]] = {}
+
+
+def _packed_ids(path: str) -> dict[int, bytes]:
+    """The variable-length bytes of every id of the vocabulary."""
+    if path not in _PACKED:
+        ids = sorted(read_ranks(path).values())
+        data, lengths = pack_numbers(np.array(ids, np.int64))
+        ends, flat = np.cumsum(lengths).tolist(), data.tobytes()
+        _PACKED[path] = {i: flat[low:high] for i, low, high in zip(ids, [0, *ends], ends)}
+    return _PACKED[path]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row; a null text is empty.
 
     ``docs`` has an integer doc_id (may be null or repeated) and text; other columns are ignored. One row
     comes out for each row, in any order; empty tables give none.
     """
 
-    @F.pandas_udf(T.BinaryType())
-    def word_ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        single = _encoder(ranks)._encode_single_piece
-        for words in parts:
-            yield words.map(lambda w: np.array(single(w), "<u4").tobytes())
-
-    words = explode_words(docs, pattern, block_bytes).repartition("word")
-    coded = words.select("word").distinct().withColumn("ids", word_ids("word"))
-    joined = words.join(coded, "word").select("block", "positions", "doc_ids", "counts", "ids")
+    def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single, bucket, known = _encoder(ranks)._encode_single_piece, None, {}
+        packed = _packed_ids(ranks)
+        for batch in batches:
+            coded = []
+            for number, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if number < 0:
+                    coded.append(data)
+                    continue
+                if number != bucket:                   # the rows of a bucket stand together
+                    bucket, known = number, {}
+                ids = []
+                for word in unpack_strings(expand(data)):
+                    found = known.get(word)
+                    if found is None:
+                        found = known[word] = b"".join([packed[i] for i in single(word)])
+                    ids.append(found)
+                coded.append(squeeze(pack_strings(ids)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(coded, pa.binary()), batch.column(3), batch.column(4)], names=batch.schema.names)
+
+    # documents travel by block, words by bucket: equal words of all blocks meet in one bucket
+    key = F.when(F.col("bucket") < 0, F.xxhash64("block")).otherwise(F.xxhash64(F.col("bucket").cast("string")))
+    messages = explode_words(docs, pattern, block_chars).repartition(key).sortWithinPartitions("bucket")
+    answers = messages.mapInArrow(encode_words, MESSAGE)
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        is_head = rows["positions"].isna().to_numpy()
-        head = rows[is_head].iloc[0]
-        counts = np.asarray(head["counts"], np.int64)
-        body = rows[~is_head]
-        lengths = body["ids"].str.len().to_numpy(np.int64) // 4
-        table = np.frombuffer(b"".join(body["ids"]), "<u4")
-        from_ = np.cumsum(lengths) - lengths
-        data = np.frombuffer(b"".join(body["positions"]), np.uint8)
-        sizes = body["positions"].str.len().to_numpy(np.int64)
-        uses = np.add.reduceat(data < 128, np.cumsum(sizes) - sizes, dtype=np.int64) if len(sizes) else np.zeros(0, np.int64)
-        steps = np.cumsum(unpack_numbers(data))
-        firsts = np.cumsum(uses) - uses
-        before = np.where(firsts > 0, steps[firsts - 1], 0) if len(firsts) else steps
-        place = np.empty(len(steps), np.int32)
-        place[steps - np.repeat(before, uses)] = np.repeat(np.arange(len(uses), dtype=np.int32), uses)
-        bounds = np.concatenate(([0], np.cumsum(counts)))
+        rows = rows.sort_values("bucket")
+        head = rows.iloc[0]
+        told = expand(head["data"])
+        size = int(np.frombuffer(told, "<u8", 1)[0])
+        order = word_numbers(np.frombuffer(told, np.uint8, size, 8))
+        place = unpack_numbers(np.frombuffer(told, np.uint8, offset=8 + size)).astype(np.int32)
+        coded = [ids for data in rows["data"].iloc[1:] for ids in unpack_strings(expand(data))]
+        flat = np.frombuffer(b"".join(coded), np.uint8)
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        lengths, from_ = np.empty(len(coded), np.int64), np.empty(len(coded), np.int64)
+        if len(coded):
+            many = np.add.reduceat(flat < 128, np.cumsum(sizes) - sizes, dtype=np.int64)
+            lengths[order], from_[order] = many, np.cumsum(many) - many
+        table = unpack_numbers(flat).astype("<u4")
+        bounds = np.concatenate(([0], np.cumsum(np.asarray(head["counts"], np.int64))))
         ids = []
         for low, high in zip(bounds[:-1], bounds[1:]):
             used = place[low:high]
@@ -175,7 +236,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_bytes: int = BLOCK_B
             ids.append(table[at].tobytes())
         return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
 
-    return joined.groupBy("block").applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
+    return answers.groupBy("block").applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
