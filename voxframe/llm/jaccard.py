@@ -34,7 +34,7 @@ FREQUENT = 32
 BROADCAST_ROWS = 200_000
 BAND = 1.25
 STAR_ROUNDS = 3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 120_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _HASHES: dict[bytes, int] = {}
 
@@ -95,8 +95,8 @@ def describe(docs: DataFrame, width: int, percent: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                some = batch.slice(low, 1024)
+            for low in range(0, batch.num_rows, 256):
+                some = batch.slice(low, 256)
                 n, keys, windows, bits = [], [], [], []
                 for text in some.column("text"):
                     tokens = shingle_hashes(text.as_py(), width)
@@ -165,8 +165,8 @@ def _token_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                 if node not in done:
                     done.add(node)
                     fresh.append(i)
-            for low in range(0, len(fresh), 512):
-                some = batch.take(pa.array(fresh[low:low + 512]))
+            for low in range(0, len(fresh), 128):
+                some = batch.take(pa.array(fresh[low:low + 128]))
                 yield pa.RecordBatch.from_arrays([some.column(0), _lists([shingle_hashes(t.as_py(), width) for t in some.column(1)])], names=["node", "tokens"])
 
     return texts.select("node", "text").mapInArrow(cut, "node long, tokens array<long>")
