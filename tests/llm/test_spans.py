@@ -59,6 +59,19 @@ def test_personal_data(make_docs, awkward):
     assert "local_phone" in spans["call tel 030 1234567 now"] and "local_phone" not in spans["x 030 1234567 now"]
 
 
+def test_context_around_lists_of_numbers(make_docs):
+    far = "x" * 60
+    texts = {"Tel. 030 1234567, 030 7654321": 2, "phone: 030 1234567; 040 7654321; 050 1112223": 3, "030 1234567 (phone)": 1,
+             "😀 030 1234567, 030 7654321 (phone)": 2, f"tel {far} 030 1234567 {far} tel": 0, "tel 030 1 - - 2, 030 1234567": 1,
+             "030 1234567 😀 040 7654321 " + "😀" * 31 + "tel": 1, "030 1234567 " + "😀" * 44 + "tel": 1, "030 1234567 " + "😀" * 45 + "tel": 0}
+    docs = make_docs(list(enumerate(texts)))
+    found = pii.find_pii(docs).collect()
+    assert {list(texts)[r.doc_id]: sum(s.kind == "local_phone" for s in r.pii) for r in found} == texts
+    for r in found:
+        for s in r.pii:
+            assert (s.value, s.before, s.after) == (r.text[s.start:s.end], r.text[max(0, s.start - 48):s.start], r.text[s.end:s.end + 48])
+
+
 def test_redaction_leaves_the_rest(make_docs, awkward):
     texts = rows_of(awkward)
     found = pii.find_pii(make_docs(list(texts.items())))

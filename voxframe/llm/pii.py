@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .spans import CONTEXT, count_kind, digest, kept_spans, locate, merged
+from .spans import count_kind, digest, kept_spans, locate, merged
 
 BASE = ("email", "ip", "card", "phone")
 # Each pattern tries every run of its characters once: at the end of the last match or where the run begins.
@@ -66,11 +66,11 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: Column, before: Column) -> Column:
-    """Of a confirmed span: prior and checksum, and the bonus where a context word stands shortly before it."""
+def score(kind: Column, span: Column) -> Column:
+    """Of a confirmed span: prior and checksum, and the bonus where a context word stands shortly before or after it."""
     out = F.lit(0.0)
     for name in PATTERNS:
-        near = F.lower(before).rlike(f"(?:{WORDS[name]})")
+        near = F.lower(span["before"]).rlike(f"(?:{WORDS[name]})") | F.lower(span["after"]).rlike(f"(?:{WORDS[name]})")
         value = F.lit(PRIOR[name] + CHECKED[name]) + F.when(near, CONTEXT_BONUS).otherwise(0.0)
         out = F.when(kind == name, F.least(F.lit(1.0), value)).otherwise(out)
     return out
@@ -80,18 +80,19 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with ``base`` and ``pii`` spans and ``pii_scores``.
 
     Base spans are every match of the four base kinds that its check confirms. Spans of the further kinds
-    join them when their score passes the threshold. Null and empty texts have empty arrays; row order,
+    join them when their score passes the threshold; context is the text around a span, whatever else was
+    found in it. Null and empty texts have empty arrays; row order,
     repeated rows and other columns don't matter, an empty table gives no rows. The columns added replace
     columns of the same names.
     """
     body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     found = locate(body, "_text", PATTERNS)
-    spans = {kind: kept_spans(kind, RANK[kind], lambda m, g, kind=kind: confirmed(kind, m)
-                              & (F.lit(True) if kind in BASE else score(F.lit(kind), F.right(g, F.lit(CONTEXT))) >= THRESHOLD))
-             for kind in PATTERNS}
+    spans = {kind: kept_spans(kind, RANK[kind], lambda m, kind=kind: confirmed(kind, m)) for kind in PATTERNS}
+    for kind in set(PATTERNS) - set(BASE):
+        spans[kind] = F.filter(spans[kind], lambda s: score(s["kind"], s) >= THRESHOLD)
     held = [c for c in docs.columns if c not in ("base", "pii", "pii_scores")]
     return (found.select(*held, merged(*[spans[k] for k in BASE]).alias("base"), merged(*spans.values()).alias("pii"))
-            .withColumn("pii_scores", F.transform("pii", lambda s: F.round(score(s["kind"], s["before"]), 3))))
+            .withColumn("pii_scores", F.transform("pii", lambda s: F.round(score(s["kind"], s), 3))))
 
 
 def redact(text: Column, spans: Column) -> Column:

@@ -30,9 +30,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", owner: str = "source", reposit
     body = docs.select(F.col(doc_id).alias("doc_id"), F.col(owner).alias("owner"), F.col(repository).alias("repository"),
                        F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = locate(body, "text", PATTERNS)
-    secret = lambda m, g: F.length(F.regexp_extract(m, VALUE, 1)) >= 8
-    anything = lambda m, g: F.lit(True)
-    mixed = lambda m, g: m.rlike("[0-9].*[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
+    secret = lambda m: F.length(F.regexp_extract(m, VALUE, 1)) >= 8
+    anything = lambda m: F.lit(True)
+    mixed = lambda m: m.rlike("[0-9].*[0-9]") & m.rlike("[a-z]") & m.rlike("[A-Z]")
     return found.select(
         "doc_id", "owner", "repository", F.xxhash64("text").alias("text_key"),
         merged(kept_spans("assign", 0, secret), kept_spans("access", 1, anything), kept_spans("hex", 2, anything)).alias("base"),

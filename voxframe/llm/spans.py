@@ -11,33 +11,43 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string>>"
-CONTEXT = 48  # code points before a match that are kept for context rules
+SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
+CONTEXT = 48  # code points before and after a match that are kept for context rules, whatever matches lie in them
 
 
 def locate(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Add ``m_<kind>`` (matches) and ``g_<kind>`` (pieces before each match) for every pattern.
+    """Add ``m_<kind>`` (matches), ``g_<kind>`` (pieces before each match) and ``f_<kind>`` for every pattern.
 
+    ``f_<kind>`` has what follows each match up to the end of the next one, cut to the context's length.
     A null text has no matches. Texts are only cut where something was found.
     """
     found = df.withColumns({f"m_{kind}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
-    return found.withColumns({
+    cut = found.withColumns({
         f"g_{kind}": F.when(F.size(f"m_{kind}") > 0, F.split(F.col(text), p, -1)) for kind, p in patterns.items()})
 
+    def following(kind: str) -> Column:
+        piece = lambda g, n: F.left(F.concat_ws("", g, F.get(f"m_{kind}", n + 1)), F.lit(CONTEXT))
+        return F.when(F.size(f"m_{kind}") > 0, F.transform(F.slice(f"g_{kind}", F.lit(2), F.size(f"m_{kind}")), piece))
 
-def kept_spans(kind: str, rank: int, keep: Callable[[Column, Column], Column]) -> Column:
-    """Spans of ``kind`` whose (match, text before it) pass ``keep``; null where nothing was found."""
-    matches, gaps = F.col(f"m_{kind}"), F.col(f"g_{kind}")
+    return cut.withColumns({f"f_{kind}": following(kind) for kind in patterns})
+
+
+def kept_spans(kind: str, rank: int, keep: Callable[[Column], Column]) -> Column:
+    """Spans of ``kind`` whose match passes ``keep``, with the text around them; null where nothing was found."""
+    matches, gaps, following = F.col(f"m_{kind}"), F.col(f"g_{kind}"), F.col(f"f_{kind}")
     steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["g"])
         stop = begin + F.length(x["m"])
+        # A match has one code point at least, so that many pieces fill the context.
+        after = F.left(F.array_join(F.slice(following, acc["n"] + 1, F.lit(CONTEXT)), ""), F.lit(CONTEXT))
         span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("end"), F.lit(kind).alias("kind"),
-                        x["m"].alias("value"), F.right(x["g"], F.lit(CONTEXT)).alias("before"))
-        out = F.when(keep(x["m"], x["g"]), F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), out.alias("out"))
+                        x["m"].alias("value"), F.right(F.concat(acc["tail"], x["g"]), F.lit(CONTEXT)).alias("before"), after.alias("after"))
+        out = F.when(keep(x["m"]), F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"])
+        tail = F.right(F.concat(acc["tail"], x["g"], x["m"]), F.lit(CONTEXT))
+        return F.struct(stop.alias("at"), (acc["n"] + 1).alias("n"), tail.alias("tail"), out.alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"]))
 
