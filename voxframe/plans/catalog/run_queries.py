@@ -256,6 +256,27 @@ def _(t: Tables):
     return rounded(out.select("volume_id", "image", "scope", "n", "ncc"), 5)
 
 
+EVALUATED = {
+    **MOVED,
+    "full_grid": "select volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(z.range as bigint) as k from (select distinct volume_id from vox), range(50) x, range(11) y, range(9) z",
+    "moved": "select *, 'a' as image from lin_a union all select *, 'b' from lin_b",
+    "p": """select g.volume_id, n.image, s.scope, coalesce(v.value, 0) as a, coalesce(m.value, 0) as b
+            from full_grid g cross join (values ('a'), ('b')) n(image) cross join (values ('global'), ('mask')) s(scope)
+            left join vox_a v on v.volume_id = g.volume_id and v.i = g.i and v.j = g.j and v.k = g.k
+            left join moved m on m.volume_id = g.volume_id and m.i = g.i and m.j = g.j and m.k = g.k and m.image = n.image
+            where s.scope = 'global' or v.value > 40000""",
+    **{n: sql.format(keys="volume_id, image, scope") for n, sql in MI.items()},
+}
+
+
+@query("evaluate_transforms_mi", compose("vox vox_a vox_b", """
+    select volume_id, image, scope, n, round(ncc, 5) as ncc, round(mi, 5) as mi from ncc left join mi using (volume_id, image, scope)""", EVALUATED))
+def _(t: Tables):
+    """MI and NCC of the moved maps against the fixed map in both scopes."""
+    out = registration.evaluate_transforms(t.vox_a(), t.vox_a().where("value > 40000"), _images(t), _shift(t), VOX_GRID, VOX_GRID)
+    return rounded(out.select("volume_id", "image", "scope", "n", "ncc", "mi"), 5)
+
+
 @query("sample_rows", compose("cloud", "select volume_id, point_id, x, y, z from cloud order by md5('1234|' || cast(point_id as varchar)), point_id limit 300"))
 def _(t: Tables):
     """300 points of the cloud in hash order."""

@@ -135,3 +135,27 @@ def regrid_counts(points: DataFrame, point_grid: Grid, spacings, mask: DataFrame
         counted = counted.withColumn("spacing", F.lit(float(spacing)))
         out = counted if out is None else out.unionByName(counted)
     return out if mask is None else out.join(mask.select(*KEY), KEY, "left_semi")
+
+
+def evaluate_registration(existing: DataFrame, runs: DataFrame, fixed: DataFrame, mask: DataFrame, images: DataFrame, chains: DataFrame,
+                          fixed_grid: Grid | DataFrame, moving_grid: Grid | DataFrame, native_spacing, names, bins: int = 64) -> DataFrame:
+    """The summary table with one wide row per run: MI and NCC of the transformed images, in both scopes, on the native grid.
+
+    ``runs`` names the run of a volume: volume_id, input_image, registration, row_order (from 0). The fixed map and the
+    mask are sampled at the native spacing over the fixed extent. Rows of the same run are replaced in place, others
+    appended; ``existing`` holds the run names, row_order and mi and ncc per scope and image.
+    """
+    from ..grid import grid_rows
+    from ..operators import geometry, registration
+    from ..operators.resample import resample
+
+    grids = grid_rows(fixed, fixed_grid) if isinstance(fixed_grid, Grid) else fixed_grid
+    native = geometry.native_spacing_grid(grids, native_spacing)
+    ones = mask.select(*KEY, F.lit(1.0).alias("value"))
+    fixed_native = resample(fixed, grids, native, "linear", "half_voxel")
+    mask_native = resample(ones, grids, native, "nearest", "half_voxel").where("value > 0.5").select(*KEY)
+    metrics = registration.evaluate_transforms(fixed_native, mask_native, images, chains, moving_grid, native, bins)
+    wide = registration.metrics_wide(metrics, ["volume_id"], names)
+    figures = [F.round(c, 9).alias(c) for c in wide.columns if c != "volume_id"]
+    new = wide.join(runs, "volume_id").select("input_image", "registration", "row_order", *figures)
+    return registration.upsert_summary(existing, new, ["input_image", "registration"])
