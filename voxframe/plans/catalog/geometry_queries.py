@@ -386,6 +386,17 @@ def _(t: Tables):
     return rounded(maps.select("volume_id", "i", "j", "k", (F.col("s_over_v") / F.lit(single)).alias("ratio_to_single")), 5)
 
 
+@query("expected_single_sv_all", compose("circles", """
+    select volume_id, i, j, k, round(case when area > 1e-10 and 2500 - area > 1e-10 then arc / (2500 - area) else 0 end / (2 * pi() * 12.5 / 2500), 5)
+           as ratio_to_single, area > 1e-10 and 2500 - area <= 1e-10 as volume_exhausted
+    from cell_sums""", OVERLAP))
+def _(t: Tables):
+    """The same over all cells: 0 and a flag where fibres fill the cell."""
+    single = fibre.expected_single_sv(FIBRE_RADIUS, 2500.0)
+    maps = fibre.sv_map(fibre.sum_overlap(_overlaps(t)), FIBRE_GRID, FIBRE_RADIUS)
+    return rounded(maps.select("volume_id", "i", "j", "k", (F.col("s_over_v") / F.lit(single)).alias("ratio_to_single"), "volume_exhausted"), 5)
+
+
 @query("fibre_assignments", compose("circles", """
     select volume_id, point_id, round(x, 5) as x, round(y, 5) as y, inside, corner_case, n_cells, round(area, 5) as area,
            round(arc, 5) as arc, round(area_fraction, 5) as area_fraction, round(arc_fraction, 5) as arc_fraction

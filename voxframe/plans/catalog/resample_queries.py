@@ -262,5 +262,5 @@ def _(t: Tables):
     box = aggregate.foreground_bbox(t.vox_a(), VOX_GRID.spacing).select(
         "volume_id", *[F.col(f"extent_{c}").alias(f"extent_{a}") for c, a in zip("ijk", "xyz")])
     centre = aggregate.foreground_centroid(t.vox_a(), VOX_GRID.spacing)
-    parameters = transforms.augmentation_parameters(box.join(centre, "volume_id"), copies=2)
+    parameters = transforms.augmentation_parameters(box.join(centre, "volume_id"))
     return rounded(transforms.augment_volumes(t.vox_a(), parameters, VOX_GRID, intensity=True))
