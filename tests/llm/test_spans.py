@@ -106,6 +106,14 @@ def test_ownership_over_the_corpus(spark):
             assert r.spans == "" and r.n_live == 0
 
 
+def test_value_that_one_hot_source_repeats(spark):
+    hot, own = "aB3dE5gH7jK9mN1pQ3sT5vW7", "zB3dE5gH7jK9mN1pQ3sT5vW7"
+    rows = [(i, f"see {hot} here", "hot" if i < 300 else f"s{i}") for i in range(302)] + [(400 + i, f"see {own} here", "hot") for i in range(64)]
+    got = secrets.secret_digest(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id >= 400, r.spans, r.n_live, r.n_copied) for r in got} == {(False, "", 0, 1), (True, "bare:4:28", 1, 0)}
+
+
 def test_empty_tables(make_docs, awkward):
     docs = make_docs(awkward).limit(0)
     assert pii.pii_digest(pii.find_pii(docs)).count() == 0 and secrets.secret_digest(secrets.find_secrets(docs)).count() == 0

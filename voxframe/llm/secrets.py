@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency, in built-in functions.
 
 Patterns propose candidates. The hash of each candidate value is aggregated over the whole corpus by
-distinct repositories and owners: a value that many owners hold is a copied example, a value that few
-hold looks live. Long tokens without a keyword become findings of their own when they look live.
+distinct repositories and owners: a value that many owners hold, or that few hold in very many repositories,
+is a copied example; the others look live. Long tokens without a keyword become findings of their own when they look live.
 """
 
 from __future__ import annotations
@@ -53,10 +53,11 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def find_secrets(docs: DataFrame, doc_id: str = "doc_id", owner: str = "source", repository: str | None = None,
-                 text: str = "text", copied_owners: int = 4) -> DataFrame:
+                 text: str = "text", copied_owners: int = 4, copied_repositories: int = 64) -> DataFrame:
     """Findings per row: doc_id, base (spans), spans (base and live-looking bare ones), n_live, n_copied.
 
-    A value held by ``copied_owners`` owners or more is a widely copied example. Bare tokens that touch
+    A value held by ``copied_owners`` owners or more, or by more than ``copied_repositories`` repositories
+    per owner, is a widely copied example. Bare tokens that touch
     a base span, or that are examples, are no findings. Null and empty texts have no spans, identical
     rows give identical results, a null doc_id or owner is a value like others, an empty table gives
     no rows; other columns are ignored.
@@ -66,7 +67,8 @@ def find_secrets(docs: DataFrame, doc_id: str = "doc_id", owner: str = "source",
     found = (scanned.where((F.size("base") > 0) | (F.size("bare") > 0))
              .select("doc_id", "owner", "repository", "text_key", F.explode(F.concat("base", free)).alias("span"))
              .withColumn("hash", value_hash(F.col("span"))))
-    judged = found.join(ownership(found), "hash").withColumn("live", F.col("n_owners") < copied_owners)
+    judged = found.join(ownership(found), "hash").withColumn(
+        "live", (F.col("n_owners") < copied_owners) & (F.col("n_repositories") <= copied_repositories * F.col("n_owners")))
     per_row = judged.groupBy(F.col("doc_id").alias("f_doc"), F.col("text_key").alias("f_key")).agg(
         F.collect_set(F.when((F.col("span.kind") == BARE) & F.col("live"), F.col("span"))).alias("added"),
         F.collect_set(F.when(F.col("live"), F.col("hash"))).alias("live"), F.collect_set(F.when(~F.col("live"), F.col("hash"))).alias("copied"))
