@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, packing, pii, quality, secrets, sharding
+from . import bpe, chat, compression, fingerprint, jaccard, langid, merkle, packing, pii, quality, secrets, sharding, trie
 from .tables import table
 
 CONTROL_CHAT = """SELECT -7 AS conv_id, 0 AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS text
@@ -61,9 +61,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(chat.format_chats(turns.unionByName(spark.sql(CONTROL_CHAT))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_sharding, op4_bpe, op5_secrets, op6_pii, op7_fingerprint, op8_language, op9_packing, op10_chat)}
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = compression.score(docs, compression.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(compression.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_jaccard, op3_sharding, op4_bpe, op5_secrets, op6_pii, op7_fingerprint, op8_language, op9_packing, op10_chat,
+                                     op11_compression, op12_merkle, op13_trie)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES: dict[str, str] = {
-    "op2_jaccard": jaccard.jaccard_sql(3, 90), "op3_sharding": sharding.sharding_sql(), "op10_chat": chat.chat_sql(CONTROL_CHAT)}
+    "op2_jaccard": jaccard.jaccard_sql(3, 90), "op3_sharding": sharding.sharding_sql(), "op10_chat": chat.chat_sql(CONTROL_CHAT),
+    "op12_merkle": merkle.manifest_sql(), "op13_trie": trie.trie_sql()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
