@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..grid import Grid, attach_grid
 from .components import expand_runs, line_runs
+from .lines import along_lines, distance_pass
 from .morphology import label_edges, sweep
 
 KEY = ["volume_id", "i", "j", "k"]
@@ -32,44 +32,19 @@ def distance_within(seeds: DataFrame, grid: Grid | DataFrame, radius: float, spa
     return inside.groupBy(*KEY).agg(F.sqrt(F.min("d2")).alias("distance"))
 
 
-def _line_distance(mask: DataFrame, grid: Grid | DataFrame, axis: str) -> DataFrame:
-    """Steps to the nearest other voxel along one axis, NULL when the line has none inside the grid."""
-    swap = lambda c: axis if c == "i" else ("i" if c == axis else c)
-    turned = mask.select("volume_id", *[F.col(swap(c)).alias(c) for c in "ijk"], "label")
-    runs = attach_grid(line_runs(turned, ["label"]), grid, "g_")
-    n = F.col(f"g_n{'xyz'['ijk'.index(axis)]}")
-    cells = runs.select("volume_id", "label", F.explode(F.sequence("i0", "i1")).alias("i"), "j", "k", "i0", "i1", n.alias("n"))
-    left = F.when(F.col("i0") > 0, F.col("i") - F.col("i0") + 1)
-    right = F.when(F.col("i1") < F.col("n") - 1, F.col("i1") + 1 - F.col("i"))
-    return cells.select("volume_id", "label", *[F.col(swap(c)).alias(c) for c in "ijk"], F.least(left, right).alias("steps"))
-
-
 def squared_distance(mask: DataFrame, grid: Grid | DataFrame, dims: int = 2) -> DataFrame:
     """Exact squared distance of every mask voxel to the nearest voxel of another label or none.
 
-    Separable: distances along ``i`` come from runs; each further axis looks only as far
-    as the best distance known so far, so the search per voxel is bounded by the answer.
-    NULL where the grid holds no other voxel.
+    Separable: each axis takes the lower envelope of the parabolas that stand on the squared distances so far, run by
+    run of equal labels along the grid line; beyond a run the nearest other voxel is the one beside it. A voxel moves
+    once per axis as one row, whatever the size of its object. NULL where the grid holds no other voxel.
     """
     if "label" not in mask.columns:
         mask = mask.withColumn("label", F.lit(0).cast("long"))
-    mask = mask.select(*KEY, "label")
-    key = [*KEY, "label"]
-    best = _line_distance(mask, grid, "i").select(*key, (F.col("steps") * F.col("steps")).alias("d2"))
-    for axis in "jk"[:dims - 1]:
-        along = _line_distance(mask, grid, axis).select(*key, "steps")
-        n = F.col(f"g_n{'xyz'['ijk'.index(axis)]}")
-        known = attach_grid(best.join(along, key), grid, "g_")
-        bound = F.coalesce(F.least(F.ceil(F.sqrt("d2")), F.col("steps")), n).cast("long")
-        known = known.select(*key, "d2", "steps", bound.alias("bound"))
-        looks = known.select(*key, F.explode(F.sequence(1 - F.col("bound"), F.col("bound") - 1)).alias("o"))
-        target = [(F.col(c) + F.col("o")).alias(c) if c == axis else F.col(c) for c in "ijk"]
-        asked = looks.select("volume_id", "label", *target, "o", F.col(axis).alias("_home"))
-        answered = asked.join(best.where("d2 is not null"), key)
-        home = [F.col("_home").alias(c) if c == axis else F.col(c) for c in "ijk"]
-        found = answered.groupBy("volume_id", "label", *home).agg(F.min(F.col("d2") + F.col("o") * F.col("o")).alias("_other"))
-        best = known.join(found, key, "left").select(
-            *key, F.least(F.col("d2"), F.col("steps") * F.col("steps"), F.col("_other")).alias("d2"))
+    best = mask.select(*KEY, F.col("label").cast("long").alias("label"), F.lit(None).cast("double").alias("d2"))
+    for axis in "ijk"[:dims]:
+        sized = attach_grid(best, grid, "g_").select(*best.columns, F.col(f"g_n{'xyz'['ijk'.index(axis)]}").alias("n"))
+        best = along_lines(sized, axis, distance_pass(axis), "volume_id long, i long, j long, k long, label long, d2 double")
     return best
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..grid import Grid, attach_grid
 from .components import expand_runs, line_runs
+from .lines import along_lines, convolution
 
 KEY = ["volume_id", "i", "j", "k"]
 Span = tuple[int, int, int, int]
@@ -212,21 +213,15 @@ def gaussian_kernel(sigma: float, order: int = 0, truncate: float = 4.0) -> list
     return out
 
 
-def convolve_axis(image: DataFrame, grid: Grid | DataFrame, axis: str, kernel: Sequence[tuple[int, float]],
-                  keys: Sequence[str] = ("volume_id",)) -> DataFrame:
-    """Symmetric kernel along one axis, mirrored border: scatter with weights, one aggregation."""
-    radius = max(abs(o) for o, _ in kernel)
+def convolve_axis(image: DataFrame, grid: Grid | DataFrame, axis: str, weights: Sequence[float]) -> DataFrame:
+    """Symmetric kernel along one axis, mirrored border. Every voxel moves once, as one row; absent ones count as 0."""
     n = f"g_n{'xyz'['ijk'.index(axis)]}"
-    df = attach_grid(image, grid, "g_").withColumn("_p", F.explode(reflected(axis, F.col(n), radius)))
-    taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel])
-    df = df.withColumn("_t", F.explode(taps)).withColumn("_x", (F.col("_p") - F.col("_t.o")).cast("long"))
-    df = df.where((F.col("_x") >= 0) & (F.col("_x") < F.col(n)))
-    index = [F.col("_x").alias(c) if c == axis else F.col(c) for c in "ijk"]
-    return df.groupBy(*keys, *index).agg(F.sum(F.col("_t.w") * F.col("value")).alias("value"))
+    sized = attach_grid(image.where("value IS NOT NULL"), grid, "g_").select(*KEY, F.col("value").cast("double").alias("value"), F.col(n).alias("n"))
+    return along_lines(sized, axis, convolution(axis, weights), "volume_id long, i long, j long, k long, value double")
 
 
 def gaussian(image: DataFrame, grid: Grid | DataFrame, sigma: float, axes: str = "ij") -> DataFrame:
-    kernel = gaussian_kernel(sigma)
+    weights = [w for _, w in gaussian_kernel(sigma)]
     for axis in axes:
-        image = convolve_axis(image, grid, axis, kernel)
+        image = convolve_axis(image, grid, axis, weights)
     return image

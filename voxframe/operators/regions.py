@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..grid import Grid, attach_grid
 from ..session import cut_lineage
-from . import components as cc
+from . import components as cc, lines
 from .aggregate import normalize_minmax, otsu
 from .filters import mask_and, require_nonempty
-from .morphology import FACE_OFFSETS, closing, dilate_box, erode_box, gaussian, gaussian_kernel, reflected, send
+from .morphology import FACE_OFFSETS, closing, dilate_box, erode_box, gaussian, gaussian_kernel, send
 from .ranking import dense_relabel
 
 KEY = ["volume_id", "i", "j", "k"]
@@ -223,38 +223,32 @@ def blob_sigmas(diameter_um: float, spacing_um: float, count: int = 15) -> list[
     return np.linspace(0.8 * expected, 1.2 * expected, count).tolist()
 
 
-def log_cube(image: DataFrame, grid: Grid | DataFrame, sigmas: list[float]) -> DataFrame:
-    """Scale-normalised negative Laplacian of Gaussian of flat images at every σ; ``k`` is the number of the scale."""
-    taps = [(n, o, flat, curved) for n, sigma in enumerate(sigmas)
-            for (o, flat), (_, curved) in zip(gaussian_kernel(sigma), gaussian_kernel(sigma, 2))]
-    reach = max(abs(o) for _, o, _, _ in taps)
-    scales = [F.array(*[F.struct(*[F.lit(v).alias(c) for v, c in zip((o, flat, curved), ("o", "flat", "curved"))]) for m, o, flat, curved in taps if m == n])
-              for n in range(len(sigmas))]
-    spread = attach_grid(image.select("volume_id", "i", "j", "value"), grid, "g_").withColumn("p", F.explode(reflected("i", F.col("g_nx"), reach)))
-    by_scale = F.array(*[F.struct(F.lit(n).cast("long").alias("k"), taps_.alias("taps")) for n, taps_ in enumerate(scales)])
-    first = (spread.withColumn("s", F.explode(by_scale)).select("volume_id", "j", "value", "p", "g_nx", F.col("s.k").alias("k"), F.explode("s.taps").alias("t"))
-             .withColumn("x", F.col("p") - F.col("t.o")).where("x >= 0 and x < g_nx")
-             .groupBy("volume_id", F.col("x").alias("i"), "j", "k").agg(F.sum(F.col("t.flat") * F.col("value")).alias("flat"), F.sum(F.col("t.curved") * F.col("value")).alias("curved")))
-    second = attach_grid(first, grid, "g_").withColumn("p", F.explode(reflected("j", F.col("g_ny"), reach)))
-    own = F.element_at(F.array(*scales), (F.col("k") + 1).cast("int"))
-    total = (second.withColumn("t", F.explode(own)).withColumn("y", F.col("p") - F.col("t.o")).where("y >= 0 and y < g_ny")
-             .groupBy("volume_id", "i", F.col("y").alias("j"), "k")
-             .agg(F.sum(F.col("t.curved") * F.col("flat") + F.col("t.flat") * F.col("curved")).alias("value")))
-    strength = F.element_at(F.array(*[F.lit(-float(s) * float(s)) for s in sigmas]), (F.col("k") + 1).cast("int"))
-    return total.select("volume_id", "i", "j", "k", (F.col("value") * strength).alias("value"))
+def log_peaks(image: DataFrame, grid: Grid | DataFrame, sigmas: list[float], threshold: float) -> DataFrame:
+    """Maxima over (i, j, scale number ``k``) of the scale-normalised negative Laplacian of Gaussian of flat images.
+
+    Three passes over grid lines: both kernels of all scales along ``i``; the response along ``j``, with the highest of
+    its neighbours there and in scale; the neighbours along ``i``. A pixel moves once per pass, with all its scales.
+    """
+    flat, curved = ([[w for _, w in gaussian_kernel(s, order)] for s in sigmas] for order in (0, 2))
+    count, key = len(sigmas), "volume_id long, i long, j long, k long"
+    schema = lambda *names: ", ".join([key, *(f"{c} double" for name in names for c in lines.scale_names(name, count))])
+    sized = attach_grid(image.where("value IS NOT NULL"), grid, "g_")
+    sized = sized.select("volume_id", "i", "j", F.lit(0).cast("long").alias("k"), F.col("value").cast("double").alias("value"), F.col("g_nx").alias("n"))
+    first = lines.along_lines(sized, "i", lines.log_first(flat, curved), schema("flat", "curved"))
+    first = attach_grid(first, grid, "g_").select(*first.columns, F.col("g_ny").alias("n"))
+    second = lines.along_lines(first, "j", lines.log_second(flat, curved, [-s * s for s in sigmas]), schema("v", "m"))
+    return lines.along_lines(second, "i", lines.log_peaks(count, threshold), f"{key}, value double")
 
 
 def log_blobs(image: DataFrame, grid: Grid | DataFrame, sigmas: list[float], threshold: float = 0.02, overlap: float = 0.5) -> DataFrame:
-    """Scale-normalised Laplacian-of-Gaussian maxima over (i, j, σ); of two blobs that overlap more than
-    ``overlap`` the smaller one goes.
+    """Scale-normalised Laplacian-of-Gaussian maxima over (i, j, σ) above a threshold of 0 or more; of two blobs that
+    overlap more than ``overlap`` the smaller one goes.
 
-    All σ are convolved together, one aggregation per axis; maxima and pruning are equi-joins on neighbouring
-    positions and on cells of a spatial hash.
+    Pruning is an equi-join on the cells of a spatial hash.
     """
-    cube = cut_lineage(log_cube(image, grid, sigmas))
-    around = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) != (0, 0, 0)]
-    highest = send(cube, around, ["value"]).groupBy(*KEY).agg(F.max("value").alias("rival"))
-    peaks = cube.where(F.col("value") > threshold).join(highest, KEY, "left").where("rival is null or value >= rival")
+    if threshold < 0:
+        raise ValueError("threshold must not be negative")
+    peaks = log_peaks(image, grid, sigmas, threshold)
     scale = F.array(*[F.lit(float(s)) for s in sigmas])
     blobs = cut_lineage(peaks.select("volume_id", "i", "j", F.element_at(scale, (F.col("k") + 1).cast("int")).alias("sigma"), "value"))
     return prune_blobs(blobs, max(sigmas), overlap)

@@ -352,11 +352,46 @@ def _(t: Tables):
     return regions.region_grow(t.field2(), t.seeds2(), mask, MASK2_GRID, 1.5, 3, running_mean=False)
 
 
-@query("log_blobs")
+BLOB_SIGMAS = regions.blob_sigmas(25.0, 8.0)
+
+
+def log_sql(axis: str, source: str, columns: str) -> str:
+    """One axis of both kernels of every scale ``s``, with mirrored border."""
+    taps = [(n, o, flat, curved) for n, sigma in enumerate(BLOB_SIGMAS)
+            for (o, flat), (_, curved) in zip(mo.gaussian_kernel(sigma), mo.gaussian_kernel(sigma, 2))]
+    values = ", ".join(f"({n}, {o}, cast({f!r} as double), cast({c!r} as double))" for n, o, f, c in taps)
+    return f"""select m.volume_id, t.s, {', '.join('x.range as ' + c if c == axis else 'm.' + c for c in 'ij')}, {columns}
+        from range(64) x, (values {values}) t(s, o, flat, curved) join {source} m on m.{axis} = least((x.range + o + 1280) % 128, 127 - (x.range + o + 1280) % 128)
+        {'' if axis == 'i' else 'and m.s = t.s'} group by 1, 2, 3, 4"""
+
+
+SIGMA_OF = "list_value(" + ", ".join(f"cast({s!r} as double)" for s in BLOB_SIGMAS) + ")[cast(s as int) + 1]"
+BLOBS = {
+    "unit": "select volume_id, i, j, (value - min(value) over v) / (max(value) over v - min(value) over v) as value from image window v as (partition by volume_id)",
+    "flat1": log_sql("i", "unit", "sum(t.flat * m.value) as a, sum(t.curved * m.value) as b"),
+    "flat2": log_sql("j", "flat1", "sum(t.curved * m.a + t.flat * m.b) as value"),
+    "cube": f"select volume_id, s, i, j, -value * {SIGMA_OF} * {SIGMA_OF} as value from flat2",
+    "peaks": """select volume_id, s, i, j, value from cube c where value > 0.02 and value >= (
+        select max(value) from cube d where d.volume_id = c.volume_id and d.s between c.s - 1 and c.s + 1 and d.i between c.i - 1 and c.i + 1 and d.j between c.j - 1 and c.j + 1)""",
+    "found": f"select *, row_number() over (partition by volume_id order by sigma desc, i, j) as place from (select *, {SIGMA_OF} as sigma from peaks)",
+    "near": """select a.volume_id, a.place, b.place as other, sqrt((a.i - b.i) ** 2 + (a.j - b.j) ** 2) as d, a.sigma * sqrt(2) as r1, b.sigma * sqrt(2) as r2
+        from found a join found b on a.volume_id = b.volume_id and b.place < a.place and abs(a.i - b.i) <= 5 and abs(a.j - b.j) <= 5""",
+    "shared": """select volume_id, place, list(other) as rivals from near where case when d >= r1 + r2 then 0 when d <= r2 - r1 then 1 else (
+        r1 * r1 * acos(greatest(least((d * d + r1 * r1 - r2 * r2) / (2 * d * r1), 1), -1)) + r2 * r2 * acos(greatest(least((d * d + r2 * r2 - r1 * r1) / (2 * d * r2), 1), -1))
+        - 0.5 * sqrt(abs((-d + r2 + r1) * (d - r2 + r1) * (d + r2 - r1) * (d + r2 + r1)))) / (pi() * r1 * r1) end > 0.5 group by 1, 2""",
+    "walk": """select volume_id, cast(0 as bigint) as place, cast([] as bigint[]) as kept from (select distinct volume_id from found)
+        union all
+        select w.volume_id, f.place, case when list_has_any(w.kept, coalesce(s.rivals, [])) then w.kept else list_append(w.kept, f.place) end
+        from walk w join found f on f.volume_id = w.volume_id and f.place = w.place + 1 left join shared s on s.volume_id = f.volume_id and s.place = f.place"""}
+
+
+@query("log_blobs", compose("image", """
+    select f.volume_id, f.i, f.j, round(f.sigma, 4) as sigma, round(f.value, 4) as value from found f
+    join (select volume_id, max_by(kept, place) as kept from walk group by 1) w on w.volume_id = f.volume_id and list_contains(w.kept, f.place)""", BLOBS, recursive=True))
 def _(t: Tables):
     """Blobs of the normalised images at all scales."""
     image = aggregate.normalize_minmax(t.image())
-    return rounded(regions.log_blobs(image, IMAGE_GRID, regions.blob_sigmas(25.0, 8.0), 0.02), 4)
+    return rounded(regions.log_blobs(image, IMAGE_GRID, BLOB_SIGMAS, 0.02), 4)
 
 
 @query("fibre_segmentation")
