@@ -13,9 +13,7 @@ WITHOUT_SQL = {
     "augment_volumes": "random by design; its ranges are checked here by running it",
     "seeded_watershed": "arrival order over paths; test_watershed floods in sequence",
     "region_grow": "the mean moves while a region grows; test_region_grow grows in rings",
-    "log_blobs": "pruning from the largest down; test_blob_is_found and test_pruned_blobs_prune_no_others",
-    "fibre_segmentation": "composed of the two above",
-    "score_candidates": "resampling by 24 arbitrary matrices; its parts have SQL of their own",
+    "fibre_segmentation": "composed of blobs and the watershed",
 }
 
 

@@ -9,7 +9,7 @@ from voxframe.grid import Grid, IDENTITY
 def test_evaluation_returns_mutual_information(spark):
     from voxframe.plans.catalog import REGISTRY
 
-    rows = REGISTRY["evaluate_transforms_mi"].run(spark, "/root/testdata/sf0.001").collect()
+    rows = REGISTRY["evaluate_transforms"].run(spark, "/root/testdata/sf0.001").collect()
     assert {r.scope for r in rows} == {"global", "mask"} and all(r.mi is not None and r.mi >= 0 for r in rows if r.n >= 100)
 
 

@@ -36,17 +36,18 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, weight: str, int
             .drop("_inside", "_offset", "_chunk"))
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    count = F.count("*") if weight is None else F.sum(weight)
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count.alias("n"))
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], weight: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 
-    ``probabilities`` maps output column names to probabilities.
+    ``probabilities`` maps output column names to probabilities; ``weight`` (a whole number) counts a row several times.
     """
     keys = list(keys)
-    ranked = prefix_sums(value_counts(df, keys, value), keys, value, "n")
+    ranked = prefix_sums(value_counts(df, keys, value, weight), keys, value, "n")
     totals = ranked.groupBy(*keys).agg(F.sum("n").alias("_count"))
     placed = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
 

@@ -6,29 +6,51 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..grid import Grid
+from ..grid import Grid, attach_grid
+from ..session import cut_lineage
 from . import similarity
-from .cells import densify
 from .ranking import top_candidates
 from .transforms import apply_chain
 
 KEY = ["volume_id", "i", "j", "k"]
 
 
+def sparse_pairs(fixed: DataFrame, moved: DataFrame, names: DataFrame, name: str, grid: Grid | DataFrame) -> DataFrame:
+    """(volume_id, i, j, k, ``name``, a, b) wherever the fixed or the moved image has a voxel, absent values as 0.
+
+    ``names`` lists the moved images of each volume, a fixed, small number.
+    """
+    known = attach_grid(fixed, grid, "g_").where("i >= 0 and i < g_nx and j >= 0 and j < g_ny and k >= 0 and k < g_nz")
+    base = known.select(*KEY, F.coalesce("value", F.lit(0)).cast("double").alias("a")).join(names, "volume_id")
+    pairs = base.join(moved.select(*KEY, name, F.col("value").cast("double").alias("b")), [*KEY, name], "full")
+    fixed_volumes = fixed.select("volume_id").distinct()  # a volume without a fixed voxel has no pairs
+    return pairs.select(*KEY, name, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in "ab"]).join(fixed_volumes, "volume_id", "left_semi")
+
+
+def cells_left(pairs: DataFrame, names: DataFrame, name: str, cells: DataFrame) -> DataFrame:
+    """(volume_id, ``name``, n_empty): the cells of each volume (volume_id, n_cells) that have no pair."""
+    taken = pairs.groupBy("volume_id", name).agg(F.count("*").alias("_n"))
+    return names.join(cells, "volume_id").join(taken, ["volume_id", name], "left").select(
+        "volume_id", name, (F.col("n_cells") - F.coalesce("_n", F.lit(0))).alias("n_empty"))
+
+
+def grid_cells(volumes: DataFrame, grid: Grid | DataFrame) -> DataFrame:
+    return attach_grid(volumes.select("volume_id").distinct(), grid, "g_").select("volume_id", (F.col("g_nx") * F.col("g_ny") * F.col("g_nz")).alias("n_cells"))
+
+
 def score_candidates(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid: Grid | DataFrame,
                      moving_grid: Grid | DataFrame | None = None, bins: int = 64) -> DataFrame:
     """MI and NCC of every pose (``volume_id, candidate, matrix``: fixed world → moving world).
 
-    The moving image is resampled to the fixed grid once per pose; outside it is 0, and
-    0 counts as a value. A pose without a score has status ``failed``.
+    The moving image is resampled to the fixed grid once per pose; outside it is 0, and 0 counts as a value. Only voxels
+    that one of the images has are paired; all others are one weighted (0, 0) row. A pose without a score has status ``failed``.
     """
     moved = apply_chain(moving, poses.select("volume_id", "candidate", "matrix"), moving_grid or grid, grid,
                         keys=("volume_id", "candidate"))
-    numbers = poses.groupBy("volume_id").agg(F.collect_set("candidate").alias("_c"))  # a fixed, small number of poses
-    base = densify(fixed, grid).join(numbers, "volume_id").select(*KEY, F.col("value").alias("a"), F.explode("_c").alias("candidate"))
-    pairs = base.join(moved.select(*KEY, "candidate", F.col("value").alias("b")), [*KEY, "candidate"], "left")
-    pairs = pairs.withColumn("b", F.coalesce("b", F.lit(0.0)))
-    scores = similarity.similarity(pairs, ["volume_id", "candidate"], bins)
+    names = poses.select("volume_id", "candidate").distinct()
+    pairs = cut_lineage(sparse_pairs(fixed, moved, names, "candidate", grid))
+    empty = cells_left(pairs, names, "candidate", grid_cells(fixed, grid))
+    scores = similarity.similarity(pairs, ["volume_id", "candidate"], bins, empty=empty)
     status = F.when(F.col("mi").isNull() | F.col("ncc").isNull(), "failed").otherwise("success")
     return scores.withColumn("status", status)
 
@@ -75,14 +97,21 @@ def apply_transforms(images: DataFrame, masks: DataFrame, chains: DataFrame, sou
 
 def evaluate_transforms(fixed: DataFrame, mask: DataFrame, images: DataFrame, chains: DataFrame,
                         source: Grid | DataFrame, target: Grid | DataFrame, bins: int = 64) -> DataFrame:
-    """(volume, image, scope, n, ncc, mi) of the transformed images against the fixed map."""
+    """(volume, image, scope, n, ncc, mi) of the transformed images against the fixed map.
+
+    Cells of the grid, or of the mask, in which neither image has a voxel are one weighted (0, 0) row.
+    """
     names = images.select("volume_id", "image").distinct()
     jobs = names.join(chains, "volume_id").select("volume_id", "image", "matrix")
     moved = apply_chain(images, jobs, source, target, keys=("volume_id", "image"), source_keys=("volume_id", "image"))
-    base = densify(fixed, target).join(names, "volume_id")
-    pairs = base.join(moved.withColumnRenamed("value", "b"), [*KEY, "image"], "left").select(
-        *KEY, "image", F.col("value").alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
-    return similarity.metrics_global_and_mask(pairs, mask, ("volume_id", "image"), bins)
+    inside = attach_grid(mask.select(*KEY).distinct(), target, "g_").where("i >= 0 and i < g_nx and j >= 0 and j < g_ny and k >= 0 and k < g_nz").select(*KEY)
+    pairs = cut_lineage(similarity.scoped(sparse_pairs(fixed, moved, names, "image", target), inside))
+    masked = inside.join(fixed.select("volume_id").distinct(), "volume_id", "left_semi").groupBy("volume_id").agg(F.count("*").alias("n_cells"))
+    empty = None
+    for scope, cells in (("global", grid_cells(fixed, target)), ("mask", masked)):
+        left = cells_left(pairs.where(F.col("scope") == scope), names, "image", cells).withColumn("scope", F.lit(scope))
+        empty = left if empty is None else empty.unionByName(left)
+    return similarity.similarity(pairs, ["volume_id", "image", "scope"], bins, empty=empty)
 
 
 def metrics_wide(metrics: DataFrame, keys: Sequence[str], images: Sequence[str]) -> DataFrame:

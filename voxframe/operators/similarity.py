@@ -1,7 +1,8 @@
 """Image similarity: mutual information and normalised cross-correlation.
 
 Images are compared as aligned rows ``(keys…, a, b)``; any number of image pairs,
-candidates and scopes are scored in the same jobs, one result row per key set.
+candidates and scopes are scored in the same jobs, one result row per key set. Sparse
+images need no row where both are 0: ``empty`` tells the number of such cells by key set.
 """
 
 from __future__ import annotations
@@ -25,21 +26,30 @@ def finite_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where(is_finite(F.col("a")) & is_finite(F.col("b")))
 
 
+def with_empty(pairs: DataFrame, keys: Sequence[str], empty: DataFrame | None) -> DataFrame:
+    """The pairs with ``weight`` 1 and, for each key set of ``empty`` (keys, n_empty), one (0, 0) row that weighs n_empty."""
+    weighed = pairs.select(*keys, "a", "b", F.lit(1).cast("long").alias("weight"))
+    if empty is None:
+        return weighed
+    zeros = empty.where("n_empty > 0").select(*keys, F.lit(0.0).alias("a"), F.lit(0.0).alias("b"), F.col("n_empty").alias("weight"))
+    return weighed.unionByName(zeros)
+
+
 def robust_limits(pairs: DataFrame, keys: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """1st and 99th percentile of both images per key set, from one pass over both."""
+    """1st and 99th percentile of both images per key set, from one pass over both (rows with ``weight``)."""
     keys = list(keys)
     sides = F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("v")),
                     F.struct(F.lit("b").alias("side"), F.col("b").alias("v")))
-    long = pairs.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", "s.v")
-    limits = quantiles(long, [*keys, "side"], "v", {"lo": low, "hi": high})
+    long = pairs.select(*keys, "weight", F.explode(sides).alias("s")).select(*keys, "weight", "s.side", "s.v")
+    limits = quantiles(long, [*keys, "side"], "v", {"lo": low, "hi": high}, "weight")
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}")
     return limits.groupBy(*keys).agg(pick("a", "lo"), pick("a", "hi"), pick("b", "lo"), pick("b", "hi"))
 
 
-def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: int = 100) -> DataFrame:
+def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: int = 100, empty: DataFrame | None = None) -> DataFrame:
     """MI (nats) of the joint histogram of the clipped images; NULL for few rows or a flat image."""
     keys = list(keys)
-    usable = finite_pairs(pairs)
+    usable = with_empty(finite_pairs(pairs), keys, empty)
     limits = robust_limits(usable, keys)
 
     def bin_of(side: str):
@@ -49,7 +59,7 @@ def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 64, mi
 
     sound = (F.col("hi_a") - F.col("lo_a") >= FLAT) & (F.col("hi_b") - F.col("lo_b") >= FLAT)
     joint = (usable.join(limits.where(sound), keys)
-             .groupBy(*keys, bin_of("a").alias("bin_a"), bin_of("b").alias("bin_b")).agg(F.count("*").alias("n")))
+             .groupBy(*keys, bin_of("a").alias("bin_a"), bin_of("b").alias("bin_b")).agg(F.sum("weight").alias("n")))
     # at most bins² rows per key set from here on
     total = lambda *by: F.sum("n").over(Window.partitionBy(*keys, *by))
     joint = joint.withColumns({"n_a": total("bin_a"), "n_b": total("bin_b"), "n_all": total()})
@@ -58,19 +68,28 @@ def mutual_information(pairs: DataFrame, keys: Sequence[str], bins: int = 64, mi
     return joint.groupBy(*keys).agg(F.sum(term).alias("mi"), F.sum("n").alias("n")).where(F.col("n") >= minimum).select(*keys, "mi")
 
 
-def cross_correlation(pairs: DataFrame, keys: Sequence[str], minimum: int = 100) -> DataFrame:
+def cross_correlation(pairs: DataFrame, keys: Sequence[str], minimum: int = 100, empty: DataFrame | None = None) -> DataFrame:
     """NCC over the unclipped values; NULL for few rows or a vanishing denominator."""
+    keys = list(keys)
     sums = finite_pairs(pairs).groupBy(*keys).agg(
-        F.count("*").alias("n"), safe_corr("a", "b").alias("_r"), F.var_pop("a").alias("_va"), F.var_pop("b").alias("_vb"))
-    sound = (F.col("n") >= minimum) & (F.sqrt(F.col("_va") * F.col("_vb")) * F.col("n") >= FLAT)
-    return sums.select(*keys, "n", F.when(sound, F.col("_r")).alias("ncc"))
-
-
-def similarity(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: int = 100) -> DataFrame:
+        F.count("*").alias("_m"), F.avg("a").alias("_a"), F.avg("b").alias("_b"),
+        F.covar_pop("a", "b").alias("_ab"), F.var_pop("a").alias("_aa"), F.var_pop("b").alias("_bb"))
+    if empty is None:
+        sums = sums.withColumn("n", F.col("_m"))
+    else:  # moments of the rows and of n_empty zeros, put together
+        sums = sums.join(empty, keys, "full").withColumn("n", F.coalesce("_m", F.lit(0)) + F.coalesce("n_empty", F.lit(0)))
+        share, rest = F.col("_m") / F.col("n"), F.col("n_empty") / F.col("n")
+        sums = sums.where("n > 0").withColumns({name: F.col(name) * share + F.col(f"_{x}") * F.col(f"_{y}") * share * rest for name, x, y in (("_ab", "a", "b"), ("_aa", "a", "a"), ("_bb", "b", "b"))})
+    spread = F.sqrt(F.col("_aa") * F.col("_bb"))
+    sound = (F.col("n") >= minimum) & (spread * F.col("n") >= FLAT)
+    return sums.select(*keys, "n", F.when(sound, F.col("_ab") / F.nullif(spread, F.lit(0.0))).alias("ncc"))
+
+
+def similarity(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: int = 100, empty: DataFrame | None = None) -> DataFrame:
     """(keys, n, mi, ncc) of every image pair."""
     keys = list(keys)
     pairs = cut_lineage(finite_pairs(pairs.select(*keys, "a", "b")))  # limits, histogram and moments all read it
-    return cross_correlation(pairs, keys, minimum).join(mutual_information(pairs, keys, bins, minimum), keys, "left")
+    return cross_correlation(pairs, keys, minimum, empty).join(mutual_information(pairs, keys, bins, minimum, empty), keys, "left")
 
 
 def align(fixed: DataFrame, moving: DataFrame) -> DataFrame:

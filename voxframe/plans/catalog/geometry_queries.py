@@ -376,22 +376,16 @@ def _(t: Tables):
     return fibre.sv_from_s(fibre.sum_overlap(_overlaps(t)).withColumnRenamed("arc", "s"), FIBRE_GRID)
 
 
-@query("expected_single_sv", compose("circles", """
-    select volume_id, i, j, k, round(arc / (2500 - area) / (2 * pi() * 12.5 / 2500), 5) as ratio_to_single
-    from cell_sums where area > 1e-6 and 2500 - area > 1""", OVERLAP))
-def _(t: Tables):
-    """S/V of each cell relative to that of one whole fibre in an empty cell."""
-    single = fibre.expected_single_sv(FIBRE_RADIUS, 2500.0)
-    maps = fibre.sv_map(fibre.sum_overlap(_overlaps(t)), FIBRE_GRID, FIBRE_RADIUS).where("fibre_area > 1e-6 and v > 1")
-    return rounded(maps.select("volume_id", "i", "j", "k", (F.col("s_over_v") / F.lit(single)).alias("ratio_to_single")), 5)
-
-
-@query("expected_single_sv_all", compose("circles", """
+SINGLE_SV_SQL = compose("circles", """
     select volume_id, i, j, k, round(case when area > 1e-10 and 2500 - area > 1e-10 then arc / (2500 - area) else 0 end / (2 * pi() * 12.5 / 2500), 5)
            as ratio_to_single, area > 1e-10 and 2500 - area <= 1e-10 as volume_exhausted
-    from cell_sums""", OVERLAP))
+    from cell_sums""", OVERLAP)
+
+
+@query("expected_single_sv_all", SINGLE_SV_SQL)
+@query("expected_single_sv", SINGLE_SV_SQL)
 def _(t: Tables):
-    """The same over all cells: 0 and a flag where fibres fill the cell."""
+    """S/V of every cell relative to that of one whole fibre in an empty cell; 0 and a flag where fibres fill the cell."""
     single = fibre.expected_single_sv(FIBRE_RADIUS, 2500.0)
     maps = fibre.sv_map(fibre.sum_overlap(_overlaps(t)), FIBRE_GRID, FIBRE_RADIUS)
     return rounded(maps.select("volume_id", "i", "j", "k", (F.col("s_over_v") / F.lit(single)).alias("ratio_to_single"), "volume_exhausted"), 5)

@@ -189,10 +189,44 @@ def _poses(t: Tables, step: int = 30):
     return transforms.roll_flip_matrices(transforms.pose_table(centres, step))
 
 
-@query("score_candidates")
+def _pose_sql(step: int = 30) -> dict[str, str]:
+    """Resampling of ``vox_b`` by every pose: rotation about the axis (1, 0.2, 0.1) through the centroid, after a flip along it."""
+    length = (1.0 + 0.04 + 0.01) ** 0.5 + 1e-12
+    axis = [v / length for v in (1.0, 0.2, 0.1)]
+    number = lambda v: f"cast({v!r} as double)"
+    cross = [[None, -axis[2], axis[1]], [axis[2], None, -axis[0]], [-axis[1], axis[0], None]]
+    cells = [f"c * {number(float(r == q))} + {number(axis[r] * axis[q])} * (f - c)" + ("" if r == q else f" + s * {number(cross[r][q])}") + f" as m{r}{q}" for r in range(3) for q in range(3)]
+    spacing = VOX_GRID.spacing
+    world = ["i * " + number(spacing[0]) + " - ox", "j * " + number(spacing[1]) + " - oy", "k * " + number(spacing[2]) + " - oz"]
+    source = [f"(m{r}0 * ({world[0]}) + m{r}1 * ({world[1]}) + m{r}2 * ({world[2]}) + o{'xyz'[r]}) / {number(spacing[r])} as c{'xyz'[r]}" for r in range(3)]
+    snap = ", ".join(f"case when abs({c} - round_even({c}, 0)) < 1e-9 then round_even({c}, 0) else {c} end as {c}" for c in ("cx", "cy", "cz"))
+    n = VOX_GRID.shape
+    inside = " and ".join(f"c{x} >= -0.5 and c{x} < {m - 0.5}" for x, m in zip("xyz", n))
+    clamp = ", ".join(f"least(greatest(c{x}, 0), {m - 1}) as c{x}" for x, m in zip("xyz", n))
+    return {
+        "centre": "select volume_id, " + ", ".join(f"avg({q} * {number(v)}) as o{x}" for q, x, v in zip("ijk", "xyz", spacing)) + " from vox_a group by 1",
+        "pose": f"""select candidate, {', '.join(cells)} from (select cast(f.n * {360 // step} + r.range as bigint) as candidate, f.f, cos(radians(r.range * {step})) as c, sin(radians(r.range * {step})) as s
+            from (values (0, 1.0::double), (1, -1.0::double)) f(n, f), range({360 // step}) r)""",
+        "full_grid": f"select volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(z.range as bigint) as k from centre, range({n[0]}) x, range({n[1]}) y, range({n[2]}) z",
+        "placed": f"select volume_id, candidate, i, j, k, {', '.join(source)} from full_grid join centre using (volume_id), pose",
+        "coords": f"select volume_id, candidate, i, j, k, {clamp} from (select volume_id, candidate, i, j, k, {snap} from placed) where {inside}",
+        "moved": """select c.volume_id, c.candidate, c.i, c.j, c.k, sum(w * value) as value from (
+            select *, (case dx when 0 then 1 - (cx - floor(cx)) else cx - floor(cx) end) * (case dy when 0 then 1 - (cy - floor(cy)) else cy - floor(cy) end)
+                   * (case dz when 0 then 1 - (cz - floor(cz)) else cz - floor(cz) end) as w
+            from coords, (values (0), (1)) a(dx), (values (0), (1)) b(dy), (values (0), (1)) e(dz)) c
+            join vox_b v on v.volume_id = c.volume_id and v.i = floor(cx) + dx and v.j = floor(cy) + dy and v.k = floor(cz) + dz where w > 0 group by 1, 2, 3, 4, 5""",
+        "p": """select g.volume_id, q.candidate, coalesce(a.value, 0) as a, coalesce(b.value, 0) as b from full_grid g cross join (select candidate from pose) q
+            left join vox_a a on a.volume_id = g.volume_id and a.i = g.i and a.j = g.j and a.k = g.k
+            left join moved b on b.volume_id = g.volume_id and b.i = g.i and b.j = g.j and b.k = g.k and b.candidate = q.candidate""",
+        **{name: sql.format(keys="volume_id, candidate") for name, sql in MI.items()}}
+
+
+@query("score_candidates", compose("vox vox_a vox_b", """
+    select volume_id, candidate, n, round(ncc, 5) as ncc, round(mi, 5) as mi, case when mi is null or ncc is null then 'failed' else 'success' end as status
+    from ncc left join mi using (volume_id, candidate)""", _pose_sql()))
 def _(t: Tables):
     """All 24 poses per volume scored against the fixed map."""
-    return rounded(registration.score_candidates(t.vox_a(), t.vox_b(), _poses(t), VOX_GRID))
+    return rounded(registration.score_candidates(t.vox_a(), t.vox_b(), _poses(t), VOX_GRID), 5)
 
 
 @query("rank_candidates", compose("vox", """
@@ -241,21 +275,6 @@ def _(t: Tables):
     return rounded(moved.withColumn("value", F.col("value") * 0.7310585786300049), 3)
 
 
-@query("evaluate_transforms", compose("vox vox_a vox_b", """
-    select volume_id, image, scope, n, round(ncc, 5) as ncc from ncc""", {**MOVED,
-    "full_grid": "select volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(z.range as bigint) as k from (select distinct volume_id from vox), range(50) x, range(11) y, range(9) z",
-    "moved": "select *, 'a' as image from lin_a union all select *, 'b' from lin_b",
-    "p": """select g.volume_id, n.image, s.scope, coalesce(v.value, 0) as a, coalesce(m.value, 0) as b
-            from full_grid g cross join (values ('a'), ('b')) n(image) cross join (values ('global'), ('mask')) s(scope)
-            left join vox_a v on v.volume_id = g.volume_id and v.i = g.i and v.j = g.j and v.k = g.k
-            left join moved m on m.volume_id = g.volume_id and m.i = g.i and m.j = g.j and m.k = g.k and m.image = n.image
-            where s.scope = 'global' or v.value > 40000""", "ncc": MI["ncc"].format(keys="volume_id, image, scope")}))
-def _(t: Tables):
-    """NCC of the moved maps against the fixed map in both scopes (MI is left to its own query)."""
-    out = registration.evaluate_transforms(t.vox_a(), t.vox_a().where("value > 40000"), _images(t), _shift(t), VOX_GRID, VOX_GRID)
-    return rounded(out.select("volume_id", "image", "scope", "n", "ncc"), 5)
-
-
 EVALUATED = {
     **MOVED,
     "full_grid": "select volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(z.range as bigint) as k from (select distinct volume_id from vox), range(50) x, range(11) y, range(9) z",
@@ -269,8 +288,12 @@ EVALUATED = {
 }
 
 
-@query("evaluate_transforms_mi", compose("vox vox_a vox_b", """
-    select volume_id, image, scope, n, round(ncc, 5) as ncc, round(mi, 5) as mi from ncc left join mi using (volume_id, image, scope)""", EVALUATED))
+EVALUATED_SQL = compose("vox vox_a vox_b", """
+    select volume_id, image, scope, n, round(ncc, 5) as ncc, round(mi, 5) as mi from ncc left join mi using (volume_id, image, scope)""", EVALUATED)
+
+
+@query("evaluate_transforms_mi", EVALUATED_SQL)
+@query("evaluate_transforms", EVALUATED_SQL)
 def _(t: Tables):
     """MI and NCC of the moved maps against the fixed map in both scopes."""
     out = registration.evaluate_transforms(t.vox_a(), t.vox_a().where("value > 40000"), _images(t), _shift(t), VOX_GRID, VOX_GRID)
