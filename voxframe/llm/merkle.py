@@ -1,6 +1,6 @@
 """A Merkle manifest of a table: one tree per language, one over their roots, and a proof for every row.
 
-Leaves are numbered over the whole table by ranges. Levels are built in blocks of 2^STRIDE neighbours; every stored
+Leaves are numbered over the whole table by ranges. Hashes travel as 32 bytes and are digested as hex text. Levels are built in blocks of 2^STRIDE neighbours; every stored
 node row links to its ancestor at the next stored level and holds the siblings on the way to it. A recursive query
 climbs from each leaf along these links, appends the siblings and folds the hash of a row that may have been tampered with.
 """
@@ -23,13 +23,15 @@ ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 CLIMB = """
 WITH RECURSIVE climb AS (
-  SELECT number, page, doc_id, leaf, 0 AS step, level, first, '' AS siblings, folded, subroot FROM {start}
+  SELECT number, doc_id, leaf, 0 AS step, level, first, CAST(X'' AS BINARY) AS siblings, folded, subroot FROM {start}
   UNION ALL
-  SELECT c.number, c.page, CAST(NULL AS BIGINT), CAST(NULL AS STRING), c.step + 1, n.parent_level, n.parent_first,
-         array_join(transform(n.path, s -> concat(s.left, s.right)), ''),
-         aggregate(n.path, c.folded, (h, s) -> sha2(concat(s.left, h, s.right), 256)),
-         CASE WHEN n.tops THEN n.up ELSE c.subroot END
-  FROM climb c JOIN {nodes} n ON c.level = n.level AND c.first = n.first AND c.page = n.page)
+  SELECT c.number, CAST(NULL AS BIGINT), CAST(NULL AS BINARY), c.step + 1, n.parent_level, n.parent_first,
+         aggregate(n.path, CAST(X'' AS BINARY), (all, s) -> concat(all, s)),
+         aggregate(n.path, named_struct('hash', c.folded, 'place', n.place), (h, s) -> named_struct(
+           'hash', unhex(sha2(lower(hex(CASE WHEN h.place % 2 = 1 THEN concat(s, h.hash) ELSE concat(h.hash, s) END)), 256)),
+           'place', shiftright(h.place, 1)), h -> h.hash),
+         CASE WHEN n.tops THEN n.up END
+  FROM climb c JOIN {nodes} n ON c.level = n.level AND c.first = n.first AND shiftright(c.number, {page_bits}) = n.page)
 SELECT * FROM climb"""
 
 
@@ -39,9 +41,13 @@ def sized_text(value: Column) -> Column:
     return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
+def hex_text(hash: Column) -> Column:
+    return F.lower(F.hex(hash))
+
+
 def leaf_hash(n_chars: Column) -> Column:
     columns = {c: F.col(c) for c in FIELDS} | {"n_chars": n_chars}
-    return F.sha2(F.concat(*[sized_text(columns[c]) for c in FIELDS]), 256)
+    return F.unhex(F.sha2(F.concat(*[sized_text(columns[c]) for c in FIELDS]), 256))
 
 
 def is_tampered(doc_id: Column) -> Column:
@@ -88,27 +94,27 @@ def stored_level(nodes: DataFrame, level: int, after: int) -> DataFrame:
     """Node rows of one stored level.
 
     ``nodes``: tree, size (its nodes at this level), place (from 0, without gaps), hash, first, last (leaf numbers).
-    Trees of one node give no rows. A row's ``up`` is the hash of its parent, ``tops`` says that the parent is the root
+    Trees of one node give no rows. A row's ``path`` holds its siblings, empty where there is none; the bits of its place
+    tell their sides. ``up`` is the hash of its parent, ``tops`` says that the parent is the root
     of the tree, which continues at level ``after``. A block has 2^STRIDE nodes at most.
     """
     whole = 1 << STRIDE
     blocks = nodes.where("size > 1").groupBy("tree", "size", F.shiftright("place", STRIDE).alias("block")).agg(
         F.sort_array(F.collect_list(F.struct("place", "hash", "first", "last"))).alias("cells"))
     blocks = blocks.withColumn("levels", F.least(F.lit(STRIDE), F.length(F.bin(F.col("size") - 1))).cast("int"))
-    ladder = F.aggregate(F.sequence(F.lit(1), F.col("levels")), F.array(F.transform("cells", lambda c: c["hash"])),
+    ladder = F.aggregate(F.sequence(F.lit(1), F.col("levels")), F.array(F.transform("cells", lambda c: hex_text(c["hash"]))),
                          lambda done, _: F.concat(done, F.array(_above(F.element_at(done, -1)))))
 
     def step(built: Column, i: Column, k: Column) -> Column:
-        place, row = F.call_function("shiftright", i, k), F.get(built, k)
-        odd = place % 2 == 1
-        return F.struct(F.when(odd, F.get(row, place - 1)).otherwise("").alias("left"),
-                        F.when(odd, "").otherwise(F.coalesce(F.get(row, place + 1), F.lit(""))).alias("right"))
+        place = F.call_function("shiftright", i, k)
+        beside = F.get(F.get(built, k), F.when(place % 2 == 1, place - 1).otherwise(place + 1))
+        return F.unhex(F.coalesce(beside, F.lit("")))
 
     def rows(built: Column) -> Column:
         return F.transform("cells", lambda c, i: F.struct(
-            c["place"].alias("place"), c["hash"].alias("hash"), c["first"].alias("first"), c["last"].alias("last"),
+            c["place"].alias("place"), c["first"].alias("first"), c["last"].alias("last"),
             F.transform(F.sequence(F.lit(0), F.col("levels") - 1), lambda k: step(built, i, k)).alias("path"),
-            F.get(F.element_at(built, -1), F.lit(0)).alias("up")))
+            F.unhex(F.get(F.element_at(built, -1), F.lit(0))).alias("up")))
 
     bound = F.get(F.transform(F.array(ladder), rows), F.lit(0))  # the ladder is computed once per block
     opened = blocks.select("tree", "size", F.get("cells", F.lit(0))["first"].alias("parent_first"), F.element_at("cells", -1)["last"].alias("parent_last"),
@@ -160,34 +166,39 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.lit(-1).cast("long").alias("tree"), F.lit(total["n"]).cast("long").alias("size"), "place", "hash", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1).alias("last"))
     roots = store(roots, "merkle-roots")
     levels += _tree(roots, TOP, END, total["n"])
-    root = (roots.select("hash") if total["n"] == 1 else levels[-1].where("tops AND place = 0").select("up")).first()[0]
+    root = (roots.select(hex_text(F.col("hash"))) if total["n"] == 1 else levels[-1].where("tops AND place = 0").select(hex_text(F.col("up")))).first()[0]
 
     nodes = None
     for stored in levels:
-        part = stored.select("level", "first", "page", "path", "up", (F.col("tops") & (F.col("level") < TOP)).alias("tops"), "parent_level", "parent_first")
+        part = stored.select("level", "first", "page", "place", "path", "up", (F.col("tops") & (F.col("level") < TOP)).alias("tops"), "parent_level", "parent_first")
         nodes = part if nodes is None else nodes.unionByName(part)
-    start = rows.select("number", F.shiftright("number", PAGE_BITS).alias("page"), F.col("doc_id").cast("long").alias("doc_id"), "leaf",
-                        F.when(F.col("size") > 1, 0).otherwise(after).alias("level"), F.col("number").alias("first"),
-                        F.coalesce("tampered", "leaf").alias("folded"), F.when(F.col("size") == 1, F.col("leaf")).alias("subroot"))
-    climbed = start.selectExpr("number", "doc_id", "leaf", "0 AS step", "'' AS siblings", "folded", "subroot") if nodes is None else _climb(spark, start, nodes)
-    return (climbed.groupBy("number").agg(
-        F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), F.max("subroot").alias("subroot"), F.max_by("folded", "step").alias("folded_root"),
-        F.sort_array(F.collect_list(F.struct("step", "siblings"))).alias("steps"))  # as many as stored levels
-        .select("doc_id", "leaf", "subroot", F.lit(root).alias("root"), F.sha2(F.array_join(F.transform("steps", lambda s: s["siblings"]), ""), 256).alias("proof_sha256"),
-                "folded_root", (F.col("folded_root") == F.lit(root)).alias("verified")))
-
-
-def _climb(spark: SparkSession, start: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of all climbs. The session's limit on the rows of a recursion is lifted while they are computed."""
+    start = rows.select("number", F.col("doc_id").cast("long").alias("doc_id"), "leaf", F.when(F.col("size") > 1, 0).otherwise(after).alias("level"),
+                        F.col("number").alias("first"), F.coalesce("tampered", "leaf").alias("folded"), F.when(F.col("size") == 1, F.col("leaf")).alias("subroot"))
+    if nodes is None:
+        return _verdicts(start.withColumns({"step": F.lit(0), "siblings": F.unhex(F.lit(""))}), root)
+    return _climb(spark, start, nodes, root)
+
+
+def _climb(spark: SparkSession, start: DataFrame, nodes: DataFrame, root: str) -> DataFrame:
+    """All climbs and what they end in. The session's limit on the rows of a recursion is lifted while they are computed."""
     limit = spark.conf.get(ROW_LIMIT)
     spark.conf.set(ROW_LIMIT, "-1")
     try:
-        climb = spark.sql(CLIMB, start=start, nodes=nodes)
-        return store(climb.select("number", "doc_id", "leaf", "step", "siblings", "folded", "subroot"), "merkle-climb")
+        return store(_verdicts(spark.sql(CLIMB, start=start, nodes=nodes, page_bits=PAGE_BITS), root), "merkle-proofs")
     finally:
         spark.conf.set(ROW_LIMIT, limit)
 
 
+def _verdicts(climbed: DataFrame, root: str) -> DataFrame:
+    """One row per leaf from one row per stored level."""
+    steps = F.sort_array(F.collect_list(F.struct("step", "siblings")))
+    return (climbed.groupBy("number").agg(F.max("doc_id").alias("doc_id"), F.max("leaf").alias("leaf"), F.max("subroot").alias("subroot"),
+                                          F.max_by("folded", "step").alias("folded"), steps.alias("steps"))
+            .select("doc_id", hex_text(F.col("leaf")).alias("leaf"), hex_text(F.col("subroot")).alias("subroot"), F.lit(root).alias("root"),
+                    F.sha2(F.array_join(F.transform("steps", lambda s: hex_text(s["siblings"])), ""), 256).alias("proof_sha256"),
+                    hex_text(F.col("folded")).alias("folded_root"), (hex_text(F.col("folded")) == root).alias("verified")))
+
+
 def _empty(docs: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
