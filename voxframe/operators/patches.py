@@ -40,19 +40,29 @@ def patch_grid(grids: DataFrame, patch: Sequence[int], overlap: Sequence[float])
     return df.select("volume_id", index.cast("long").alias("patch_index"), "z0", ends[2], "y0", ends[1], "x0", ends[0])
 
 
-def cut_patches(voxels: DataFrame, patches: DataFrame) -> DataFrame:
-    """Every voxel once per patch that contains it.
+BLOCK_BITS = 5  # edge 2^BLOCK_BITS of the blocks in which voxels look up their boxes
+BLOCK = ["_bi", "_bj", "_bk"]
 
-    Each axis has a lookup (index → interval), so three equi-joins and one on the box
-    replace the range join; rows multiply only with the true overlap.
-    """
-    out = voxels
-    for index, axis in BOX_AXES:
-        low, high = f"{axis}0", f"{axis}1"
-        lookup = (patches.select("volume_id", low, high).distinct()
-                  .select("volume_id", low, high, F.explode(F.sequence(F.col(low), F.col(high) - 1)).alias(index)))
-        out = out.join(lookup, ["volume_id", index])
-    return out.join(patches, ["volume_id", "x0", "x1", "y0", "y1", "z0", "z1"])
+
+def boxes_of_blocks(patches: DataFrame) -> DataFrame:
+    """(volume_id, block, boxes): the patches that touch each block of voxels, as many as overlap around it."""
+    out = patches.select("volume_id", F.struct(*[F.col(f"{a}{n}").cast("long").alias(f"{a}{n}") for a in "xyz" for n in (0, 1)], "patch_index").alias("box"))
+    for name, (_, axis) in zip(BLOCK, BOX_AXES):
+        low, high = F.col(f"box.{axis}0"), F.col(f"box.{axis}1")
+        out = out.where(low < high).withColumn(name, F.explode(F.sequence(F.shiftright(low, BLOCK_BITS), F.shiftright(high - 1, BLOCK_BITS))))
+    return out.groupBy("volume_id", *BLOCK).agg(F.collect_list("box").alias("boxes"))
+
+
+def with_boxes(voxels: DataFrame, patches: DataFrame) -> DataFrame:
+    """Voxels with ``boxes``, the patches that contain them: one equi-join on blocks, so no key has more rows than a block has voxels."""
+    placed = voxels.withColumns({name: F.shiftright(index, BLOCK_BITS) for name, (index, _) in zip(BLOCK, BOX_AXES)})
+    inside = lambda b: (F.col("i") >= b["x0"]) & (F.col("i") < b["x1"]) & (F.col("j") >= b["y0"]) & (F.col("j") < b["y1"]) & (F.col("k") >= b["z0"]) & (F.col("k") < b["z1"])
+    return placed.join(boxes_of_blocks(patches), ["volume_id", *BLOCK]).withColumn("boxes", F.filter("boxes", inside))
+
+
+def cut_patches(voxels: DataFrame, patches: DataFrame) -> DataFrame:
+    """Every voxel once per patch that contains it, with the box; rows multiply only with the true overlap."""
+    return with_boxes(voxels, patches).select(*voxels.columns, F.explode("boxes").alias("_box")).select(*voxels.columns, "_box.*")
 
 
 def normalize_percentile(patch_voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -110,16 +120,23 @@ def overlap_pairs(patch_labels: DataFrame) -> DataFrame:
 
 
 def label_overlap(patch_labels: DataFrame, patches: DataFrame, min_voxels: int = 10, min_share: float = 0.3) -> DataFrame:
-    """Candidate label matches: intersection over the smaller label, sizes counted inside the overlap of the two patches."""
-    labels = patch_labels.where("local_label > 0").select("volume_id", "i", "j", "k", "patch_index", "local_label")
-    inter = (overlap_pairs(labels).groupBy(*PAIR, "label_a", "label_b").agg(F.count("*").alias("intersection"))
-             .where(F.col("intersection") >= min_voxels))
-    elsewhere = cut_patches(labels.withColumnsRenamed({"patch_index": "own"}), patches).where("own <> patch_index")
-    sizes = elsewhere.groupBy("volume_id", "own", "patch_index", "local_label").agg(F.count("*").alias("size"))
-    size_a = sizes.select("volume_id", F.col("own").alias("patch_a"), F.col("patch_index").alias("patch_b"),
-                          F.col("local_label").alias("label_a"), F.col("size").alias("size_a"))
-    size_b = sizes.select("volume_id", F.col("own").alias("patch_b"), F.col("patch_index").alias("patch_a"),
-                          F.col("local_label").alias("label_b"), F.col("size").alias("size_b"))
+    """Candidate label matches: intersection over the smaller label, sizes counted inside the overlap of the two patches.
+
+    The labels of a voxel, one per patch over it, meet in the block join already, so intersections and sizes come from
+    one pass: each label of a voxel counts once for every other box there, and once for every label of that patch.
+    """
+    labels = patch_labels.where("local_label > 0").select(*KEY, F.struct(F.col("patch_index").alias("patch"), F.col("local_label").alias("label")).alias("own"))
+    voxels = with_boxes(labels, patches).groupBy("volume_id", *BLOCK, "i", "j", "k").agg(F.collect_list("own").alias("cells"), F.first("boxes").alias("boxes"))
+    count = lambda own, other, label: F.struct(own["patch"].alias("patch_a"), other.alias("patch_b"), own["label"].alias("label_a"), label.alias("label_b"))
+    nothing = F.lit(None).cast(patch_labels.schema["local_label"].dataType)
+    sizes_of = F.flatten(F.transform("cells", lambda c: F.transform(F.filter("boxes", lambda b: b["patch_index"] != c["patch"]), lambda b: count(c, b["patch_index"], nothing))))
+    meets_of = F.flatten(F.transform("cells", lambda c: F.transform(F.filter("cells", lambda d: d["patch"] < c["patch"]), lambda d: count(c, d["patch"], d["label"]))))
+    counted = cut_lineage(voxels.select("volume_id", F.explode(F.concat(sizes_of, meets_of)).alias("m")).select("volume_id", "m.*")
+                          .groupBy(*PAIR, "label_a", "label_b").agg(F.count("*").alias("n")))  # one row per pair of labels that meet
+    inter = counted.where("label_b IS NOT NULL").where(F.col("n") >= min_voxels).withColumnRenamed("n", "intersection")
+    sizes = counted.where("label_b IS NULL")
+    size_a = sizes.select(*PAIR, "label_a", F.col("n").alias("size_a"))
+    size_b = sizes.select("volume_id", F.col("patch_a").alias("patch_b"), F.col("patch_b").alias("patch_a"), F.col("label_a").alias("label_b"), F.col("n").alias("size_b"))
     joined = inter.join(size_a, [*PAIR, "label_a"]).join(size_b, [*PAIR, "label_b"])
     return (joined.withColumn("iomin", F.col("intersection") / F.least("size_a", "size_b"))
             .where(F.col("iomin") >= min_share)
@@ -131,19 +148,17 @@ def greedy_match(candidates: DataFrame) -> DataFrame:
 
     Under a strict order a pair that is the best of both its labels is always taken by
     the sequential greedy, so rounds of mutual-best pairs give the same result.  The
-    windows span the candidates of one label in one patch overlap.
+    windows span the candidates of one label in one patch overlap; each round is stored once.
     """
     score = F.struct("iomin", "intersection", "label_a", "label_b")
-    rest = cut_lineage(candidates)
-    taken = None
+    of_a, of_b = (Window.partitionBy(*PAIR, side) for side in ("label_a", "label_b"))
+    rest, taken = candidates, None
     while True:  # the best remaining pair is taken in every round
-        of_a = Window.partitionBy(*PAIR, "label_a")
-        of_b = Window.partitionBy(*PAIR, "label_b")
-        judged = rest.withColumns({"_best_a": F.max(score).over(of_a), "_best_b": F.max(score).over(of_b)})
-        best = cut_lineage(judged.where((score == F.col("_best_a")) & (score == F.col("_best_b"))).drop("_best_a", "_best_b"))
+        judged = rest.withColumn("_b", F.max(score).over(of_b)).withColumn("_best", (score == F.max(score).over(of_a)) & (score == F.col("_b")))
+        judged = cut_lineage(judged.withColumn("_gone", F.max("_best").over(of_a)).withColumn("_gone", F.col("_gone") | F.max("_best").over(of_b)).drop("_b"))
+        best = judged.where("_best").drop("_best", "_gone")
         taken = best if taken is None else taken.unionByName(best)
-        rest = cut_lineage(rest.join(best.select(*PAIR, "label_a"), [*PAIR, "label_a"], "left_anti")
-                           .join(best.select(*PAIR, "label_b"), [*PAIR, "label_b"], "left_anti"))
+        rest = judged.where("NOT _gone").drop("_best", "_gone")
         if rest.isEmpty():
             return taken
 
@@ -219,3 +234,9 @@ def owned_region(owned: DataFrame) -> DataFrame:
     return (kept.select("volume_id", "patch_index", "own_y0", "own_y1", "own_z0", "own_z1", span("x").alias("i"))
             .select("volume_id", "patch_index", "i", "own_z0", "own_z1", span("y").alias("j"))
             .select("volume_id", "patch_index", "i", "j", span("z").alias("k")))
+
+
+def low_point_region(patches: DataFrame, patch_labels: DataFrame, sizes: DataFrame, minimum: int = 10) -> DataFrame:
+    """Voxels owned by patches with fewer than ``minimum`` labels."""
+    low = low_point_patches(patches, patch_labels, minimum).select("volume_id", "patch_index")
+    return owned_region(owned_boxes(patches, sizes).join(low, ["volume_id", "patch_index"], "left_semi")).select(*KEY)

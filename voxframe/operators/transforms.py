@@ -120,25 +120,45 @@ def cubic_weight(t: Column, n: int) -> Column:
     return t * t * t / 6.0
 
 
+def control_cells(coefficients: DataFrame) -> DataFrame:
+    """(volume_id, ci, cj, ck, control): the 4×4×4 control points around each cell of the control grid.
+
+    ``control`` holds structs (dx, dy, dz) in the order of (i, j, k) offsets, zeros where the grid has no point. A control
+    point goes to the 64 cells that it acts on, so the cost follows the control grid and not the points.
+    """
+    zero = F.struct(*[F.lit(0.0).alias(f"d{a}") for a in "xyz"])
+    spread = coefficients.select("volume_id", "ci", "cj", "ck", F.struct(*[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in "xyz"]).alias("d"))
+    for n, index in enumerate(("ci", "cj", "ck")):
+        spread = spread.withColumn(f"_{n}", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(index, F.col(index) + 1 - F.col(f"_{n}"))
+    found = spread.groupBy("volume_id", "ci", "cj", "ck").agg(
+        F.map_from_entries(F.collect_list(F.struct((F.col("_0") * 16 + F.col("_1") * 4 + F.col("_2")).alias("at"), "d"))).alias("found"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda at: F.coalesce(F.try_element_at("found", at), zero))
+    return found.select("volume_id", "ci", "cj", "ck", filled.alias("control"))
+
+
 def apply_bspline(points: DataFrame, coefficients: DataFrame, spacing: Sequence[float], origin: Sequence[float]) -> DataFrame:
     """Move points by a cubic B-spline displacement.
 
-    ``coefficients``: ``volume_id, ci, cj, ck, dx, dy, dz`` on a control grid; missing
-    control points count as zero. Each point asks for its 4×4×4 control points by an
-    equi-join; weights factor over the axes.
+    ``coefficients``: ``volume_id, ci, cj, ck, dx, dy, dz`` on a control grid, one row per control point; missing
+    control points count as zero. A point meets the control points of its cell as one row of one join; the weights
+    of the axes are applied one after the other, from 64 values to 16, 4 and 1.
     """
-    df = points.select("volume_id", "point_id", "x", "y", "z")
+    df, weights = points, {}
     for axis, index, s, o in zip("xyz", ("ci", "cj", "ck"), spacing, origin):
         u = (F.col(axis) - F.lit(float(o))) / F.lit(float(s))
-        t = u - F.floor(u)
-        taps = F.array(*[F.struct((F.floor(u) - 1 + n).cast("long").alias("c"), cubic_weight(t, n).alias("w")) for n in range(4)])
-        df = df.select("*", F.explode(taps).alias(f"_{index}"))
-    df = df.select("volume_id", "point_id", *[F.col(f"_{c}.c").alias(c) for c in ("ci", "cj", "ck")],
-                   (F.col("_ci.w") * F.col("_cj.w") * F.col("_ck.w")).alias("w"))
-    shifts = df.join(coefficients, ["volume_id", "ci", "cj", "ck"]).groupBy("volume_id", "point_id").agg(
-        *[F.sum(F.col("w") * F.col(f"d{a}")).alias(f"d{a}") for a in "xyz"])
-    return (points.join(shifts, ["volume_id", "point_id"], "left")
-            .withColumns({a: F.col(a) + F.coalesce(F.col(f"d{a}"), F.lit(0.0)) for a in "xyz"}).drop("dx", "dy", "dz"))
+        df = df.withColumns({index: F.floor(u).cast("long"), f"_t{axis}": u - F.floor(u)})
+        weights[axis] = F.array(*[cubic_weight(F.col(f"_t{axis}"), n) for n in range(4)])
+    joined = df.withColumns({f"_w{axis}": w for axis, w in weights.items()}).join(control_cells(coefficients), ["volume_id", "ci", "cj", "ck"], "left")
+
+    def contract(values: Column, weight: Column, size: int) -> Column:
+        """Sums over the last of the remaining axes."""
+        part = lambda at, d: sum((F.get(weight, F.lit(n)) * F.get(values, at * 4 + n)[d] for n in range(1, 4)), F.get(weight, F.lit(0)) * F.get(values, at * 4)[d])
+        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda at: F.struct(*[part(at, f"d{a}").alias(f"d{a}") for a in "xyz"]))
+
+    step = lambda values, axis, size: F.get(F.transform(F.array(values), lambda v: contract(v, F.col(f"_w{axis}"), size)), F.lit(0))
+    shift = F.get(step(step(step(F.col("control"), "z", 16), "y", 4), "x", 1), F.lit(0))
+    moved = joined.withColumn("_d", shift)
+    return moved.select(*[(F.col(c) + F.coalesce(F.col(f"_d.d{c}"), F.lit(0.0))).alias(c) if c in ("x", "y", "z") else F.col(c) for c in points.columns])
 
 
 def jacobian_map(field: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:

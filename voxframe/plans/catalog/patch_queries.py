@@ -189,6 +189,18 @@ def _(t: Tables):
     return _merge(t)["labels"]
 
 
+@query("low_point_mask", compose("patches patch_labels", """
+    select v.volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(0 as bigint) as k
+    from (select volume_id, greatest(ox0, x0) as a0, least(ox1, x1) as a1, greatest(oy0, y0) as b0, least(oy1, y1) as b1
+          from patches join own_x using (x0) join own_y using (y0) left join
+            (select volume_id, patch_index, count(distinct local_label) as n from patch_labels group by 1, 2) using (volume_id, patch_index)
+          where coalesce(n, 0) < 72) v, range(128) x, range(96) y
+    where x.range >= a0 and x.range < a1 and y.range >= b0 and y.range < b1""", {n: MERGE[n] for n in ("own_x", "own_y")}))
+def _(t: Tables):
+    """Region of the merged volume that belongs to patches with few labels."""
+    return patches.low_point_region(t.patches(), t.patch_labels(), _sizes(t), 72)
+
+
 @query("merged_centroids", compose("patch_labels", """
     select volume_id, label, count(*) as voxel_count, round(avg(i), 6) as center_x, round(avg(j), 6) as center_y,
            cast(0 as double) as center_z, cast(round_even(avg(i), 0) as bigint) as rounded_x,

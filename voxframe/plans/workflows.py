@@ -81,10 +81,8 @@ def merge_patches(patch_labels: DataFrame, patches: DataFrame, sizes: DataFrame,
     owned = p.owned_boxes(patches, sizes)
     merged = p.to_global_labels(p.owned_labels(patch_labels, owned), component_map)
     labels = merged.select(*KEY, F.col("global_component_id").alias("label"))
-    low = p.low_point_patches(patches, patch_labels, min_points)
-    low_region = p.owned_region(owned.join(low.select("volume_id", "patch_index"), ["volume_id", "patch_index"], "left_semi"))
     return {"matches": matches, "component_map": component_map, "labels": labels, "mask": labels.select(*KEY),
-            "low_point_mask": low_region.select(*KEY)}
+            "low_point_mask": p.low_point_region(patches, patch_labels, sizes, min_points)}
 
 
 def erode_and_mask(images: DataFrame, mask: DataFrame, iterations: int) -> DataFrame:
