@@ -126,7 +126,7 @@ def label_overlap(patch_labels: DataFrame, patches: DataFrame, min_voxels: int =
     one pass: each label of a voxel counts once for every other box there, and once for every label of that patch.
     """
     labels = patch_labels.where("local_label > 0").select(*KEY, F.struct(F.col("patch_index").alias("patch"), F.col("local_label").alias("label")).alias("own"))
-    voxels = with_boxes(labels, patches).groupBy("volume_id", *BLOCK, "i", "j", "k").agg(F.collect_list("own").alias("cells"), F.first("boxes").alias("boxes"))
+    voxels = with_boxes(labels, patches).where(F.size("boxes") > 1).groupBy("volume_id", *BLOCK, "i", "j", "k").agg(F.collect_list("own").alias("cells"), F.first("boxes").alias("boxes"))
     count = lambda own, other, label: F.struct(own["patch"].alias("patch_a"), other.alias("patch_b"), own["label"].alias("label_a"), label.alias("label_b"))
     nothing = F.lit(None).cast(patch_labels.schema["local_label"].dataType)
     sizes_of = F.flatten(F.transform("cells", lambda c: F.transform(F.filter("boxes", lambda b: b["patch_index"] != c["patch"]), lambda b: count(c, b["patch_index"], nothing))))
