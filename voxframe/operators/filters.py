@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import validity
-from .geometry import AXES, axis_code, spacing_um
+from .geometry import AXES, axis_code, check_geometry, spacing_um
 
 KEY = ["volume_id", "i", "j", "k"]
 
@@ -81,6 +81,23 @@ def apply_mask(voxels: DataFrame, mask: DataFrame, column: str = "value") -> Dat
             .withColumn(column, F.when(F.col("_in"), F.col(column)).otherwise(F.lit(0.0))).drop("_in"))
 
 
+def mask_violations(images: DataFrame, mask: DataFrame, image_grids: DataFrame, mask_grids: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """(volume_id, reason) of the images that their mask does not fit: no grid, another shape, another affine, an empty mask."""
+    geometry = check_geometry(image_grids, mask_grids, tolerance)
+    filled = mask.select("volume_id").distinct().withColumn("_filled", F.lit(True))
+    known = images.select("volume_id").distinct().join(geometry, "volume_id", "left").join(filled, "volume_id", "left")
+    reason = (F.when(F.col("same_shape").isNull(), "no grid").when(~F.col("same_shape"), "shape").when(~F.col("same_affine"), "affine")
+              .when(F.col("_filled").isNull(), "empty mask"))
+    return known.select("volume_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+def apply_mask_batch(images: DataFrame, mask: DataFrame, image_grids: DataFrame, mask_grids: DataFrame, column: str = "value",
+                     tolerance: float = 1e-5) -> tuple[DataFrame, DataFrame]:
+    """A batch of images under their masks, and the violations; an image with one is left out and stops no other."""
+    bad = mask_violations(images, mask, image_grids, mask_grids, tolerance)
+    return apply_mask(images.join(bad.select("volume_id"), "volume_id", "left_anti"), mask, column), bad
+
+
 def mask_check(original: DataFrame, masked: DataFrame, mask: DataFrame, column: str = "value") -> DataFrame:
     """Largest change inside the mask and largest remainder outside, per volume."""
     both = (original.select(*KEY, F.col(column).alias("_before"))

@@ -77,7 +77,7 @@ def _(t: Tables):
 @query("resample_weighted", compose("vox_a", """
     select volume_id, i, j, k, round(value / weight * cast(0.7310585786300049 as double), 4) as value from lin semi join n using (volume_id, i, j, k) where weight > 1e-6""",
     {"holed": "select * from vox_a where (i + j + k) % 4 <> 0", "coords": coordinates_sql(FINE, VOX_GRID, "array"),
-     "lin": TRILINEAR.format(source="holed"), "n": NEAREST.format(source="holed")}))
+     "lin": TRILINEAR.format(source="holed"), "n": NEAREST.format(source="holed")}, stored=("holed", "coords", "lin", "n")))
 def _(t: Tables):
     """Resampling of a map whose every fourth diagonal has no data."""
     hole = (F.col("i") + F.col("j") + F.col("k")) % 4 == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...grid import Grid
 from ...operators import aggregate, cells, registration, similarity, transforms
 from ...session import cut_lineage, scratch_path
-from ...sources import points as ps, runs, volumes
+from ...sources import points as ps, runs, summary, volumes
 from ...streaming.patch_stream import stored_counts, stream_patch_results
 from ..adapters import PTS_GRID, VOX_GRID, Tables
 from ..oracle_sql import compose
@@ -68,6 +68,53 @@ def _(t: Tables):
     return ps.read_text_table(t.spark, path)
 
 
+PATCH_FILES = """
+    select q.volume_id, q.patch_index, p.i - q.x0 as i, p.j - q.y0 as j, p.k - q.z0 as k, round(p.value, 6) as value
+    from plane p join patches q on p.volume_id = q.volume_id and i >= x0 and i < x1 and j >= y0 and j < y1"""
+PATCH_WORLD = Grid.regular((128, 96, 1), (3.0, 9.0, 2.0), (1.0, 2.0, 3.0))
+
+
+def _patch_files(t: Tables, compress: bool) -> str:
+    folder = scratch_path(t.spark, "patches")
+    volumes.write_patches(t.plane(), t.patches(), PATCH_WORLD, folder, compress).write.format("noop").mode("overwrite").save()
+    return f"{folder}/*/*"
+
+
+def _file_keys():
+    return [F.regexp_extract("path", r"/volume_(\d+)/", 1).cast("long").alias("volume_id"), F.regexp_extract("path", r"/patch_0*(\d+)_", 1).cast("long").alias("patch_index")]
+
+
+@query("read_volumes", compose("plane patches", PATCH_FILES))
+def _(t: Tables):
+    """Patches written as uncompressed image files and read back in ranges of 500 voxels."""
+    voxels = volumes.read_volumes(t.spark, _patch_files(t, False), range_voxels=500)
+    return rounded(voxels.select(*_file_keys(), "i", "j", "k", "value"))
+
+
+@query("read_volumes_gz", compose("plane patches", PATCH_FILES))
+def _(t: Tables):
+    """The same patches as compressed files."""
+    return rounded(volumes.read_volumes(t.spark, _patch_files(t, True)).select(*_file_keys(), "i", "j", "k", "value"))
+
+
+@query("image_grids", compose("patches", """
+    select volume_id, patch_index, x1 - x0 as nx, y1 - y0 as ny, z1 - z0 as nz, 'um' as unit, cast(3 as double) as spacing_x, cast(9 as double) as spacing_y,
+           round(cast(3 as double) * x0 + 1, 4) as origin_x, round(cast(9 as double) * y0 + 2, 4) as origin_y, round(cast(2 as double) * z0 + 3, 4) as origin_z, cast(1 as bigint) as sform_code
+    from patches"""))
+def _(t: Tables):
+    """Grid rows read from the headers of the patch files."""
+    origin = [F.col("affine")[4 * r + 3].alias(f"origin_{a}") for r, a in enumerate("xyz")]
+    spacing = [F.col("affine")[5 * r].alias(f"spacing_{a}") for r, a in enumerate("xy")]
+    return rounded(volumes.image_grids(t.spark, _patch_files(t, False)).select(*_file_keys(), "nx", "ny", "nz", "unit", *spacing, *origin, "sform_code"), 4)
+
+
+@query("write_patches_manifest", compose("plane patches", """
+    select q.volume_id, q.patch_index, count(p.i) as n_voxels from patches q left join plane p on p.volume_id = q.volume_id and i >= x0 and i < x1 and j >= y0 and j < y1 group by 1, 2"""))
+def _(t: Tables):
+    """One file per patch, those without any voxel included."""
+    return volumes.write_patches(t.plane(), t.patches(), PATCH_WORLD, scratch_path(t.spark, "patches")).select("volume_id", "patch_index", "n_voxels")
+
+
 @query("write_voxels", compose("vox", "select volume_id, i, j, k, round(value_a, 6) as value, cast(50 as bigint) as nx from vox"))
 def _(t: Tables):
     """Partitioned voxel store with grid rows, read back."""
@@ -181,6 +228,23 @@ def _(t: Tables):
     return rounded(registration.normalize_weights(_run_metrics(t).withColumn("weight", F.col("n").cast("double")), ["flag"]).select("flag", "status", "scope", "weight"))
 
 
+@query("upsert_stored", compose("vox", """
+    select flag, status, case when flag = 'A' then -1 else mi_global_B9 end as mi, place as row_order from (
+      select *, row_number() over (order by flag, status) - 1 as place from w where flag <> 'N')
+    union all select flag, status, cast(-1 as double), 4 from w where flag = 'N' and status = 'F'""", {**RUNS, "w": WIDE}))
+def _(t: Tables):
+    """The same through a stored table: two committed versions, and a staged one that nobody committed."""
+    root = scratch_path(t.spark, "summary")
+    wide = registration.metrics_wide(_run_metrics(t).withColumn("image", F.lit("B9")), ["flag", "status"], ["B9"])
+    place = F.when(F.col("flag") == "A", 0).otherwise(2) + F.when(F.col("status") == "F", 0).otherwise(1)
+    old = wide.where("flag <> 'N'").select("flag", "status", F.col("mi_global_B9").alias("mi"), place.cast("long").alias("row_order"))
+    new = wide.where("flag = 'A' or (flag = 'N' and status = 'F')").select("flag", "status", F.lit(-1.0).alias("mi"), F.lit(0).cast("long").alias("row_order"))
+    summary.upsert_stored(t.spark, root, old, ["flag", "status"])
+    summary.upsert_stored(t.spark, root, new, ["flag", "status"])
+    summary.stage(old.withColumn("mi", F.lit(7.0)), root)
+    return summary.read_summary(t.spark, root)
+
+
 # --- registration --------------------------------------------------------------------------------
 
 def _poses(t: Tables, step: int = 30):

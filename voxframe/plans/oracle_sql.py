@@ -85,8 +85,8 @@ NEEDS = {
 }
 
 
-def compose(names: str, body: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
-    """``body`` below the named adapters (blank separated) and their needs, then ``extra`` expressions."""
+def compose(names: str, body: str, extra: dict[str, str] | None = None, recursive: bool = False, stored: tuple[str, ...] = ()) -> str:
+    """``body`` below the named adapters (blank separated) and their needs, then ``extra`` expressions; ``stored`` ones are computed once."""
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -98,7 +98,8 @@ def compose(names: str, body: str, extra: dict[str, str] | None = None, recursiv
 
     for name in names.split():
         visit(name)
-    parts = [f"{name} as ({CTES[name]})" for name in ordered]
-    parts += [f"{name} as ({text})" for name, text in (extra or {}).items()]
+    how = lambda name: " as materialized " if name in stored else " as "
+    parts = [f"{name}{how(name)}({CTES[name]})" for name in ordered]
+    parts += [f"{name}{how(name)}({text})" for name, text in (extra or {}).items()]
     keyword = "with recursive " if recursive else "with "
     return keyword + ",\n".join(parts) + "\n" + body
