@@ -159,6 +159,12 @@ def invert_density(densities: DataFrame, mask: DataFrame, column: str = "density
             .drop("_in", "low", "high"))
 
 
+def invert_dark(image: DataFrame, mask: DataFrame, column: str = "value") -> DataFrame:
+    """``1 - value`` inside the mask, 0 elsewhere."""
+    marked = image.join(mask.select(*KEY).distinct().withColumn("_in", F.lit(True)), KEY, "left")
+    return marked.withColumn(column, F.when(F.col("_in"), 1.0 - F.col(column)).otherwise(F.lit(0.0))).drop("_in")
+
+
 def invert_low_density(densities: DataFrame, bounds: tuple[float, float], column: str = "density", into: str = "inverted") -> DataFrame:
     """Fixed-range inversion of the densities inside the closed range, 0 elsewhere."""
     low, high = map(float, bounds)

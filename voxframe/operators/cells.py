@@ -105,18 +105,19 @@ def unique_density(densities: DataFrame, column: str = "density", top: int = 20)
 def block_of_voxel(voxels: DataFrame, factors, blocks) -> DataFrame:
     """Block of each voxel along i and j, and k where a third factor is given: block ``b`` covers ``[int(b·f), int((b+1)·f))``.
 
-    The bounds are turned into an index → block lookup per axis (one row per index of
-    the axis), so the range condition becomes an equi-join. Factors below one make
-    empty blocks, and the trailing partial block has no block: its voxels are dropped.
+    The block of an index is found by arithmetic: it is the last one that begins before index + 1. Its neighbours are
+    looked at too, since the bounds are rounded products. Factors below one make empty blocks, and the trailing partial
+    block has no block: its voxels are dropped.
     """
-    spark = voxels.sparkSession
+    def block(axis: str, factor: float) -> Column:
+        f = F.lit(float(factor))
+        near = F.ceil((F.col(axis) + 1) / f).cast("long") - 1
+        around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: near + d)
+        return F.get(F.filter(around, lambda b: (F.floor(b * f) <= F.col(axis)) & (F.col(axis) < F.floor((b + 1) * f))), F.lit(0))
+
     out = voxels
     for axis, factor, count in zip(("i", "j", "k"), factors, blocks):
-        b = F.col("id")
-        start, stop = F.floor(b * F.lit(float(factor))), F.floor((b + 1) * F.lit(float(factor)))
-        lookup = (spark.range(int(count)).where(stop > start)
-                  .select(b.alias(f"block_{axis}"), F.explode(F.sequence(start, stop - 1)).alias(axis)))
-        out = out.join(lookup, axis)
+        out = out.withColumn(f"block_{axis}", block(axis, factor)).where(F.col(f"block_{axis}").between(0, int(count) - 1))
     return out
 
 

@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 Columns = dict[str, np.ndarray]
 
 
-def along_lines(df: DataFrame, axis: str, work: Callable[[Columns, np.ndarray], Columns], schema: str) -> DataFrame:
+def along_lines(df: DataFrame, axis: str, work: Callable[[Columns, np.ndarray], Columns], schema: str, also: Sequence[str] = ()) -> DataFrame:
     """``work(columns, line)`` for batches of whole lines along ``axis``.
 
     ``columns`` are those of ``df`` (with ``volume_id, i, j, k``, all numeric; a null double is NaN), ordered by line and
-    position; ``line`` numbers the line of each row. It returns the columns of ``schema``; NaN becomes null.
+    position; ``line`` numbers the line of each row. It returns the columns of ``schema``; NaN becomes null. ``also`` names
+    further key columns, for several images of a volume.
     """
-    keys = ["volume_id", *[c for c in "ijk" if c != axis]]
+    keys = ["volume_id", *also, *[c for c in "ijk" if c != axis]]
     names, results = df.columns, [part.split()[0] for part in schema.split(",")]
 
     def finish(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -171,6 +172,22 @@ def convolution(axis: str, weights: Sequence[float]) -> Callable[[Columns, np.nd
     return work
 
 
+def varied_convolution(axis: str, kernel: Callable[[float], Sequence[float]], also: Sequence[str]) -> Callable[[Columns, np.ndarray], Columns]:
+    """The same with the kernel of each line's ``sigma``."""
+
+    def work(c: Columns, line: np.ndarray) -> Columns:
+        parts = []
+        for sigma in np.unique(c["sigma"]):
+            rows = np.flatnonzero(c["sigma"] == sigma)
+            here, weights = {k: v[rows] for k, v in c.items()}, kernel(float(sigma))
+            strip = Stretches(here[axis], line[rows], here["n"], len(weights) // 2)
+            kept = strip.row[strip.kept]
+            parts.append({**strip.columns(here, axis), **{k: here[k][kept] for k in (*also, "sigma")}, "value": strip.convolve(here["value"], weights)})
+        return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+
+    return work
+
+
 # --- Laplacian of Gaussian over many scales ------------------------------------------------------
 
 def scale_names(name: str, count: int) -> list[str]:

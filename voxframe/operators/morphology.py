@@ -15,7 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..grid import Grid, attach_grid
+from ..session import cut_lineage
 from .components import expand_runs, line_runs
+from .filters import require_nonempty
 from .lines import along_lines, convolution
 
 KEY = ["volume_id", "i", "j", "k"]
@@ -122,9 +124,16 @@ def erode_box(mask: DataFrame, size: Sequence[int]) -> DataFrame:
 
 
 def erode_iter(mask: DataFrame, iterations: int, dims: int = 3) -> DataFrame:
-    """``iterations`` erosions by 3-wide ones equal one erosion by a box of radius ``iterations``."""
+    """``iterations`` erosions by 3-wide ones equal one erosion by a box of radius ``iterations``.
+
+    It is an error if nothing is left of any volume; ``emptied_volumes`` names those of a batch of which nothing is left.
+    """
     side = 2 * iterations + 1
-    return erode_box(mask, (side, side, side if dims == 3 else 1))
+    return require_nonempty(cut_lineage(erode_box(mask, (side, side, side if dims == 3 else 1))), "the eroded mask")
+
+
+def emptied_volumes(mask: DataFrame, core: DataFrame) -> DataFrame:
+    return mask.select("volume_id").distinct().join(core.select("volume_id").distinct(), "volume_id", "left_anti")
 
 
 def dilate_ball(mask: DataFrame, grid: Grid | DataFrame, radius: int, dims: int = 3) -> DataFrame:

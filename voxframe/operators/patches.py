@@ -65,15 +65,21 @@ def cut_patches(voxels: DataFrame, patches: DataFrame) -> DataFrame:
     return with_boxes(voxels, patches).select(*voxels.columns, F.explode("boxes").alias("_box")).select(*voxels.columns, "_box.*")
 
 
-def normalize_percentile(patch_voxels: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clip each patch to its percentile range and scale to [0, 1]; flat patches become 0."""
+def normalize_percentile(patch_voxels: DataFrame, low: float = 0.01, high: float = 0.99, mask: DataFrame | None = None) -> DataFrame:
+    """Clip each patch to its percentile range and scale to [0, 1]; flat patches become 0.
+
+    With a mask (voxels of the whole volume) only voxels inside it count for the range, and all others become 0.
+    """
     keys = ["volume_id", "patch_index"]
-    finite = patch_voxels.where(is_finite(F.col("value")))
-    limits = quantiles(finite, keys, "value", {"lo": low, "hi": high})
+    usable = is_finite(F.col("value"))
+    if mask is not None:
+        patch_voxels = patch_voxels.join(mask.select(*KEY).distinct().withColumn("_inside", F.lit(True)), KEY, "left")
+        usable = usable & F.coalesce("_inside", F.lit(False))
+    limits = quantiles(patch_voxels.where(usable), keys, "value", {"lo": low, "hi": high})
     span = F.col("hi") - F.col("lo")
     scaled = F.when(span > 0, clip((F.col("value") - F.col("lo")) / span, 0.0, 1.0)).otherwise(F.lit(0.0))
-    value = F.when(is_finite(F.col("value")), F.coalesce(scaled, F.lit(0.0))).otherwise(F.lit(0.0))
-    return patch_voxels.join(limits, keys, "left").withColumn("value", value).drop("lo", "hi")
+    value = F.when(usable, F.coalesce(scaled, F.lit(0.0))).otherwise(F.lit(0.0))
+    return patch_voxels.join(limits, keys, "left").withColumn("value", value).drop("lo", "hi", "_inside")
 
 
 def patch_status(patches: DataFrame, mask_voxels: DataFrame, normalised: DataFrame, done: DataFrame | None = None) -> DataFrame:

@@ -93,7 +93,8 @@ def similarity(pairs: DataFrame, keys: Sequence[str], bins: int = 64, minimum: i
 
 
 def align(fixed: DataFrame, moving: DataFrame) -> DataFrame:
-    """Join two maps voxel by voxel as ``a`` and ``b``; maps without a common voxel are an error."""
+    """Join two maps voxel by voxel as ``a`` and ``b``; a map without ``k`` lies in plane 0, maps without a common voxel are an error."""
+    fixed, moving = (m if "k" in m.columns else m.withColumn("k", F.lit(0).cast("long")) for m in (fixed, moving))
     both = fixed.select(*KEY, F.col("value").alias("a")).join(moving.select(*KEY, F.col("value").alias("b")), KEY)
     return require_nonempty(both, "the join of the maps")
 

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..grid import Grid, IDENTITY, matrix_columns
+from ..grid import Grid, IDENTITY, attach_grid, matrix_columns
+from ..session import cut_lineage
 from .geometry import determinant, matrix_product
 from .resample import resample_jobs, sample
 
@@ -209,22 +210,39 @@ def augmentation_parameters(volumes: DataFrame, seed: int = 42, copies: int = 4,
             f"shift_{a}": (uniform(f"shift_{a}") * 2 - 1) * max_shift * F.col(f"extent_{a}"),
             f"flip_{a}": uniform(f"flip_{a}") < flip_probability})
     return rows.withColumns({"scale": 0.95 + 0.1 * uniform("scale"), "bias": -0.02 + 0.04 * uniform("bias"),
-                             "noise": 0.01 * uniform("noise")})
+                             "noise": 0.01 * uniform("noise"), "blur": 0.3 * uniform("blur")})
+
+
+def blur_copies(voxels: DataFrame, sigmas: DataFrame, grid: Grid | DataFrame, axes: str = "ijk") -> DataFrame:
+    """Gaussian smoothing of every (volume, copy) by its own ``sigma`` (volume_id, copy, sigma; in voxels), mirrored borders."""
+    from .lines import along_lines, varied_convolution
+    from .morphology import gaussian_kernel
+
+    weights = lambda sigma: [w for _, w in gaussian_kernel(sigma)] if sigma > 0 else [1.0]
+    out = voxels.join(sigmas.select("volume_id", "copy", F.col("sigma").cast("double").alias("sigma")), ["volume_id", "copy"]).select(*KEY, "copy", "value", "sigma")
+    for axis in axes:
+        sized = attach_grid(out, grid, "g_").select(*out.columns, F.col(f"g_n{'xyz'['ijk'.index(axis)]}").alias("n"))
+        out = along_lines(sized, axis, varied_convolution(axis, weights, ("copy",)), "volume_id long, i long, j long, k long, copy long, sigma double, value double", ("copy",))
+    return out.select(*KEY, "copy", "value")
 
 
 def augment_volumes(voxels: DataFrame, parameters: DataFrame, grid: Grid | DataFrame, intensity: bool = False,
                     seed: int = 42) -> DataFrame:
-    """Rotated, shifted and flipped copies of every volume, resampled through the inverse transform."""
+    """Rotated, shifted and flipped copies of every volume, resampled through the inverse transform.
+
+    With ``intensity`` each copy is then blurred, scaled and shifted, and gets noise relative to its range (0 included).
+    """
     from .geometry import inverse_affine
 
     posed = euler_matrices(parameters).withColumn("matrix", inverse_affine(F.col("matrix")))
     out = apply_chain(voxels, posed.select("volume_id", "copy", "matrix"), grid, grid, keys=("volume_id", "copy"))
     if not intensity:
         return out
-    ranges = voxels.groupBy("volume_id").agg((F.max("value") - F.min("value")).alias("_range"))
+    out = cut_lineage(blur_copies(out, parameters.select("volume_id", "copy", F.col("blur").alias("sigma")), grid))
+    ranges = out.groupBy("volume_id", "copy").agg((F.greatest(F.max("value"), F.lit(0.0)) - F.least(F.min("value"), F.lit(0.0))).alias("_range"))
     draws = [(F.pmod(F.xxhash64(F.lit(seed), "volume_id", "copy", "i", "j", "k", F.lit(n)), F.lit(1 << 52)).cast("double") + 1)
              / F.lit(float((1 << 52) + 1)) for n in ("radius", "angle")]
     normal = F.sqrt(-2 * F.ln(draws[0])) * F.cos(2 * F.pi() * draws[1])
-    joined = out.join(parameters.select("volume_id", "copy", "scale", "bias", "noise"), ["volume_id", "copy"]).join(ranges, "volume_id")
+    joined = out.join(parameters.select("volume_id", "copy", "scale", "bias", "noise"), ["volume_id", "copy"]).join(ranges, ["volume_id", "copy"])
     value = F.col("value") * F.col("scale") + F.col("bias") + normal * F.col("noise") * F.greatest("_range", F.lit(1e-8))
     return joined.withColumn("value", value).drop("scale", "bias", "noise", "_range")

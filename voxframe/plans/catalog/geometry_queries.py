@@ -428,6 +428,14 @@ def _(t: Tables):
     return rounded(aggregate.normalize_minmax(t.image()))
 
 
+@query("invert_dark", compose("image", """
+    select volume_id, i, j, k, round(case when value > 1200 then 1 - (value - low) / (high - low + 1e-8) else 0 end, 6) as value
+    from (select *, min(value) over (partition by volume_id) as low, max(value) over (partition by volume_id) as high from image)"""))
+def _(t: Tables):
+    """Normalised images inverted inside a mask."""
+    return rounded(aggregate.invert_dark(aggregate.normalize_minmax(t.image()), t.image().where("value > 1200")))
+
+
 @query("threshold", compose("vox", "select volume_id, i, j, k from vox where value_a > 40000"))
 def _(t: Tables):
     return filters.threshold(t.vox_a(), 40000.0)

@@ -101,6 +101,19 @@ def _(t: Tables):
     return rounded(patches.normalize_percentile(cut).select("volume_id", "patch_index", "i", "j", "k", "value"))
 
 
+@query("normalize_percentile_masked", compose("plane patches", """
+    select c.volume_id, c.patch_index, i, j, k, round(case when value > 30 and hi > lo then least(greatest((value + (i * 7 + j) / cast(3 as double) - lo) / (hi - lo), 0), 1) else 0 end, 6) as value
+    from c left join (select volume_id, patch_index, quantile_cont(value + (i * 7 + j) / cast(3 as double), 0.01) as lo, quantile_cont(value + (i * 7 + j) / cast(3 as double), 0.99) as hi
+          from c where value > 30 group by 1, 2) q on q.volume_id = c.volume_id and q.patch_index = c.patch_index""", {"c": """
+        select p.volume_id, patch_index, i, j, k, value from plane p join patches q
+        on p.volume_id = q.volume_id and i >= x0 and i < x1 and j >= y0 and j < y1"""}))
+def _(t: Tables):
+    """The same scaling under a mask of the bright pixels."""
+    tilted = t.plane().withColumn("value", F.col("value") + (F.col("i") * 7 + F.col("j")) / 3.0)
+    cut = patches.normalize_percentile(patches.cut_patches(tilted, t.patches()), mask=t.plane().where("value > 30"))
+    return rounded(cut.select("volume_id", "patch_index", "i", "j", "k", "value"))
+
+
 @query("patch_status", compose("plane patches", """
     select volume_id, patch_index, case when (volume_id + patch_index) % 5 = 0 then 'existing' when m is null then 'outside'
            when s is null then 'zero_input' else 'predicted' end as status

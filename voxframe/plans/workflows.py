@@ -114,8 +114,7 @@ def fibre_segmentation(image: DataFrame, grid: Grid, diameter_um: float, spacing
     scaled = aggregate.normalize_minmax(image)
     disk = cut_lineage(regions.disk_mask(scaled, grid, disk_size))
     dots = cut_lineage(regions.dot_mask(scaled, disk, grid))
-    dark = scaled.join(disk, KEY, "left_semi").withColumn("value", 1.0 - F.col("value"))
-    blobs = regions.log_blobs(gaussian(dark, grid, 1.0), grid, regions.blob_sigmas(diameter_um, spacing_um, scales))
+    blobs = regions.log_blobs(gaussian(aggregate.invert_dark(scaled, disk), grid, 1.0), grid, regions.blob_sigmas(diameter_um, spacing_um, scales))
     markers = cut_lineage(regions.blob_markers(blobs, disk, dots).select(*KEY, "label"))
     flooded = regions.seeded_watershed(regions.limited_relief(dots, markers, grid, growth_px), markers)
     kept = dense_relabel(filters.area_between(flooded, *area)).select(*KEY, "label")
