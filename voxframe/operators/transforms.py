@@ -121,20 +121,27 @@ def cubic_weight(t: Column, n: int) -> Column:
     return t * t * t / 6.0
 
 
-def control_cells(coefficients: DataFrame) -> DataFrame:
-    """(volume_id, ci, cj, ck, control): the 4×4×4 control points around each cell of the control grid.
+CONTROL = ["volume_id", "ci", "cj", "ck"]
 
-    ``control`` holds structs (dx, dy, dz) in the order of (i, j, k) offsets, zeros where the grid has no point. A control
-    point goes to the 64 cells that it acts on, so the cost follows the control grid and not the points.
+
+def control_cells(coefficients: DataFrame, cells: DataFrame) -> DataFrame:
+    """(volume_id, ci, cj, ck, control): the 4×4×4 control points around each of the cells of the control grid.
+
+    ``control`` is flat: (i, j, k) offsets and then dx, dy, dz, zeros where the grid has no point. Neighbours are gathered
+    axis by axis, four rows per point each time, and the last time only for the cells asked for (no repeats).
     """
-    zero = F.struct(*[F.lit(0.0).alias(f"d{a}") for a in "xyz"])
-    spread = coefficients.select("volume_id", "ci", "cj", "ck", F.struct(*[F.col(f"d{a}").cast("double").alias(f"d{a}") for a in "xyz"]).alias("d"))
-    for n, index in enumerate(("ci", "cj", "ck")):
-        spread = spread.withColumn(f"_{n}", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn(index, F.col(index) + 1 - F.col(f"_{n}"))
-    found = spread.groupBy("volume_id", "ci", "cj", "ck").agg(
-        F.map_from_entries(F.collect_list(F.struct((F.col("_0") * 16 + F.col("_1") * 4 + F.col("_2")).alias("at"), "d"))).alias("found"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda at: F.coalesce(F.try_element_at("found", at), zero))
-    return found.select("volume_id", "ci", "cj", "ck", filled.alias("control"))
+    gathered = coefficients.select(*CONTROL, F.array(*[F.col(f"d{a}").cast("double") for a in "xyz"]).alias("control"))
+    size = 3
+    for index in ("ck", "cj", "ci"):
+        zeros = F.array_repeat(F.lit(0.0), size)
+        spread = gathered.select(*CONTROL, "control", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("n")).withColumn(index, F.col(index) + 1 - F.col("n"))
+        if index == "ci":
+            spread = spread.join(cells, CONTROL, "left_semi")
+        slots = F.map_from_entries(F.collect_list(F.struct("n", "control")))
+        gathered = spread.groupBy(*CONTROL).agg(slots.alias("slots")).select(
+            *CONTROL, F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda n: F.coalesce(F.try_element_at("slots", n), zeros))).alias("control"))
+        size *= 4
+    return gathered
 
 
 def apply_bspline(points: DataFrame, coefficients: DataFrame, spacing: Sequence[float], origin: Sequence[float]) -> DataFrame:
@@ -149,17 +156,18 @@ def apply_bspline(points: DataFrame, coefficients: DataFrame, spacing: Sequence[
         u = (F.col(axis) - F.lit(float(o))) / F.lit(float(s))
         df = df.withColumns({index: F.floor(u).cast("long"), f"_t{axis}": u - F.floor(u)})
         weights[axis] = F.array(*[cubic_weight(F.col(f"_t{axis}"), n) for n in range(4)])
-    joined = df.withColumns({f"_w{axis}": w for axis, w in weights.items()}).join(control_cells(coefficients), ["volume_id", "ci", "cj", "ck"], "left")
+    cells = df.select(*CONTROL).distinct()
+    joined = df.withColumns({f"_w{axis}": w for axis, w in weights.items()}).join(control_cells(coefficients, cells), CONTROL, "left")
 
     def contract(values: Column, weight: Column, size: int) -> Column:
-        """Sums over the last of the remaining axes."""
-        part = lambda at, d: sum((F.get(weight, F.lit(n)) * F.get(values, at * 4 + n)[d] for n in range(1, 4)), F.get(weight, F.lit(0)) * F.get(values, at * 4)[d])
-        return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda at: F.struct(*[part(at, f"d{a}").alias(f"d{a}") for a in "xyz"]))
+        """Sums over the last of the remaining axes, each of ``size`` times three."""
+        term = lambda at, n: F.get(weight, F.lit(n)) * F.get(values, (at - at % 3) * 4 + 3 * n + at % 3)
+        return F.transform(F.sequence(F.lit(0), F.lit(3 * size - 1)), lambda at: term(at, 0) + term(at, 1) + term(at, 2) + term(at, 3))
 
     step = lambda values, axis, size: F.get(F.transform(F.array(values), lambda v: contract(v, F.col(f"_w{axis}"), size)), F.lit(0))
-    shift = F.get(step(step(step(F.col("control"), "z", 16), "y", 4), "x", 1), F.lit(0))
-    moved = joined.withColumn("_d", shift)
-    return moved.select(*[(F.col(c) + F.coalesce(F.col(f"_d.d{c}"), F.lit(0.0))).alias(c) if c in ("x", "y", "z") else F.col(c) for c in points.columns])
+    moved = joined.withColumn("_d", step(step(step(F.col("control"), "z", 16), "y", 4), "x", 1))
+    shift = {a: F.coalesce(F.get("_d", F.lit(n)), F.lit(0.0)) for n, a in enumerate("xyz")}
+    return moved.select(*[(F.col(c) + shift[c]).alias(c) if c in shift else F.col(c) for c in points.columns])
 
 
 def jacobian_map(field: DataFrame, spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
