@@ -11,9 +11,9 @@ from ...sources import points as ps, runs, summary, volumes
 from ...streaming.patch_stream import stored_counts, stream_patch_results
 from ..adapters import PTS_GRID, VOX_GRID, Tables
 from ..oracle_sql import compose
-from ..workflows import regrid_counts, slab_correlation
+from ..workflows import evaluate_registration, regrid_counts, slab_correlation
 from .registry import query, rounded
-from .resample_queries import MATRIX, TRILINEAR, coordinates_sql
+from .resample_queries import MATRIX, NEAREST, TRILINEAR, coordinates_sql
 from .statistics_queries import FIT, MI, RANKED
 
 WORLD = Grid.regular((150, 100, 24), (2.0, 3.0, 0.5), (10.0, -5.0, 1.0))
@@ -364,6 +364,40 @@ def _(t: Tables):
     return rounded(out.select("volume_id", "image", "scope", "n", "ncc", "mi"), 5)
 
 
+NATIVE = (5.0, 9.0, 24.0 / 9.0)
+FIGURES = [f"{m}_{scope}_{image}" for image in "ab" for scope in ("global", "mask") for m in ("mi", "ncc")]
+ON_NATIVE = {
+    "bright": "select volume_id, i, j, k, 1 as value from vox_a where value > 40000",
+    "coords": coordinates_sql(Grid.regular((30, 11, 9), NATIVE), VOX_GRID, "half_voxel"),
+    "fixed_native": TRILINEAR.format(source="vox_a"), "mask_native": NEAREST.format(source="bright"),
+    "shifted": coordinates_sql(Grid.regular((30, 11, 9), NATIVE, SHIFT), VOX_GRID, "half_voxel"),
+    "moved": "select *, 'a' as image from (" + TRILINEAR.format(source="vox_a").replace("coords", "shifted") + ") union all select *, 'b' from (" + TRILINEAR.format(source="vox_b").replace("coords", "shifted") + ")",
+    "native_cells": "select volume_id, cast(x.range as bigint) as i, cast(y.range as bigint) as j, cast(z.range as bigint) as k from (select distinct volume_id from vox), range(30) x, range(11) y, range(9) z",
+    "p": """select g.volume_id, n.image, s.scope, coalesce(v.value, 0) as a, coalesce(m.value, 0) as b
+            from native_cells g cross join (values ('a'), ('b')) n(image) cross join (values ('global'), ('mask')) s(scope)
+            left join fixed_native v on v.volume_id = g.volume_id and v.i = g.i and v.j = g.j and v.k = g.k
+            left join moved m on m.volume_id = g.volume_id and m.i = g.i and m.j = g.j and m.k = g.k and m.image = n.image
+            left join mask_native q on q.volume_id = g.volume_id and q.i = g.i and q.j = g.j and q.k = g.k
+            where s.scope = 'global' or q.value is not null""",
+    **{n: sql.format(keys="volume_id, image, scope") for n, sql in MI.items()},
+}
+
+
+@query("evaluate_registration", compose("vox vox_a vox_b", """
+    select 'volume ' || volume_id as input_image, 'shift' as registration, cast(case when volume_id = 0 then 0 else 2 + volume_id end as bigint) as row_order, """ + ", ".join(
+        f"round(max({f.split('_')[0]}) filter (scope = '{f.split('_')[1]}' and image = '{f.split('_')[2]}'), 5) as {f}" for f in FIGURES) + """
+    from ncc left join mi using (volume_id, image, scope) group by volume_id
+    union all select 'volume 0', 'other', 1, """ + ", ".join("cast(0 as double)" for _ in FIGURES), ON_NATIVE))
+def _(t: Tables):
+    """The summary of an evaluation on the native grid: one run replaced, one left, the others appended."""
+    volume = t.vox_a().select("volume_id").distinct()
+    named = lambda df, registration, place: df.select(F.concat(F.lit("volume "), F.col("volume_id").cast("string")).alias("input_image"), F.lit(registration).alias("registration"), place.cast("long").alias("row_order"), *df.columns)
+    first = volume.where("volume_id = 0")
+    existing = named(first, "shift", F.lit(0)).unionByName(named(first, "other", F.lit(1))).drop("volume_id").select("*", *[F.lit(0.0).alias(f) for f in FIGURES])
+    out = evaluate_registration(existing, named(volume, "shift", F.col("volume_id")), t.vox_a(), t.vox_a().where("value > 40000"), _images(t), _shift(t), VOX_GRID, VOX_GRID, NATIVE, ["a", "b"])
+    return rounded(out, 5)
+
+
 @query("sample_rows", compose("cloud", "select volume_id, point_id, x, y, z from cloud order by md5('1234|' || cast(point_id as varchar)), point_id limit 300"))
 def _(t: Tables):
     """300 points of the cloud in hash order."""
