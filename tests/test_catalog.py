@@ -9,7 +9,6 @@ FOLDER = "/root/testdata/sf0.001"
 
 # Queries that SQL does not express, and what checks them instead.
 WITHOUT_SQL = {
-    "correlation_summary": "p-values and limits of the t distribution; test_functions and test_statistics_guards",
     "augment_volumes": "random by design; its ranges are checked here by running it",
     "seeded_watershed": "arrival order over paths; test_watershed floods in sequence",
     "region_grow": "the mean moves while a region grows; test_region_grow grows in rings",

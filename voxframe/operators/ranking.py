@@ -21,19 +21,23 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: str, weight: str, int
 
     ``order`` must be unique inside a group.
     """
+    return many_prefix_sums(df, keys, order, {into: weight})
+
+
+def many_prefix_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str, str]) -> DataFrame:
+    """Several prefix sums in one pass: ``sums`` maps added columns to their weights."""
     keys = list(keys)
     chunked = cut_lineage(
         df.repartitionByRange(*[F.col(c) for c in [*keys, order]]).withColumn("_chunk", F.spark_partition_id()))
     earlier_chunks = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (chunked.groupBy(*keys, "_chunk").agg(F.sum(weight).alias("_total"))
-               .withColumn("_offset", F.coalesce(F.sum("_total").over(earlier_chunks), F.lit(0)))
-               .drop("_total"))
+    totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(weight).alias(f"_total_{into}") for into, weight in sums.items()])
+    offsets = totals.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_total_{into}").over(earlier_chunks), F.lit(0)).alias(f"_offset_{into}") for into in sums])
     earlier_rows = (Window.partitionBy(*keys, "_chunk").orderBy(order)
                     .rowsBetween(Window.unboundedPreceding, -1))
-    inside = chunked.withColumn("_inside", F.coalesce(F.sum(weight).over(earlier_rows), F.lit(0)))
+    inside = chunked.withColumns({f"_inside_{into}": F.coalesce(F.sum(weight).over(earlier_rows), F.lit(0)) for into, weight in sums.items()})
     return (inside.join(offsets, [*keys, "_chunk"])
-            .withColumn(into, F.col("_inside") + F.col("_offset"))
-            .drop("_inside", "_offset", "_chunk"))
+            .withColumns({into: F.col(f"_inside_{into}") + F.col(f"_offset_{into}") for into in sums})
+            .drop("_chunk", *[f"_{part}_{into}" for into in sums for part in ("inside", "offset")]))
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
@@ -47,24 +51,34 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dic
     ``probabilities`` maps output column names to probabilities; ``weight`` (a whole number) counts a row several times.
     """
     keys = list(keys)
-    ranked = prefix_sums(value_counts(df, keys, value, weight), keys, value, "n")
-    totals = ranked.groupBy(*keys).agg(F.sum("n").alias("_count"))
+    return picked_quantiles(prefix_sums(value_counts(df, keys, value, weight), keys, value, "n"), keys, value, probabilities)
+
+
+def picked_quantiles(ranked: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], before: str = "before", n: str = "n") -> DataFrame:
+    """Quantiles from values with their counts ``n`` and prefix sums ``before``."""
+    keys = list(keys)
+    totals = ranked.groupBy(*keys).agg(F.sum(n).alias("_count"))
     placed = ranked.join(totals, keys) if keys else ranked.crossJoin(totals)
+    picked = placed.groupBy(*keys).agg(F.max("_count").alias("_count"), *quantile_ends(value, F.col("_count"), probabilities, before, n))
+    return picked.select(*keys, *[quantile_of(name, F.col("_count"), probability).alias(name) for name, probability in probabilities.items()])
 
+
+def quantile_ends(value: str, count: Column, probabilities: dict[str, float], before: str = "before", n: str = "n") -> list[Column]:
+    """Aggregates that pick the values on both sides of each quantile."""
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col(value)))
+        return F.max(F.when((F.col(before) <= rank) & (rank < F.col(before) + F.col(n)), F.col(value)))
 
     pieces = []
     for name, probability in probabilities.items():
-        position = F.lit(float(probability)) * (F.col("_count") - 1)
+        position = F.lit(float(probability)) * (count - 1)
         pieces += [value_at(F.floor(position)).alias(f"_lo_{name}"), value_at(F.ceil(position)).alias(f"_hi_{name}")]
-    picked = placed.groupBy(*keys).agg(F.max("_count").alias("_count"), *pieces)
-    columns = []
-    for name, probability in probabilities.items():
-        position = F.lit(float(probability)) * (F.col("_count") - 1)
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        columns.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return picked.select(*keys, *columns)
+    return pieces
+
+
+def quantile_of(name: str, count: Column, probability: float) -> Column:
+    position = F.lit(float(probability)) * (count - 1)
+    low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+    return low + (high - low) * (position - F.floor(position))
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:

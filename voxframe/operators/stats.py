@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.student import p_value, t_critical
 from ..session import cut_lineage
-from .ranking import average_ranks, quantiles
+from .ranking import average_ranks, many_prefix_sums, picked_quantiles, prefix_sums, quantile_ends, quantile_of, quantiles
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -35,6 +35,11 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     ranks = average_ranks(long, [*keys, "side"], "v", weight="_w")
     side = lambda name: ranks.where(F.col("side") == name).select(*keys, F.col("v").alias(f"_{name}"), F.col("rank").alias(f"_r{name}"))
     ranked = weighted.join(side("x"), [*keys, "_x"]).join(side("y"), [*keys, "_y"])
+    return _weighted_correlation(ranked, keys)
+
+
+def _weighted_correlation(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Correlation of the ranks ``_rx`` and ``_ry`` of pairs with weight ``_w``."""
     w, a, b = F.col("_w"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"), F.sum(w * a).alias("sa"), F.sum(w * b).alias("sb"),
@@ -46,19 +51,24 @@ def spearman(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     return sums.select(*keys, n.alias("n"), F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb)).alias("spearman_r"))
 
 
-def linear_fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Slope, intercept and slope standard error from one pass of moments; NULL where undefined."""
-    moments = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_avgx(y, x).alias("mean_x"), F.regr_avgy(y, x).alias("mean_y"),
-        F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"))
+def _fit_moments(x: str, y: str) -> list[Column]:
+    return [F.count("*").alias("n"), F.regr_avgx(y, x).alias("mean_x"), F.regr_avgy(y, x).alias("mean_y"),
+            F.regr_sxx(y, x).alias("sxx"), F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy")]
+
+
+def _fit_columns() -> list[Column]:
+    """Slope, intercept and standard error from the moments."""
     usable = (F.col("n") >= 3) & (F.col("sxx") > 0) & (F.col("syy") > 0)
     sxx = F.when(usable, F.col("sxx"))  # NULL carries through where the fit is undefined
     slope = F.col("sxy") / sxx
     error = F.greatest(F.col("syy") - F.col("sxy") * F.col("sxy") / sxx, F.lit(0.0))
     freedom = F.when(usable, F.col("n") - 2)
-    return moments.select(
-        *keys, "n", slope.alias("slope"), (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"),
-        F.when(usable, F.sqrt(error / freedom) / F.sqrt(sxx)).alias("slope_se"))
+    return [slope.alias("slope"), (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"), F.when(usable, F.sqrt(error / freedom) / F.sqrt(sxx)).alias("slope_se")]
+
+
+def linear_fit(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Slope, intercept and slope standard error from one pass of moments; NULL where undefined."""
+    return pairs.groupBy(*keys).agg(*_fit_moments(x, y)).select(*keys, "n", *_fit_columns())
 
 
 def slope_interval(fit: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -106,18 +116,43 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return box.join(whiskers, keys)
 
 
+TERCILES = ("low", "medium", "high")
+
+
+def order_summary(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Spearman coefficient, and median and count of y in each tercile of x, per group.
+
+    Pairs become distinct (x, y) with a weight. One table of the values of x with prefix sums gives ranks and tercile
+    limits; one of the values of y, with a prefix sum for all pairs and one for each tercile, gives ranks and medians.
+    """
+    keys = list(keys)
+    weighted = pairs.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w"))
+    of_x = prefix_sums(weighted.groupBy(*keys, "_x").agg(F.sum("_w").alias("n")), keys, "_x", "n")
+    limits = picked_quantiles(of_x, keys, "_x", {"q1": 1 / 3, "q2": 2 / 3})
+    label = F.when(F.col("_x") <= F.col("q1"), "low").when(F.col("_x") <= F.col("q2"), "medium").otherwise("high")
+    placed = (weighted.join(of_x.select(*keys, "_x", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rx")), [*keys, "_x"])
+              .join(limits, keys).select(*keys, "_y", "_w", "_rx", label.alias("_t")))
+    counts = {t: F.sum(F.when(F.col("_t") == t, F.col("_w")).otherwise(0)).alias(f"n_{t}") for t in TERCILES}
+    of_y = many_prefix_sums(placed.groupBy(*keys, "_y").agg(F.sum("_w").alias("n"), *counts.values()), keys, "_y",
+                            {"before": "n", **{f"before_{t}": f"n_{t}" for t in TERCILES}})
+    sizes = of_y.groupBy(*keys).agg(*[F.sum(f"n_{t}").alias(f"{t}_n") for t in TERCILES])
+    ends = [e for t in TERCILES for e in quantile_ends("_y", F.col(f"{t}_n"), {f"{t}_median": 0.5}, f"before_{t}", f"n_{t}")]
+    medians = of_y.join(sizes, keys).groupBy(*keys).agg(*[F.max(f"{t}_n").alias(f"{t}_n") for t in TERCILES], *ends)
+    medians = medians.select(*keys, *[c for t in TERCILES for c in (quantile_of(f"{t}_median", F.col(f"{t}_n"), 0.5).alias(f"{t}_median"), F.col(f"{t}_n"))])
+    ranked = placed.join(of_y.select(*keys, "_y", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_ry")), [*keys, "_y"])
+    return _weighted_correlation(ranked, keys).drop("n").join(medians, keys)
+
+
 def correlation_summary(pairs: DataFrame, keys: Sequence[str], x: str, y: str, config: dict | None = None) -> DataFrame:
     """One row per group: n, Pearson and Spearman with p-values, slope interval, tercile groups.
 
     Groups with fewer than two rows are skipped; groups without spread have NULL statistics.
     """
     keys = list(keys)
-    pairs = cut_lineage(pairs.select(*keys, x, y))  # read by every statistic below
-    sizes = guarded(pairs, keys, x, y).where("n >= 2")
-    joined = (sizes.join(pearson(pairs, keys, x, y).drop("n"), keys)
-              .join(spearman(pairs, keys, x, y).drop("n"), keys)
-              .join(linear_fit(pairs, keys, x, y).drop("n"), keys)
-              .join(density_terciles(pairs, keys, x, y), keys))
+    pairs = cut_lineage(pairs.select(*keys, x, y))
+    defined = (F.count("*") >= 3) & (F.max(x) > F.min(x)) & (F.max(y) > F.min(y))
+    moments = pairs.groupBy(*keys).agg(*_fit_moments(x, y), safe_corr(x, y).alias("pearson_r"), defined.alias("defined")).where("n >= 2")
+    joined = moments.select(*keys, "n", "defined", "pearson_r", *_fit_columns()).join(order_summary(pairs, keys, x, y), keys)
     for column in ("pearson_r", "spearman_r", "slope", "intercept", "slope_se"):
         joined = joined.withColumn(column, F.when(F.col("defined"), F.col(column)))
     joined = slope_interval(joined)
