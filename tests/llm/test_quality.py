@@ -52,3 +52,11 @@ def test_too_few_labels_and_empty_tables(spark, make_docs, prose_text):
     assert quality.train(docs, labels) is None
     assert quality.train(docs.limit(0), labels.limit(0)) is None
     assert quality.judge(docs.limit(0), None).count() == 0
+
+
+def test_columns_of_the_same_name_in_capitals(make_docs):
+    from voxframe.llm import langid
+
+    docs = make_docs([(1, "one two")]).selectExpr("doc_id", "text", "kept as KEPT", "rank as N_Words", "lang as Lang_Pred", "hash")
+    assert quality.judge(docs, None).select("kept", "n_words", "hash").first() == (False, 2, "h")
+    assert langid.identify(docs, langid.Model([])).select("lang_pred", "KEPT").first() == ("und", "k")

@@ -37,8 +37,8 @@ def gram_hashes(words: list[str], order: int = ORDER) -> tuple[np.ndarray, list[
     """Of all characters of the marked words: owner (word), hash of the last 1 to ``order`` characters, number of characters before it."""
     lengths = np.array([len(w) + 2 for w in words], np.int64)
     flat = np.frombuffer("".join(f"\x01{w}\x02" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    owner = np.repeat(np.arange(len(words)), lengths)
-    before = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    before = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
     hashes, current = [], np.zeros(len(flat), np.uint64)
     for m in range(1, order + 1):
         shifted = np.zeros(len(flat), np.uint64)
@@ -93,10 +93,10 @@ def build(words: list[tuple[str, str, int]], languages: list[str]) -> Model:
     """``words``: (language, word, count)."""
     model, width = Model(languages), len(languages)
     number = {name: i for i, name in enumerate(languages)}
-    texts = [w for _, w, _ in words]
-    owner, hashes, before = gram_hashes(texts)
-    language = np.array([number[name] for name, _, _ in words], np.int64)[owner]
-    weight = np.array([n for _, _, n in words], np.float64)[owner]
+    owner, hashes, before = gram_hashes([w for _, w, _ in words])
+    language = np.array([number[name] for name, _, _ in words], np.int32)[owner]
+    weight = np.array([n for _, _, n in words], np.int32)[owner]
+    del owner
     # per order: keys, counts per language, rows of context and shorter gram. Below the highest order a gram counts the
     # different characters before it, unless it begins a word, where nothing can stand before it.
     tables, firsts = [], []
@@ -109,7 +109,8 @@ def build(words: list[tuple[str, str, int]], languages: list[str]) -> Model:
             begins = before[rows] == m - 1
             counts = np.bincount(inverse[begins] * width + language[rows][begins], weights=weight[rows][begins], minlength=len(keys) * width)
             longer = rows[~begins]
-            kinds = np.unique(np.stack([hashes[m][longer], language[longer]]), axis=1, return_index=True)[1]
+            different = np.unique(hashes[m][longer], return_inverse=True)[1]
+            kinds = np.unique(different * width + language[longer], return_index=True)[1]  # one row per gram and language
             counts = counts + np.bincount(inverse[~begins][kinds] * width + language[longer][kinds], minlength=len(keys) * width)
         tables.append((keys, counts.reshape(len(keys), width)))
         firsts.append(rows[first])
@@ -223,7 +224,7 @@ def fold_of(doc_id: str):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` (those of the same names replaced) with lang_pred, score and rejected.
+    """All columns of ``docs`` (those of the same names, in either case, replaced) with lang_pred, score and rejected.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected, as is everything when nothing
     could be learned. Only the text decides, so repeated rows agree; an empty table gives no rows.
@@ -231,7 +232,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # as large as the bounded training sample makes it
     added = ["lang_pred", "score", "rejected"]
-    held = [c for c in docs.columns if c not in added]
+    held = [c for c in docs.columns if c.lower() not in added]
     names = [f"c{i}" for i in range(len(held))]
     body = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(held, names)])
     text = held.index("text")

@@ -161,6 +161,7 @@ def fit(rows: list[tuple[bool, np.ndarray, np.ndarray]]) -> Model | None:
     bias, bias_square = 0.0, 1e-8
     for epoch in range(EPOCHS):
         for low, index, value in train:
+            index, value = index.astype(np.int64), value.astype(float)  # one row at a time; the rows are kept as they came
             p = 1 / (1 + np.exp(-np.clip(weights[index] @ value + bias, -50, 50)))
             slope = p - low
             step = slope * value
@@ -168,7 +169,7 @@ def fit(rows: list[tuple[bool, np.ndarray, np.ndarray]]) -> Model | None:
             weights[index] -= 2.0 * step / np.sqrt(squares[index]) * (np.abs(slope) > 1e-4)
             bias_square += slope * slope
             bias -= 0.2 * slope / np.sqrt(bias_square)
-    margins = np.array([weights[index] @ value + bias for _, index, value in apart])
+    margins = np.array([weights[index] @ value.astype(float) + bias for _, index, value in apart])
     return Model(weights, bias, *fit_scale(margins, np.array([r[0] for r in apart])))
 
 
@@ -194,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, low boolean, index binary, value binary"
     got = rows.select("doc_id", "low", "text").mapInArrow(features, schema).toArrow().sort_by([("doc_id", "ascending"), ("index", "ascending")])
-    table = [(bool(low), np.frombuffer(i.as_buffer(), "<u4").astype(np.int64), np.frombuffer(v.as_buffer(), "<f4").astype(float))
+    table = [(bool(low), np.frombuffer(i.as_buffer(), "<u4"), np.frombuffer(v.as_buffer(), "<f4"))
              for low, i, v in zip(got["low"].to_pylist(), got["index"], got["value"])]
     order = np.random.default_rng(7).permutation(len(table))
     return fit([table[i] for i in order])
@@ -204,7 +205,7 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 
 def judge(docs: DataFrame, model: Model | None, reject_at: float = REJECT_AT) -> DataFrame:
-    """All columns of ``docs`` (those of the same names replaced) with the counts, base_failed, p_low and kept.
+    """All columns of ``docs`` (those of the same names, in either case, replaced) with the counts, base_failed, p_low and kept.
 
     A null text has no words, so it fails like an empty one. Without a model p_low is 0. Every row is judged
     by itself, so repeated rows agree; an empty table gives no rows.
@@ -212,7 +213,7 @@ def judge(docs: DataFrame, model: Model | None, reject_at: float = REJECT_AT) ->
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_low", "kept"]
-    held = [c for c in docs.columns if c not in added]
+    held = [c for c in docs.columns if c.lower() not in added]
     names = [f"c{i}" for i in range(len(held))]
     body = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(held, names)])
     text = held.index("text")
