@@ -117,3 +117,22 @@ def test_value_that_one_hot_source_repeats(spark):
 def test_empty_tables(make_docs, awkward):
     docs = make_docs(awkward).limit(0)
     assert pii.pii_digest(pii.find_pii(docs)).count() == 0 and secrets.secret_digest(secrets.find_secrets(docs)).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd", "KEEP", "x", "y", "z")], "doc_id long, text string, m_email string, g_ip string, PII string, _text string")
+    found = pii.find_pii(docs)
+    assert found.columns == ["doc_id", "text", "m_email", "g_ip", "_text", "base", "pii", "pii_scores"]
+    row = found.first()
+    assert (row.m_email, row.g_ip, row._text) == ("KEEP", "x", "z") and row.base[0].value == "a@b.cd"
+
+
+def test_many_matches_in_one_text(spark):
+    """A hundred thousand matches in each of two texts; offsets stay exact across the chunks of the running sum."""
+    n = 100_000
+    docs = spark.createDataFrame([(1, "1.2.3.4 " * n, "s"), (2, "é token=abcdefgh1" * n, "s")], "doc_id long, text string, source string")
+    ips = pii.find_pii(docs).where("doc_id = 1").selectExpr("size(base) as n", "base[54321] as b", "base[99999] as c").first()
+    assert (ips.n, ips.b.start, ips.b.end, ips.c.start) == (n, 54321 * 8, 54321 * 8 + 7, 99999 * 8)
+    assert ips.b.before == ("1.2.3.4 " * 6)[-48:] and ips.b.after == (" 1.2.3.4" * 6)[:48]
+    found = secrets.find_secrets(docs).where("doc_id = 2").selectExpr("size(base) as n", "base[77777].start as s").first()
+    assert tuple(found) == (n, 77777 * 17 + 2)

@@ -83,14 +83,14 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     join them when their score passes the threshold; context is the text around a span, whatever else was
     found in it. Null and empty texts have empty arrays; row order,
     repeated rows and other columns don't matter, an empty table gives no rows. The columns added replace
-    columns of the same names.
+    columns of the same names, in letters of either case.
     """
-    body = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    found = locate(body, "_text", PATTERNS)
+    body = docs.withColumn("__pii_text", F.coalesce(F.col(text), F.lit("")))
+    found = locate(body, "__pii_text", PATTERNS)
     spans = {kind: kept_spans(kind, RANK[kind], lambda m, kind=kind: confirmed(kind, m)) for kind in PATTERNS}
     for kind in set(PATTERNS) - set(BASE):
         spans[kind] = F.filter(spans[kind], lambda s: score(s["kind"], s) >= THRESHOLD)
-    held = [c for c in docs.columns if c not in ("base", "pii", "pii_scores")]
+    held = [f"`{c}`" for c in docs.columns if c.lower() not in ("base", "pii", "pii_scores")]
     return (found.select(*held, merged(*[spans[k] for k in BASE]).alias("base"), merged(*spans.values()).alias("pii"))
             .withColumn("pii_scores", F.transform("pii", lambda s: F.round(score(s["kind"], s), 3))))
 

@@ -2,7 +2,8 @@
 
 Spark returns matches as strings without positions. The pieces between the matches (``split``) and
 the matches (``regexp_extract_all``) alternate, so the running sum of their lengths gives code point
-offsets. Both run the same pattern left to right without overlaps.
+offsets. Both run the same pattern left to right without overlaps. Running sums are taken in chunks, and
+nothing is looked up or built again per match, so the work grows with the text and its matches.
 """
 
 from __future__ import annotations
@@ -13,43 +14,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string,before:string,after:string>>"
 CONTEXT = 48  # code points before and after a match that are kept for context rules, whatever matches lie in them
+CHUNK = 256   # values whose running sum is appended to one array
+MATCHES, PIECES = "__span_matches_", "__span_pieces_"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def locate(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
-    """Add ``m_<kind>`` (matches), ``g_<kind>`` (pieces before each match) and ``f_<kind>`` for every pattern.
+    """Add the matches of every pattern and the pieces around them, in columns named after MATCHES and PIECES.
 
-    ``f_<kind>`` has what follows each match up to the end of the next one, cut to the context's length.
     A null text has no matches. Texts are only cut where something was found.
     """
-    found = df.withColumns({f"m_{kind}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
-    cut = found.withColumns({
-        f"g_{kind}": F.when(F.size(f"m_{kind}") > 0, F.split(F.col(text), p, -1)) for kind, p in patterns.items()})
+    found = df.withColumns({f"{MATCHES}{kind}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
+    return found.withColumns({
+        f"{PIECES}{kind}": F.when(F.size(f"{MATCHES}{kind}") > 0, F.split(F.col(text), p, -1)) for kind, p in patterns.items()})
 
-    def following(kind: str) -> Column:
-        piece = lambda g, n: F.left(F.concat_ws("", g, F.get(f"m_{kind}", n + 1)), F.lit(CONTEXT))
-        return F.when(F.size(f"m_{kind}") > 0, F.transform(F.slice(f"g_{kind}", F.lit(2), F.size(f"m_{kind}")), piece))
 
-    return cut.withColumns({f"f_{kind}": following(kind) for kind in patterns})
+def running(values: Column) -> Column:
+    """The sum of the values before each one of a filled array."""
+    empty = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("before"))
+    append = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["before"], F.array(acc["sum"])).alias("before"))
+    chunks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(v, c * CHUNK + 1, F.lit(CHUNK)), empty, append))
+    joined = lambda parts: F.flatten(F.zip_with(parts, F.aggregate(F.transform(parts, lambda p: p["sum"]), empty, append)["before"],
+                                                lambda part, offset: F.transform(part["before"], lambda b: b + offset)))
+    return bound(bound(values, chunks), joined)
 
 
 def kept_spans(kind: str, rank: int, keep: Callable[[Column], Column]) -> Column:
     """Spans of ``kind`` whose match passes ``keep``, with the text around them; null where nothing was found."""
-    matches, gaps, following = F.col(f"m_{kind}"), F.col(f"g_{kind}"), F.col(f"f_{kind}")
-    steps = F.arrays_zip(matches.alias("m"), F.slice(gaps, F.lit(1), F.size(matches)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["g"])
-        stop = begin + F.length(x["m"])
-        # A match has one code point at least, so that many pieces fill the context.
-        after = F.left(F.array_join(F.slice(following, acc["n"] + 1, F.lit(CONTEXT)), ""), F.lit(CONTEXT))
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), stop.alias("end"), F.lit(kind).alias("kind"),
-                        x["m"].alias("value"), F.right(F.concat(acc["tail"], x["g"]), F.lit(CONTEXT)).alias("before"), after.alias("after"))
-        out = F.when(keep(x["m"]), F.concat(acc["out"], F.array(span).cast(SPAN))).otherwise(acc["out"])
-        tail = F.right(F.concat(acc["tail"], x["g"], x["m"]), F.lit(CONTEXT))
-        return F.struct(stop.alias("at"), (acc["n"] + 1).alias("n"), tail.alias("tail"), out.alias("out"))
-
-    return F.when(F.size(matches) > 0, F.aggregate(steps, start, step, lambda acc: acc["out"]))
+
+    def spans(m: Column, g: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(m) - 1)
+        lengths = F.transform(places, lambda i: F.length(F.get(g, i)) + F.length(F.get(m, i)))
+        # A match has one code point at least, so CONTEXT of these parts fill the context.
+        parts_before = F.transform(places, lambda i: F.right(F.concat(F.coalesce(F.get(m, i - 1), F.lit("")), F.get(g, i)), F.lit(CONTEXT)))
+        parts_after = F.transform(places, lambda i: F.left(F.concat_ws("", F.get(g, i + 1), F.get(m, i + 1)), F.lit(CONTEXT)))
+
+        def span(i: Column, at: Column, before: Column, after: Column) -> Column:
+            begin = F.get(at, i) + F.length(F.get(g, i))
+            first = F.greatest(i - CONTEXT + 1, F.lit(0))
+            return F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(F.get(m, i))).alias("end"), F.lit(kind).alias("kind"), F.get(m, i).alias("value"),
+                            F.right(F.array_join(F.slice(before, first + 1, i - first + 1), ""), F.lit(CONTEXT)).alias("before"),
+                            F.left(F.array_join(F.slice(after, i + 1, F.lit(CONTEXT)), ""), F.lit(CONTEXT)).alias("after"))
+
+        kept = F.filter(places, lambda i: keep(F.get(m, i)))
+        return bound(running(lengths), lambda at: bound(parts_before, lambda before: bound(parts_after, lambda after: F.transform(kept, lambda i: span(i, at, before, after)))))
+
+    matches, pieces = F.col(f"{MATCHES}{kind}"), F.col(f"{PIECES}{kind}")
+    return F.when(F.size(matches) > 0, bound(matches, lambda m: bound(pieces, lambda g: spans(m, g).cast(SPAN))))
 
 
 def merged(*spans: Column) -> Column:
