@@ -145,12 +145,14 @@ def evaluate_registration(existing: DataFrame, runs: DataFrame, fixed: DataFrame
     from ..grid import grid_rows
     from ..operators import geometry, registration
     from ..operators.resample import resample
+    from ..session import cut_lineage
 
     grids = grid_rows(fixed, fixed_grid) if isinstance(fixed_grid, Grid) else fixed_grid
     native = geometry.native_spacing_grid(grids, native_spacing)
     ones = mask.select(*KEY, F.lit(1.0).alias("value"))
-    fixed_native = resample(fixed, grids, native, "linear", "half_voxel")
-    mask_native = resample(ones, grids, native, "nearest", "half_voxel").where("value > 0.5").select(*KEY)
+    # stored, for both are read several times and their plans are long
+    fixed_native = cut_lineage(resample(fixed, grids, native, "linear", "half_voxel"))
+    mask_native = cut_lineage(resample(ones, grids, native, "nearest", "half_voxel").where("value > 0.5").select(*KEY))
     metrics = registration.evaluate_transforms(fixed_native, mask_native, images, chains, moving_grid, native, bins)
     wide = registration.metrics_wide(metrics, ["volume_id"], names)
     figures = [F.round(c, 9).alias(c) for c in wide.columns if c != "volume_id"]
