@@ -43,9 +43,9 @@ def test_plan_is_best_fit_decreasing(lengths):
 
 
 def test_pieces_and_places(make_docs, awkward, prose_text):
-    rows = [*awkward, *((100 + i, prose_text(i, 5 + 60 * (i % 9))) for i in range(60)), (300, "The <|endoftext|> it's \x7f A\u030a Σας ΣΑΣ don't... a,'s"), (301, "İX K")]
+    rows = [*awkward, *((100 + i, prose_text(i, 5 + 60 * (i % 9))) for i in range(60)), (300, "The <|endoftext|> it's \x7f A\u030a Σας ΣΑΣ don't... a,'s"), (301, "İX K"), (302, "a<|ENDOFTEXT|> b<|startoftext|>c \n<|endoftext|>"),
+            (303, "x\x1cy\x85z\u2003w 's 't\u2028'LL  "), (304, "  lead and trail ")]
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     expected = []
     for i, text in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]

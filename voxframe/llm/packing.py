@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
@@ -23,7 +24,8 @@ from .ranks import number_rows
 
 CAPACITY = 2048
 END_ID = 0
-CACHED_WORDS = 400_000  # in each of two generations
+CACHED_WORDS = 250_000  # in each of two generations
+ROWS_AT_ONCE = 1024
 
 
 class TightestBins:
@@ -105,69 +107,105 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Ru
     return runs, opened
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in the vocabulary: itself where it prints, else the next free one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in prints]
+    return {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 class Chunks:
     """Ids of white-space separated chunks. Each is encoded once; the least recently seen are forgotten beyond a bound.
 
     White space ends every token of this vocabulary and composes with nothing, so the ids of a text are those of
-    its chunks. A run of ASCII letters before a run of ASCII punctuation is one token group of its own.
+    its chunks. A run of small letters before a run of ASCII punctuation is one token group of its own, and normalising
+    leaves small Latin-1 letters as they are, so such a run goes to the merges directly. A text that holds a special
+    string of the vocabulary is encoded as a whole, for such a string is found before white space counts.
     """
 
-    MARK = b"\x7f"     # stands between chunks that are encoded together
-    PARTS = re.compile(rb"([a-z]+)([.,:;!?#*$%&|<>()]+)")
+    MARK = "\x7f"      # stands between chunks that are encoded together
+    PARTS = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,:;!?#*$%&|<>()]*)")
 
     def __init__(self, path: str, most: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.merge, self.letters = self.tokenizer.model.tokenize, byte_letters()
         self.most, self.known, self.older = most, {}, {}
-        self.mark = self.tokenizer.encode(self.MARK.decode(), add_special_tokens=False).ids
+        self.mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encode(self, chunks: list[bytes]) -> None:
+    def _encode(self, chunks: list[str]) -> None:
         plain = [c for c in chunks if self.MARK not in c]
         for at in range(0, len(plain), 1024):
             some = plain[at:at + 1024]
-            joined = (b" " + self.MARK + b" ").join(some).decode("utf-8", "surrogatepass")
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = [*np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)] if len(self.mark) == 1 else []
             if len(ends) != len(some):
-                self._one_by_one(some)
+                self.known.update((c, self._whole(c)) for c in some)
                 continue
             data = ids.tobytes()
             self.known.update((chunk, data[low:4 * high]) for chunk, low, high in zip(some, [0, *[4 * e + 4 for e in ends[:-1]]], ends))
-        self._one_by_one([c for c in chunks if self.MARK in c])
+        self.known.update((c, self._whole(c)) for c in chunks if self.MARK in c)
 
-    def _one_by_one(self, chunks: list[bytes]) -> None:
-        for chunk in chunks:
-            ids = self.tokenizer.encode(chunk.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids
-            self.known[chunk] = np.array(ids, "<u4").tobytes()
+    def _merged(self, word: str) -> bytes:
+        """Ids of small Latin-1 letters."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(word)])
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of every text, little-endian unsigned 32-bit."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Make every chunk known."""
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
-        chunks = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
-        known, older, whole, split = self.known, self.older, [], []
-        for chunk in set().union(*chunks).difference(known):
+        known, older, whole, split, parts = self.known, self.older, [], [], self.PARTS.fullmatch
+        for chunk in chunks:
+            if chunk in known:
+                continue
             if chunk in older:
                 known[chunk] = older[chunk]
-            elif parts := self.PARTS.fullmatch(chunk):
-                split.append((chunk, *parts.groups()))
+            elif found := parts(chunk):
+                word, signs = found.groups()
+                if signs:
+                    split.append((chunk, word, signs))
+                else:
+                    known[chunk] = self._merged(chunk)
             else:
                 whole.append(chunk)
-        pieces = {p for _, *both in split for p in both}.difference(known, whole)
-        self._encode([*whole, *pieces])
-        for chunk, word, sign in split:
-            known[chunk] = known[word] + known[sign]
-        find = known.__getitem__
-        return [b"".join(map(find, words)) for words in chunks]
+        self._encode([*whole, *{signs for _, _, signs in split}.difference(known, whole)])
+        for chunk, word, signs in split:
+            known[chunk] = (known.get(word) or self._merged(word)) + known[signs]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of every text, little-endian unsigned 32-bit; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, self.special) if self.special else pa.array([False] * len(texts))
+        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(odd, "", texts)))
+        named = words.flatten().dictionary_encode()
+        chunks = named.dictionary.to_pylist()
+        self._learn(chunks)
+        coded = list(map(self.known.__getitem__, chunks))
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts = np.cumsum(lengths) - lengths
+        table, place = np.frombuffer(b"".join(coded), "<u4"), named.indices.to_numpy()
+        many = lengths[place]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        flat = table[np.repeat(starts[place] - ends[:-1], many) + np.arange(ends[-1])]
+        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()].tolist()
+        out = [flat[low:high] for low, high in zip(bounds, bounds[1:])]
+        for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[row] = np.frombuffer(self._whole(texts[row].as_py()), "<u4")
+        return out
 
 
 _CHUNKS: dict[str, Chunks] = {}
 
 
-def _encode_texts(path: str, texts: list[str]) -> list[bytes]:
+def _encode_texts(path: str, texts: pa.Array) -> list[np.ndarray]:
     """``Chunks`` of a task's process, which remembers across tasks."""
     if path not in _CHUNKS:
         _CHUNKS[path] = Chunks(path)
@@ -180,21 +218,20 @@ def piece_rows(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, doc_id
     schema = f"doc_id {kind}, piece int, start long, length long, ids binary"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 4 * capacity
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                some = batch.slice(low, 2048)
-                texts = [t or "" for t in some.column(1).to_pylist()]
+            for low in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(low, ROWS_AT_ONCE)
                 source, numbers, starts, lengths, ids = [], [], [], [], []
-                for row, coded in enumerate(_encode_texts(tokenizer, texts)):
-                    coded += END_ID.to_bytes(4, "little")
-                    for number, at in enumerate(range(0, len(coded), step)):
-                        piece = coded[at:at + step]
+                for row, coded in enumerate(_encode_texts(tokenizer, some.column(1))):
+                    coded = np.concatenate((coded, end))
+                    for number, at in enumerate(range(0, len(coded), capacity)):
+                        piece = coded[at:at + capacity]
                         source.append(row)
                         numbers.append(number)
-                        starts.append(at // 4)
-                        lengths.append(len(piece) // 4)
-                        ids.append(piece)
+                        starts.append(at)
+                        lengths.append(len(piece))
+                        ids.append(piece.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0).take(pa.array(source, pa.int32())), pa.array(numbers, pa.int32()), pa.array(starts, pa.int64()),
                      pa.array(lengths, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
