@@ -18,6 +18,8 @@ def test_ids_and_round_trip(make_docs, awkward):
         mine = sorted(((r.doc_id, bytes(r.decoded), np.frombuffer(r.ids, "<u4").tolist()) for r in got), key=key)
         assert mine == sorted(((i, (t or "").encode(), OWN.encode_ordinary(t or "")) for i, t in texts), key=key)
         assert all(r.n_tokens * 4 == len(r.ids) for r in got)
+        both = bpe.encode(make_docs(texts), RANKS, public_tokenizers.PATTERN, block, decoded="decoded").collect()
+        assert sorted(((r.doc_id, bytes(r.decoded), np.frombuffer(r.ids, "<u4").tolist()) for r in both), key=key) == mine
 
 
 def test_empty_table(make_docs, awkward):
@@ -38,5 +40,6 @@ def test_pretokens_are_those_of_the_library(text):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 2**33)), st.lists(st.binary(max_size=9)))
 def test_packed_numbers_and_strings(numbers, strings):
-    assert bpe.unpack_numbers(bpe.pack_numbers(np.array(numbers, np.int64))[0]).tolist() == numbers
+    packed = bpe.pack_numbers(np.array(numbers, np.int64))[0]
+    assert bpe.unpack_numbers(packed).tolist() == bpe.unpack_numbers(packed, step=7).tolist() == numbers
     assert bpe.unpack_strings(bpe.pack_strings(strings)) == strings

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 BLOCK_CHARS = 16 << 20
 SHORT, MIDDLE = 1 << 7, 1 << 14  # numbers below take one byte, and two
+STEP = 1 << 20  # numbers or bytes that are turned at once
 BUCKETS = 512  # words with one remainder of their hash travel together
 #: White space as the Unicode property; Python's own class also has the separators U+001C to U+001F.
 SPACE = r"\p{White_Space}"
@@ -46,14 +47,23 @@ def pack_numbers(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def unpack_numbers(data: np.ndarray) -> np.ndarray:
-    ends = np.flatnonzero(data < 128)
-    starts = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
-    lengths = ends - starts + 1
-    out = np.zeros(len(ends), np.int64)
-    for k in range(int(lengths.max()) if len(lengths) else 0):
-        some = lengths > k
-        out[some] |= (data[starts[some] + k].astype(np.int64) & 127) << (7 * k)
+def unpack_numbers(data: np.ndarray, dtype=np.int64, step: int = STEP) -> np.ndarray:
+    """The numbers of ``pack_numbers``; besides the result only about ``step`` bytes are held in wide form."""
+    out, filled, at = np.empty(np.count_nonzero(data < 128), dtype), 0, 0
+    while at < len(data):
+        some = data[at:at + step]
+        ends = np.flatnonzero(some < 128)
+        if not len(ends):
+            raise ValueError("a number does not end")
+        some = some[:ends[-1] + 1]                     # the rest belongs to a number that ends later
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        lengths = ends - starts + 1
+        values = np.zeros(len(ends), np.int64)
+        for k in range(int(lengths.max())):
+            long = lengths > k
+            values[long] |= (some[starts[long] + k].astype(np.int64) & 127) << (7 * k)
+        out[filled:filled + len(values)] = values
+        filled, at = filled + len(values), at + len(some)
     return out
 
 
@@ -114,8 +124,8 @@ class _Block:
         order = np.argsort(bucket, kind="stable")      # words by bucket, in which the ids will come back
         number = np.empty(len(words), np.int64)
         number[order] = word_numbers(width[order])
-        positions, _ = pack_numbers(number[place])
-        head = [np.array([len(words)], "<u8").tobytes(), width[order].tobytes(), positions.tobytes()]
+        positions = (pack_numbers(number[place[low:low + STEP]])[0].tobytes() for low in range(0, len(place), STEP))
+        head = [np.array([len(words)], "<u8").tobytes(), width[order].tobytes(), *positions]
         present, starts = np.unique(bucket[order], return_index=True)
         stops = [*starts[1:].tolist(), len(order)]
         blobs = [squeeze(pack_strings([words[i] for i in order[low:high]])) for low, high in zip(starts.tolist(), stops)]
@@ -180,9 +190,46 @@ def _packed_ids(path: str) -> dict[int, bytes]:
     return _PACKED[path]
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+class TokenBytes:
+    """The token-byte table, sorted by id; its size is fixed by the ranks file."""
+
+    def __init__(self, path: str):
+        table = read_ranks(path)
+        tokens = sorted(table, key=table.__getitem__)
+        self.numbers = np.array([table[t] for t in tokens], np.int64)
+        self.lengths = np.array([len(t) for t in tokens], np.int64)
+        self.blob, self.starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def join(self, ids: bytes | None, step: int = STEP) -> bytes | None:
+        """The bytes of the tokens of ``ids`` in their order; an id without a token is an error."""
+        if ids is None:
+            return None
+        every, parts = np.frombuffer(ids, "<u4"), []
+        for at in range(0, len(every), step):
+            wanted = every[at:at + step]
+            row = np.minimum(np.searchsorted(self.numbers, wanted), len(self.numbers) - 1)
+            if (self.numbers[row] != wanted).any():
+                raise ValueError("an id is not in the token table")
+            many = self.lengths[row]
+            parts.append(self.blob[np.repeat(self.starts[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes())
+        return b"".join(parts)
+
+
+_TOKENS: dict[str, TokenBytes] = {}
+
+
+def _token_bytes(path: str) -> TokenBytes:
+    if path not in _TOKENS:
+        _TOKENS[path] = TokenBytes(path)
+    return _TOKENS[path]
+
+
+def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = BLOCK_CHARS, decoded: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (little-endian unsigned 32-bit) of every row; a null text is empty.
 
+    ``decoded`` names a further column with the bytes of the ids, joined where they are put together, as ``decode``
+    would add it in another Python process.
+
     ``docs`` has an integer doc_id (may be null or repeated) and text; other columns are ignored. One row
     comes out for each row, in any order; empty tables give none.
     """
@@ -212,59 +259,59 @@ def encode(docs: DataFrame, ranks: str, pattern: str, block_chars: int = BLOCK_C
     messages = explode_words(docs, pattern, block_chars).repartition(key).sortWithinPartitions("bucket")
     answers = messages.mapInArrow(encode_words, MESSAGE)
 
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("bucket")
-        head = rows.iloc[0]
-        told = expand(head["data"])
+    def assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.Table.from_batches(rows).sort_by("bucket")
+        data = held.column("data")
+        told = expand(data[0].as_py())
         size = int(np.frombuffer(told, "<u8", 1)[0])
         order = word_numbers(np.frombuffer(told, np.uint8, size, 8))
-        place = unpack_numbers(np.frombuffer(told, np.uint8, offset=8 + size)).astype(np.int32)
-        coded = [ids for data in rows["data"].iloc[1:] for ids in unpack_strings(expand(data))]
+        place = unpack_numbers(np.frombuffer(told, np.uint8, offset=8 + size), np.int32)
+        doc_ids, counts = held.column("doc_ids")[0].values, np.asarray(held.column("counts")[0].values, np.int64)
+        coded = [ids for one in data[1:] for ids in unpack_strings(expand(one.as_py()))]
+        del told, data, held
         flat = np.frombuffer(b"".join(coded), np.uint8)
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        lengths, from_ = np.empty(len(coded), np.int64), np.empty(len(coded), np.int64)
-        if len(coded):
+        del coded
+        lengths, from_ = np.empty(len(sizes), np.int32), np.empty(len(sizes), np.int32)
+        if len(sizes):
             many = np.add.reduceat(flat < 128, np.cumsum(sizes) - sizes, dtype=np.int64)
             lengths[order], from_[order] = many, np.cumsum(many) - many
-        table = unpack_numbers(flat).astype("<u4")
-        bounds = np.concatenate(([0], np.cumsum(np.asarray(head["counts"], np.int64))))
-        ids = []
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            used = place[low:high]
-            many = lengths[used]
-            at = np.repeat(from_[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            ids.append(table[at].tobytes())
-        return pd.DataFrame({"doc_id": pd.array(head["doc_ids"], "Int64"), "n_tokens": [len(x) // 4 for x in ids], "ids": ids})
-
-    return answers.groupBy("block").applyInPandas(assemble, "doc_id long, n_tokens long, ids binary")
+        table = unpack_numbers(flat, "<u4")
+
+        def ids_of(low: int, high: int) -> bytes:
+            parts = []
+            for at in range(low, high, STEP):
+                used = place[at:min(at + STEP, high)]
+                many = lengths[used].astype(np.int64)
+                parts.append(table[np.repeat(from_[used] - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes())
+            return b"".join(parts)
+
+        # documents leave in batches of a bounded number of words
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        row = 0
+        while row < len(counts):
+            last = max(row + 1, int(np.searchsorted(bounds, bounds[row] + STEP // 4, "right")) - 1)
+            ids = [ids_of(int(low), int(high)) for low, high in zip(bounds[row:last], bounds[row + 1:last + 1])]
+            columns = [doc_ids.slice(row, last - row), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array(map(_token_bytes(ranks).join, ids), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            row = last
+
+    names = ["doc_id", "n_tokens", "ids", *([decoded] if decoded else [])]
+    return answers.groupBy("block").applyInArrow(assemble, ", ".join(f"`{n}` {t}" for n, t in zip(names, ("long", "long", "binary", "binary"))))
 
 
 def decode(encoded: DataFrame, ranks: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add the bytes of every row's ids: a join with the token-byte table, done as array look-ups in Arrow batches.
 
-    The table has one row per token of the vocabulary, so its size is fixed by the ranks file.
+    The table has one row per token of the vocabulary, so its size is fixed by the ranks file. Null ids stay null.
     """
 
     @F.pandas_udf(T.BinaryType())
     def token_bytes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = read_ranks(ranks)
-        tokens = sorted(table, key=table.__getitem__)
-        numbers = np.array([table[t] for t in tokens], np.int64)
-        lengths = np.array([len(t) for t in tokens], np.int64)
-        blob, starts = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths
-
-        def join(data):
-            if data is None:
-                return None
-            wanted = np.frombuffer(data, "<u4")
-            row = np.searchsorted(numbers, wanted)
-            if len(wanted) and (row.max() >= len(numbers) or (numbers[row] != wanted).any()):
-                raise ValueError("an id is not in the token table")
-            many = lengths[row]
-            return blob[np.repeat(starts[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())].tobytes()
-
         for part in parts:
-            yield part.map(join)
+            yield part.map(_token_bytes(ranks).join)
 
     return encoded.withColumn(into, token_bytes(ids))
 

@@ -30,7 +30,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.bpe_digest(bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks))
+    return bpe.bpe_digest(bpe.encode(docs, ranks, public_tokenizers.PATTERN, decoded="decoded"))
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
