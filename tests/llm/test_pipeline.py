@@ -59,7 +59,6 @@ def test_personal_data_is_gone(stages):
 
 def test_pieces_fill_few_sequences(stages):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     lengths = {}
     for r in stages[4].collect():
         n = len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1
