@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.filters import require_nonempty
@@ -68,7 +69,16 @@ def read_components(spark: SparkSession, path: str, minimum: int | None = None,
     return out.select(*extra, "voxel_count", *[F.col(c).alias(a) for c, a in zip(VOXEL, "xyz")])
 
 
+def formatted(value: Column, form: str) -> Column:
+    """Numbers as ``form`` writes them, rounded from the exact binary value (Java's formatter rounds its shortest decimal); null stays null."""
+    @F.pandas_udf("string")
+    def show(numbers: pd.Series) -> pd.Series:
+        return numbers.map(lambda v: form % v)
+
+    return F.when(value.isNotNull(), show(value))
+
+
 def write_table(df: DataFrame, path: str, formats: dict[str, str] | None = None) -> None:
     """CSV with fixed float formats per column (for example ``%.6f``)."""
-    shown = [F.format_string(formats[c], F.col(c)).alias(c) if c in (formats or {}) else F.col(c) for c in df.columns]
+    shown = [formatted(F.col(c), formats[c]).alias(c) if c in (formats or {}) else F.col(c) for c in df.columns]
     df.select(*shown).write.mode("overwrite").option("header", True).csv(path)
