@@ -519,11 +519,10 @@ def _(t: Tables):
 
 
 @query("invert_density", compose("pairs", """
-    select volume_id, i, j, k, round(case when m then (max(d) over (partition by volume_id) - density)
-        / (max(d) over (partition by volume_id) - min(d) over (partition by volume_id)) else 0 end, 6) + 0.0 as inverted
-    from (select *, value > 40000 as m, case when value > 40000 then density end as d from pairs where metric = 'a')"""))
+    select volume_id, i, j, k, round(case when not m then 0 when high = low then 1 else (high - density) / (high - low) end, 6) + 0.0 as inverted
+    from (select *, max(d) over (partition by volume_id) as high, min(d) over (partition by volume_id) as low from (select *, value > 40000 as m, case when value > 40000 then density end as d from pairs where metric = 'a'))"""))
 def _(t: Tables):
-    """Density inverted inside a mask."""
+    """Density inverted inside a mask; 1 where all densities of the mask are the same."""
     from ..workflows import density_on_grid
 
     mask = filters.threshold(t.vox_a(), 40000.0)
