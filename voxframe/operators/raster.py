@@ -40,7 +40,7 @@ def grid_lines(volumes: DataFrame, grid: Grid | DataFrame, factors: Sequence[flo
         pixels = lines.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
         part = pixels.select("volume_id", "i", "j", F.lit(0).cast("long").alias("k"))
         out = part if out is None else out.union(part)
-    return out.distinct()
+    return out.distinct().hint("merge")  # few lines become many pixels, which the planner would still hold to be small enough for a broadcast
 
 
 def overlay_labels(segmentation: DataFrame, lines: DataFrame, centres: DataFrame) -> DataFrame:
