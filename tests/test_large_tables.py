@@ -53,3 +53,14 @@ def test_flat_density_inside_the_mask(spark, tmp_path):
         duckdb.execute(f"copy (with t as (select * from '/root/testdata/sf0.001/{table}.parquet' {kept}) {shift}) to '{tmp_path}/{table}.parquet' (format parquet)")
     status, _, _, note = compare.compare(spark, str(tmp_path), "invert_density", REGISTRY["invert_density"])
     assert status == "ok", note
+
+
+def test_parameter_files_lie_in_one_folder(spark, tmp_path, monkeypatch):
+    """A folder per file was made and listed one by one."""
+    from voxframe.plans.catalog import REGISTRY, run_queries
+
+    monkeypatch.setattr(run_queries, "scratch_path", lambda session, name: str(tmp_path / name))
+    rows = REGISTRY["read_transform_params"].run(spark, "/root/testdata/sf0.001").count()
+    folder = tmp_path / "parameters"
+    assert not any(p.is_dir() for p in folder.iterdir())
+    assert len([p for p in folder.iterdir() if p.name.endswith(".txt") and p.stat().st_size]) == rows > 0
