@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import similarity as sim
+from voxframe.operators import ranking, similarity as sim, stats
 from voxframe.sources import points as ps
 
 
@@ -64,3 +64,46 @@ def test_parameter_files_lie_in_one_folder(spark, tmp_path, monkeypatch):
     folder = tmp_path / "parameters"
     assert not any(p.is_dir() for p in folder.iterdir())
     assert len([p for p in folder.iterdir() if p.name.endswith(".txt") and p.stat().st_size]) == rows > 0
+
+
+@pytest.fixture()
+def no_small_tables(spark):
+    """Spark neither sends small tables to all tasks by itself nor merges partitions, as with tables of any size."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {n: spark.conf.get(n) for n in names}
+    spark.conf.set(names[0], "-1")
+    spark.conf.set(names[1], "false")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_groups_of_many_rows_are_shared_by_the_tasks(spark, monkeypatch, no_small_tables, few):
+    """All rows of a metric used to meet in one task to get the limits of its terciles."""
+    monkeypatch.setattr(ranking, "FEW_GROUPS", few)
+    pairs = spark.range(0, 8000, 1, 8).selectExpr("if(id % 8 = 0, 'a', 'b') as metric", "double(id % 40) as x", "double(id % 977) as y")
+    out = stats.tercile_groups(pairs, ["metric"], "x", ["y"])
+    assert out.count() == 8000
+    assert most_in_a_task(out) < 3000
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_joined_groups_are_those_of_a_join(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking, "FEW_GROUPS", few)
+    rows = spark.createDataFrame([("a", 1, 1.0), ("a", 1, 1.0), ("a", 2, None), ("b", 3, 2.0), (None, 4, 3.0)], "g string, n long, v double")
+    groups = spark.createDataFrame([("a", 7), ("c", 8), (None, 9)], "g string, m long")
+    for by in ([], ["v"], ["n", "v"]):
+        found = ranking.join_groups(rows, groups, ["g"], by)
+        assert sorted(map(tuple, found.fillna(-1.0).collect())) == [("a", 1, 1.0, 7), ("a", 1, 1.0, 7), ("a", 2, -1.0, 7)]
+
+
+def test_key_sets_of_many_pairs_are_not_shuffled(spark, no_small_tables):
+    """The pairs used to be sorted by key set, in as many tasks as there were key sets, for their ends, cells and limits."""
+    pairs = spark.range(0, 4000, 1, 8).selectExpr("id % 2 as g", "double(id % 101) as a", "double(id % 97) as b")
+    plan = sim.mutual_information(pairs, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 0 and "BroadcastHashJoin" in plan

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.student import p_value, t_critical
 from ..session import cut_lineage
-from .ranking import average_ranks, many_prefix_sums, picked_quantiles, prefix_sums, quantile_ends, quantile_of, quantiles
+from .ranking import average_ranks, join_groups, many_prefix_sums, picked_quantiles, prefix_sums, quantile_ends, quantile_of, quantiles
 
 
 def safe_corr(x: str, y: str) -> Column:
@@ -86,7 +86,7 @@ def guarded(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 def density_terciles(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Medians and counts of y below, between and above the terciles of x."""
     keys = list(keys)
-    grouped = tercile_groups(pairs, keys, x)
+    grouped = tercile_groups(cut_lineage(pairs.select(*keys, x, y)), keys, x, [y])  # read for limits, medians and counts
     medians = quantiles(grouped, [*keys, "tercile"], y, {"median": 0.5})
     counts = grouped.groupBy(*keys, "tercile").agg(F.count("*").alias("n"))
     both = counts.join(medians, [*keys, "tercile"])
@@ -98,10 +98,11 @@ def density_terciles(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> D
     return both.groupBy(*keys).agg(*pieces)
 
 
-def tercile_groups(pairs: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+def tercile_groups(pairs: DataFrame, keys: Sequence[str], x: str, others: Sequence[str] = ()) -> DataFrame:
+    """Pairs with their tercile of x; ``others`` are columns that, with x, tell the rows of a group apart."""
     limits = quantiles(pairs, keys, x, {"q1": 1 / 3, "q2": 2 / 3})
     label = F.when(F.col(x) <= F.col("q1"), "low").when(F.col(x) <= F.col("q2"), "medium").otherwise("high")
-    return pairs.join(limits, list(keys)).withColumn("tercile", label).drop("q1", "q2")
+    return join_groups(pairs, limits, keys, [x, *others]).withColumn("tercile", label).drop("q1", "q2")
 
 
 def box_stats(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -127,19 +128,18 @@ def order_summary(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> Data
     """
     keys = list(keys)
     weighted = pairs.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).groupBy(*keys, "_x", "_y").agg(F.count("*").alias("_w"))
-    of_x = prefix_sums(weighted.groupBy(*keys, "_x").agg(F.sum("_w").alias("n")), keys, "_x", "n")
+    of_x = prefix_sums(weighted.groupBy(*keys, "_x").agg(F.sum("_w").alias("n")), keys, "_x", "n", total="_count")
     limits = picked_quantiles(of_x, keys, "_x", {"q1": 1 / 3, "q2": 2 / 3})
     label = F.when(F.col("_x") <= F.col("q1"), "low").when(F.col("_x") <= F.col("q2"), "medium").otherwise("high")
-    placed = (weighted.join(of_x.select(*keys, "_x", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rx")), [*keys, "_x"])
-              .join(limits, keys).select(*keys, "_y", "_w", "_rx", label.alias("_t")))
+    ranks = join_groups(of_x, limits, keys, ["_x"]).select(*keys, "_x", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rx"), label.alias("_t"))
+    placed = join_groups(weighted, ranks, [*keys, "_x"], ["_y"])  # one value of x may hold most pairs
     counts = {t: F.sum(F.when(F.col("_t") == t, F.col("_w")).otherwise(0)).alias(f"n_{t}") for t in TERCILES}
     of_y = many_prefix_sums(placed.groupBy(*keys, "_y").agg(F.sum("_w").alias("n"), *counts.values()), keys, "_y",
-                            {"before": "n", **{f"before_{t}": f"n_{t}" for t in TERCILES}})
-    sizes = of_y.groupBy(*keys).agg(*[F.sum(f"n_{t}").alias(f"{t}_n") for t in TERCILES])
+                            {"before": "n", **{f"before_{t}": f"n_{t}" for t in TERCILES}}, {f"{t}_n": f"before_{t}" for t in TERCILES})
     ends = [e for t in TERCILES for e in quantile_ends("_y", F.col(f"{t}_n"), {f"{t}_median": 0.5}, f"before_{t}", f"n_{t}")]
-    medians = of_y.join(sizes, keys).groupBy(*keys).agg(*[F.max(f"{t}_n").alias(f"{t}_n") for t in TERCILES], *ends)
+    medians = of_y.groupBy(*keys).agg(*[F.max(f"{t}_n").alias(f"{t}_n") for t in TERCILES], *ends)
     medians = medians.select(*keys, *[c for t in TERCILES for c in (quantile_of(f"{t}_median", F.col(f"{t}_n"), 0.5).alias(f"{t}_median"), F.col(f"{t}_n"))])
-    ranked = placed.join(of_y.select(*keys, "_y", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_ry")), [*keys, "_y"])
+    ranked = join_groups(placed, of_y.select(*keys, "_y", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_ry")), [*keys, "_y"], ["_x"])
     return _weighted_correlation(ranked, keys).drop("n").join(medians, keys)
 
 
