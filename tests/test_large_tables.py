@@ -107,3 +107,21 @@ def test_key_sets_of_many_pairs_are_not_shuffled(spark, no_small_tables):
     pairs = spark.range(0, 4000, 1, 8).selectExpr("id % 2 as g", "double(id % 101) as a", "double(id % 97) as b")
     plan = sim.mutual_information(pairs, ["g"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 0 and "BroadcastHashJoin" in plan
+
+
+def test_fixed_growth_and_its_sql_stop_at_pixels_of_lower_markers(spark, tmp_path):
+    """The SQL let the marker at (10, 14) grow to (12, 13) through pixels that the one at (10, 10) holds."""
+    import duckdb
+
+    from voxframe.plans.catalog import REGISTRY
+
+    values = {(10, 10): 50.0, (10, 14): 50.0, **{p: 49.0 for p in ((10, 11), (10, 12), (10, 13), (11, 12), (12, 13))}}
+    rows = [(volume * 500, i, j, 0, v) for volume in range(2) for (i, j), v in values.items()]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    query = REGISTRY["region_grow_fixed"]
+    found = {tuple(r) for r in query.run(spark, str(tmp_path)).collect()}
+    held = {(10, 10), (10, 11), (10, 12), (10, 13), (11, 12)}
+    assert found == {(v, i, j, 0, 491 if (i, j) in held else 495) for v in range(2) for i, j in held | {(10, 14)}}
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert set(con.execute(query.sql).fetchall()) == found
