@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -73,3 +74,16 @@ def step(model, prefix, char):
             row, hit = langid._find(model.contexts[m - 2], hashes[m - 2][at - 1:at])
             total += model.backoff[m - 2][row[0], 0] if hit[0] else 0.0
     return total + model.floor[0]
+
+
+def test_grams_of_all_rows_are_counted(make_docs, monkeypatch):
+    """Only about 1,000 documents per language used to be counted, in one table on the driver."""
+    monkeypatch.setattr(langid, "WORDS_AT_ONCE", 300)
+    spell = lambda n: "".join("abcdefghij"[int(d)] for d in str(n))
+    rows = [(i, f"{spell(i)} {spell(i * 7)} {spell(i)}") for i in range(3000)]
+    langs = {i: "xy"[i % 2] for i, _ in rows}
+    model = langid.train(make_docs(rows, langs), None)
+    bags = Counter((langs[i], w) for i, t in rows if zlib.crc32(str(i).encode()) % 5 > 1 for w in t.split())
+    whole = langid.build([(l, w, n) for (l, w), n in sorted(bags.items())], ["x", "y"])
+    for mine, theirs in ((model.grams, whole.grams), (model.logs, whole.logs), (model.contexts, whole.contexts), (model.backoff, whole.backoff)):
+        assert all(np.array_equal(a, b) for a, b in zip(mine, theirs, strict=True))

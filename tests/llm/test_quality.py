@@ -60,3 +60,41 @@ def test_columns_of_the_same_name_in_capitals(make_docs):
     docs = make_docs([(1, "one two")]).selectExpr("doc_id", "text", "kept as KEPT", "rank as N_Words", "lang as Lang_Pred", "hash")
     assert quality.judge(docs, None).select("kept", "n_words", "hash").first() == (False, 2, "h")
     assert langid.identify(docs, langid.Model([])).select("lang_pred", "KEPT").first() == ("und", "k")
+
+
+def test_all_labelled_rows_are_learnt_from(spark, make_docs, prose_text, monkeypatch):
+    """The pipeline's model used to come from about 3,000 labelled rows on the driver."""
+    monkeypatch.setattr(quality, "SHARD", 40)
+    noisy = lambda seed: " ".join(w + mark for w, mark in zip(prose_text(seed, 90).split(), ["%%%", "###", "&&&"] * 30))
+    rows = [(i, prose_text(i, 90) if i % 2 else noisy(i)) for i in range(300)]
+    docs = make_docs([*rows, (7777, None)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(240)] + [(None, 1, 0), (3, None, 0), (7777, 1, 0)], "doc_id long, quality int, toxic int")
+    first, second = quality.train_all(docs, labels), quality.train_all(docs.repartition(5), labels)
+    assert np.array_equal(first.weights, second.weights) and (first.scale, first.shift) == (second.scale, second.shift)
+    judged = {r.doc_id: r.kept for r in quality.judge(docs, first).collect()}
+    assert sum(judged[i] == bool(i % 2) for i in range(240, 300)) >= 58
+    assert quality.train_all(docs, labels.limit(4)) is None and quality.train_all(docs.limit(0), labels) is None
+
+
+def test_scale_by_sums_is_that_of_the_rows(spark):
+    rng = np.random.default_rng(3)
+    margins = rng.normal(size=400)
+    low = rng.random(400) < 1 / (1 + np.exp(-3 * margins))
+    rows = spark.createDataFrame([(float(m), bool(v)) for m, v in zip(margins, low)], "margin double, low boolean")
+    assert np.allclose(quality.fit_scale_of(rows, "margin", "low"), quality.fit_scale(margins, low), atol=1e-8)
+    assert quality.fit_scale_of(rows.limit(0), "margin", "low") is None
+
+
+def test_pipeline_models_use_no_sample(monkeypatch):
+    import corpus_pipeline
+
+    calls = []
+    monkeypatch.setattr(corpus_pipeline.langid, "train", lambda docs, most: calls.append(most))
+    monkeypatch.setattr(corpus_pipeline.langid, "identify", lambda docs, model: docs)
+
+    class Docs:
+        columns = ["text"]
+        where = select = lambda self, *a: self
+
+    corpus_pipeline.language_id(None, Docs(), "")
+    assert calls == [None]

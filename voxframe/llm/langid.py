@@ -14,13 +14,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .quality import fit_scale
+from ..session import cut_lineage
+from .quality import fit_scale_of
 
 ORDER = 5
 DISCOUNT = 0.75
-MAX_PER_LANGUAGE = 1000    # expected documents per language that the models are fitted on
+MAX_PER_LANGUAGE = 1000    # expected documents per language that the models are fitted on, unless told otherwise
 UNKNOWN = "und"
 MIN_SCORE = 0.5            # below: rejected
 START, END = 1, 2          # marks around a word; no letters
@@ -89,41 +91,56 @@ class Model:
         return sums, sizes
 
 
+GRAMS = "size int, lang string, key long, shorter long, context long, begin long, total long"
+WORDS_AT_ONCE = 100_000
+
+
+def gram_rows(words: list[str], language: np.ndarray, weight: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """By order: one row per gram and language with the hashes of the gram without its first and its last character, and how
+    often it begins a word and occurs at all."""
+    owner, hashes, before = gram_hashes(words)
+    language, weight = language[owner], weight[owner]
+    for m in range(1, ORDER + 1):
+        rows = np.flatnonzero((before >= m - 1) & (before > 0))
+        rows = rows[np.lexsort((language[rows], hashes[m - 1][rows]))]
+        key, lang = hashes[m - 1][rows], language[rows]
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (lang[1:] != lang[:-1]))))[:len(rows)]
+        first = rows[starts]
+        none = np.zeros(len(first), np.int64)
+        shorter, context = (hashes[m - 2][first], hashes[m - 2][first - 1]) if m > 1 else (none, none)
+        sums = [np.add.reduceat(w, starts) if len(rows) else none for w in (weight[rows] * (before[rows] == m - 1), weight[rows])]
+        yield m, [lang[starts], key[starts], shorter, context, *sums]
+
+
 def build(words: list[tuple[str, str, int]], languages: list[str]) -> Model:
-    """``words``: (language, word, count)."""
-    model, width = Model(languages), len(languages)
+    """``words``: (language, word, count), every word of a language once."""
     number = {name: i for i, name in enumerate(languages)}
-    owner, hashes, before = gram_hashes([w for _, w, _ in words])
-    language = np.array([number[name] for name, _, _ in words], np.int32)[owner]
-    weight = np.array([n for _, _, n in words], np.int32)[owner]
-    del owner
-    # per order: keys, counts per language, rows of context and shorter gram. Below the highest order a gram counts the
+    rows = gram_rows([w for _, w, _ in words], np.array([number[name] for name, _, _ in words], np.int32), np.array([n for _, _, n in words], np.int64))
+    return assemble(languages, [table for _, table in rows])
+
+
+def assemble(languages: list[str], grams: list[list[np.ndarray]]) -> Model:
+    """The model of the rows of ``gram_rows`` by order, every gram and language once. Its size is that of the different grams."""
+    model, width = Model(languages), len(languages)
+    # per order: keys, counts per language, hashes of context and shorter gram. Below the highest order a gram counts the
     # different characters before it, unless it begins a word, where nothing can stand before it.
-    tables, firsts = [], []
-    for m in range(1, ORDER + 1):
-        rows = np.flatnonzero((before >= m - 1) & (before > 0))
-        keys, first, inverse = np.unique(hashes[m - 1][rows], return_index=True, return_inverse=True)
-        if m == ORDER:
-            counts = np.bincount(inverse * width + language[rows], weights=weight[rows], minlength=len(keys) * width)
-        else:
-            begins = before[rows] == m - 1
-            counts = np.bincount(inverse[begins] * width + language[rows][begins], weights=weight[rows][begins], minlength=len(keys) * width)
-            longer = rows[~begins]
-            different = np.unique(hashes[m][longer], return_inverse=True)[1]
-            kinds = np.unique(different * width + language[longer], return_index=True)[1]  # one row per gram and language
-            counts = counts + np.bincount(inverse[~begins][kinds] * width + language[longer][kinds], minlength=len(keys) * width)
-        tables.append((keys, counts.reshape(len(keys), width)))
-        firsts.append(rows[first])
+    tables = []
+    for m, (language, key, shorter, context, begin, total) in enumerate(grams, 1):
+        keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        counts = np.bincount(inverse * width + language, weights=total if m == ORDER else begin, minlength=len(keys) * width)
+        if m < ORDER:
+            counts = counts + np.bincount(np.searchsorted(keys, grams[m][2]) * width + grams[m][0], minlength=len(keys) * width)
+        tables.append((keys, counts.reshape(len(keys), width), shorter[first], context[first]))
     alphabet = len(tables[0][0]) + 1
     previous = np.full((1, width), 1 / alphabet)
     for m in range(1, ORDER + 1):
-        keys, counts = tables[m - 1]
+        keys, counts, without_first, without_last = tables[m - 1]
         if m == 1:
             contexts, inside = np.zeros(1, np.int64), np.zeros(len(keys), np.int64)
             shorter = np.zeros(len(keys), np.int64)
         else:
-            contexts, inside = np.unique(hashes[m - 2][firsts[m - 1] - 1], return_inverse=True)
-            shorter, _ = _find(tables[m - 2][0], hashes[m - 2][firsts[m - 1]])
+            contexts, inside = np.unique(without_last, return_inverse=True)
+            shorter, _ = _find(tables[m - 2][0], without_first)
         totals, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
         np.add.at(totals, inside, counts)
         np.add.at(kinds, inside, counts > 0)
@@ -169,17 +186,42 @@ def _margin(entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return (two[:, 1] - two[:, 0]) * np.sqrt(chars)
 
 
-def train(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> Model:
+def count_grams(words: DataFrame) -> DataFrame:
+    """``GRAMS`` of distinct words (lang, word, n), summed up before and after the shuffle."""
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def summed(table: pa.Table):
+            lang = table["lang"].combine_chunks().dictionary_encode()
+            for m, (language, *columns) in gram_rows(table["word"].to_pylist(), lang.indices.to_numpy(), table["n"].to_numpy()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(language), m, np.int32)), lang.dictionary.take(pa.array(language)),
+                                                  *(pa.array(c, pa.int64()) for c in columns)], names=[part.split()[0] for part in GRAMS.split(", ")])
+
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= WORDS_AT_ONCE:
+                yield from summed(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from summed(pa.Table.from_batches(held))
+
+    rows = words.select("lang", "word", "n").mapInArrow(grams, GRAMS)
+    return rows.groupBy("size", "lang", "key").agg(F.min("shorter").alias("shorter"), F.min("context").alias("context"), F.sum("begin").alias("begin"), F.sum("total").alias("total"))
+
+
+def train(docs: DataFrame, most: int | None = MAX_PER_LANGUAGE) -> Model:
     """Models of all non-null ``lang`` values, from rows whose crc32(doc_id) mod 5 is not 0.
 
-    About ``most`` documents per language are used, chosen by a hash of doc_id: those whose crc32 leads to
-    remainder 1 calibrate, the others are counted. Null texts, languages and ids are left out.
+    About ``most`` documents per language are used, chosen by a hash of doc_id, or all with None: those whose crc32 leads to
+    remainder 1 calibrate, the others are counted. Null texts, languages and ids are left out. Words and grams are
+    counted by Spark; the driver gets the different grams of at most ``ORDER`` letters.
     """
     spark = docs.sparkSession
     usable = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("fold", fold_of("doc_id")).where("fold <> 0")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("limit", (F.least(F.lit(1.0), most / F.col("n")) * (1 << 20)).cast("long"))
-    few = counts.count() <= 10_000  # one row per language
-    chosen = (usable.join(F.broadcast(counts) if few else counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("limit")).select("lang", "fold", "text"))
+    chosen = usable.select("lang", "fold", "text")
+    if most is not None:
+        counts = usable.groupBy("lang").agg(F.count("*").alias("n")).withColumn("limit", (F.least(F.lit(1.0), most / F.col("n")) * (1 << 20)).cast("long"))
+        few = counts.count() <= 10_000  # one row per language
+        chosen = (usable.join(F.broadcast(counts) if few else counts, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.col("limit")).select("lang", "fold", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,31 +233,34 @@ def train(docs: DataFrame, most: int = MAX_PER_LANGUAGE) -> Model:
                                               pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
 
     bags = chosen.where("fold <> 1").select("lang", "text").mapInArrow(count, "lang string, word string, n long")
-    words = bags.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
-    rows = list(zip(*(words[c].to_pylist() for c in ("lang", "word", "n"))))
-    languages = sorted({r[0] for r in rows})
+    grams = count_grams(bags.groupBy("lang", "word").agg(F.sum("n").alias("n"))).toArrow().sort_by([("size", "ascending"), ("key", "ascending"), ("lang", "ascending")])
+    languages = sorted(grams["lang"].unique().to_pylist())
     if not languages:
         return Model([])
-    model = build(rows, languages)
+    sizes, language = grams["size"].to_numpy(), pc.index_in(grams["lang"], pa.array(languages)).to_numpy()
+    columns = [language, *(grams[c].to_numpy() for c in ("key", "shorter", "context", "begin", "total"))]
+    ends = np.searchsorted(sizes, np.arange(1, ORDER + 2))
+    model = assemble(languages, [[c[low:high] for c in columns] for low, high in zip(ends, ends[1:])])
+    del grams, columns
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entropy, chars = entropies(shared.value, batch.column(1).to_pylist())
-            best = entropy.argmin(1)
-            right = [shared.value.languages[b] == name for b, name in zip(best, batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(right, pa.bool_()), pa.array(best, pa.int64()), pa.array(entropy.min(1)), pa.array(_margin(entropy, chars)),
-                                              pa.array(chars, pa.int64())], names=["right", "best", "entropy", "margin", "chars"])
+            for low in range(0, batch.num_rows, 1024):
+                some = batch.slice(low, 1024)
+                entropy, chars = entropies(shared.value, some.column(1).to_pylist())
+                best = entropy.argmin(1)
+                right = [shared.value.languages[b] == name for b, name in zip(best, some.column(0).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(right, pa.bool_()), pa.array(best, pa.int64()), pa.array(entropy.min(1)), pa.array(_margin(entropy, chars)),
+                                                  pa.array(chars, pa.int64())], names=["right", "best", "entropy", "margin", "chars"])
 
-    seen = chosen.where("fold = 1").select("lang", "text").mapInArrow(measure, "right boolean, best long, entropy double, margin double, chars long").where("chars > 0").toPandas()
+    seen = cut_lineage(chosen.where("fold = 1").select("lang", "text").mapInArrow(measure, "right boolean, best long, entropy double, margin double, chars long").where("chars > 0"))
     model.highest = np.full(len(languages), np.inf)
-    if len(seen):
-        right = seen["right"].to_numpy(bool)
-        model.scale, model.shift = fit_scale(seen["margin"].to_numpy(float), right)
-        for i in range(len(languages)):
-            own = seen.loc[right & (seen["best"] == i), "entropy"]
-            if len(own):
-                model.highest[i] = float(own.max()) + SLACK
+    fitted = fit_scale_of(seen, "margin", "right")
+    if fitted:
+        model.scale, model.shift = fitted
+        for r in seen.where("right").groupBy("best").agg(F.max("entropy").alias("own")).collect():  # one row per language
+            model.highest[r.best] = r.own + SLACK
     return model
 
 
@@ -230,7 +275,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     could be learned. Only the text decides, so repeated rows agree; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # as large as the bounded training sample makes it
+    shared = spark.sparkContext.broadcast(model)  # as large as the different grams of five letters make it
     added = ["lang_pred", "score", "rejected"]
     held = [c for c in docs.columns if c.lower() not in added]
     names = [f"c{i}" for i in range(len(held))]

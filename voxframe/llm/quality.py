@@ -1,6 +1,6 @@
 """Quality rules: hashed word and character n-gram logistic regression on labelled rows.
 
-The model is fitted on a bounded sample of labelled rows, its scores are turned into probabilities on rows
+The model is fitted on a bounded sample of labelled rows or, in shards, on all of them; its scores are turned into probabilities on rows
 kept apart from the fit, and whole tables are scored in Arrow batches against fixed thresholds. Beside the
 model stand plain counts of words, symbols, repeated lines and repeated word windows.
 """
@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
+
 BITS = 16                  # hash space of each of the four n-gram families
 CHAR_SIZES = (3, 4)        # in bytes
 MAX_LABELLED = 3000        # expected rows of the sample that the model is fitted on
 HELD_APART = 3             # every third sampled row calibrates instead
 EPOCHS = 6
+SHARD = 2000               # rows that one task learns from where all labelled rows are used
 MIN_PER_CLASS = 5          # with fewer labelled rows of a class there is no model, and it rejects nothing
 REJECT_AT = 0.8            # calibrated probability of low quality
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -151,12 +154,27 @@ def fit_scale(margins: np.ndarray, low: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.0) / spread), float(b)
 
 
-def fit(rows: list[tuple[bool, np.ndarray, np.ndarray]]) -> Model | None:
-    """``rows``: (low quality, feature numbers, values). Adaptive gradient steps, row by row in the given order."""
-    train = [r for i, r in enumerate(rows) if i % HELD_APART]
-    apart = [r for i, r in enumerate(rows) if i % HELD_APART == 0]
-    if min(sum(r[0] for r in part) for part in (train, apart)) < MIN_PER_CLASS or min(sum(not r[0] for r in part) for part in (train, apart)) < MIN_PER_CLASS:
+def fit_scale_of(rows: DataFrame, margin: str, label: str) -> tuple[float, float] | None:
+    """``fit_scale`` by sums over stored rows, however many; None without rows."""
+    first = rows.agg(F.count_if(label).alias("n1"), F.count_if(~F.col(label)).alias("n0"), F.stddev_pop(margin).alias("spread")).first()
+    if not first.n1 + first.n0:
         return None
+    spread = first.spread or 1.0
+    x, target = F.col(margin) / spread, F.when(F.col(label), (first.n1 + 1) / (first.n1 + 2)).otherwise(1 / (first.n0 + 2))
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + F.exp(-F.greatest(F.least(a * x + b, F.lit(50.0)), F.lit(-50.0))))
+        w = F.greatest(p * (1 - p), F.lit(1e-9))
+        sums = rows.select(x.alias("x"), (p - target).alias("s"), w.alias("w")).agg(*[F.sum(F.expr(e)) for e in ("s * x", "s", "w * x * x", "w * x", "w")]).first()
+        step = np.linalg.solve(np.array([[sums[2] + 1e-3, sums[3]], [sums[3], sums[4] + 1e-6]]), np.array([sums[0] + 1e-3 * a, sums[1]]))
+        a, b = float(a - np.clip(step[0], -2, 2)), float(b - np.clip(step[1], -2, 2))
+        if np.abs(step).max() < 1e-8:
+            break
+    return round(max(a, 0.0) / spread, 9), round(b, 9)  # the order of summation is left to chance
+
+
+def learn(train: list[tuple[bool, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, float]:
+    """Weights and bias by adaptive gradient steps, row by row in the given order."""
     weights, squares = np.zeros(FAMILIES << BITS), np.full(FAMILIES << BITS, 1e-8)
     bias, bias_square = 0.0, 1e-8
     for epoch in range(EPOCHS):
@@ -169,14 +187,77 @@ def fit(rows: list[tuple[bool, np.ndarray, np.ndarray]]) -> Model | None:
             weights[index] -= 2.0 * step / np.sqrt(squares[index]) * (np.abs(slope) > 1e-4)
             bias_square += slope * slope
             bias -= 0.2 * slope / np.sqrt(bias_square)
+    return weights, bias
+
+
+def fit(rows: list[tuple[bool, np.ndarray, np.ndarray]]) -> Model | None:
+    """``rows``: (low quality, feature numbers, values). Adaptive gradient steps, row by row in the given order."""
+    train = [r for i, r in enumerate(rows) if i % HELD_APART]
+    apart = [r for i, r in enumerate(rows) if i % HELD_APART == 0]
+    if min(sum(r[0] for r in part) for part in (train, apart)) < MIN_PER_CLASS or min(sum(not r[0] for r in part) for part in (train, apart)) < MIN_PER_CLASS:
+        return None
+    weights, bias = learn(train)
     margins = np.array([weights[index] @ value.astype(float) + bias for _, index, value in apart])
     return Model(weights, bias, *fit_scale(margins, np.array([r[0] for r in apart])))
 
 
+def text_features(reader: Reader, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of a text and their shares of their family."""
+    parts = [np.unique(f, return_counts=True) for f in reader.read(text)[1] if len(f)]
+    return (np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]).astype("<u4"),
+            np.concatenate([p[1] / p[1].sum() for p in parts] or [np.zeros(0)]).astype("<f4"))
+
+
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, low); a document with several labels counts as low when one of them says so."""
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("low"))
+
+
+def train_all(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on all labelled rows, null labels, ids and texts left out: a third calibrates, the others are split by a hash of doc_id
+    to shards of about ``SHARD`` rows. Every shard is learnt from by a task of its own and the weights are averaged."""
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(labelled(labels), "doc_id").withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_APART)) == 0)
+    sizes = {r.apart: r for r in rows.groupBy("apart").agg(F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("high")).collect()}
+    if len(sizes) < 2 or min(n for r in sizes.values() for n in (r.low, r.high)) < MIN_PER_CLASS:
+        return None
+    shards = max(1, round((sizes[False].low + sizes[False].high) / SHARD))
+
+    def shard_weights(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        reader, got = Reader(), []
+        for low, text in zip(table["low"].to_pylist(), table["text"]):
+            got.append((low, *text_features(reader, text.as_py())))
+        weights, bias = learn([got[i] for i in np.random.default_rng(7).permutation(len(got))])
+        parts = [*np.split(weights, FAMILIES), np.array([bias])]
+        return pa.table({"shard": table["shard"].slice(0, 1).take(pa.array([0] * len(parts))), "part": pa.array(range(len(parts)), pa.int64()), "value": pa.array([p.astype("<f8").tobytes() for p in parts], pa.binary())})
+
+    def average(table: pa.Table) -> pa.Table:
+        total = 0.0
+        for value in table.sort_by("shard")["value"]:
+            total = total + np.frombuffer(value.as_buffer(), "<f8")
+        return pa.table({"part": table["part"].slice(0, 1), "value": pa.array([(total / table.num_rows).tobytes()], pa.binary())})
+
+    split = rows.where("NOT apart").select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "doc_id", "text", "low")
+    parts = split.groupBy("shard").applyInArrow(shard_weights, "shard long, part long, value binary")
+    means = parts.groupBy("part").applyInArrow(average, "part long, value binary").toArrow().sort_by("part")["value"]  # a fixed number of weights
+    means = [np.frombuffer(v.as_buffer(), "<f8") for v in means]
+    model = Model(np.concatenate(means[:-1]), float(means[-1][0]), 1.0, 0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            found = [shared.value.margin(reader.read(text.as_py())[1]) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["low", "margin"])
+
+    seen = cut_lineage(rows.where("apart").select("low", "text").mapInArrow(margins, "low boolean, margin double"))
+    return replace(model, **dict(zip(("scale", "shift"), fit_scale_of(seen, "margin", "low"))))
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model | None:
     """Fit on about ``most`` labelled rows (a bounded sample, chosen by a hash of doc_id). Null labels, ids and texts are left out;
     a document with several labels counts as low when one of them says so."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).alias("low"))
+    known = labelled(labels)
     share = min(1.0, most / max(1, known.count()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     sample = known.where(place < int(share * (1 << 20)))
@@ -187,9 +268,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> Model
         for batch in batches:
             index, values = [], []
             for text in batch.column("text"):
-                parts = [np.unique(f, return_counts=True) for f in reader.read(text.as_py())[1] if len(f)]
-                index.append(np.concatenate([p[0] for p in parts] or [np.zeros(0, np.int64)]).astype("<u4").tobytes())
-                values.append(np.concatenate([p[1] / p[1].sum() for p in parts] or [np.zeros(0)]).astype("<f4").tobytes())
+                found, shares = text_features(reader, text.as_py())
+                index.append(found.tobytes())
+                values.append(shares.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("low"), pa.array(index, pa.binary()), pa.array(values, pa.binary())],
                                              names=["doc_id", "low", "index", "value"])
 
