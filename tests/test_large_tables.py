@@ -1,11 +1,14 @@
 """Results that only larger or odder tables than the smallest scale show."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxframe.operators import ranking, similarity as sim, stats
-from voxframe.sources import points as ps
+from voxframe.grid import Grid
+from voxframe.operators import ranking, similarity as sim, stats, transforms
+from voxframe.sources import points as ps, volumes
 
 
 def test_limits_of_weighted_pairs_are_exact(spark):
@@ -125,3 +128,36 @@ def test_fixed_growth_and_its_sql_stop_at_pixels_of_lower_markers(spark, tmp_pat
     con = duckdb.connect()
     con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
     assert set(con.execute(query.sql).fetchall()) == found
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_jacobian_makes_no_rows_for_neighbours(spark):
+    """Every voxel used to be sent to six places."""
+    field = spark.range(125).selectExpr("0L as volume_id", "id div 25 as i", "id div 5 % 5 as j", "id % 5 as k").selectExpr("*", "0.5 * i as dx", "0.1 * i as dy", "double(-0.2 * k) as dz")
+    out = transforms.jacobian_map(field.where("NOT (i = 2 AND j = 2 AND k = 0)"))
+    assert "Generate" not in plan_of(out)
+    assert {(r.i, r.j, r.k): round(r.value, 9) for r in out.collect()} == {(i, j, k): 1.2 for i in (1, 2, 3) for j in (1, 2, 3) for k in (1, 2, 3) if (i, j, k) != (2, 2, 1)}
+
+
+def test_voxels_of_patches_do_not_carry_their_box(spark, tmp_path):
+    """Name, matrix and box of a patch used to be joined to each of its voxels."""
+    voxels = spark.createDataFrame([(0, 1, 2, 0, 5.0)], "volume_id long, i long, j long, k long, value double")
+    boxes = spark.createDataFrame([(0, n, 0, 1, 0, 4, 4 * n, 4 * n + 4) for n in range(2)], "volume_id long, patch_index long, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long")
+    out = volumes.write_patches(voxels, boxes, Grid.regular((8, 4, 1)), str(tmp_path))
+    assert not [line for line in plan_of(out).splitlines() if "Join" in line and re.search(r"\(patch_index#\d+L? = patch_index#", line)]
+    assert sorted((r.patch_index, r.n_voxels) for r in out.collect()) == [(0, 1), (1, 0)]
+
+
+def test_labels_of_patches_are_computed_once(spark):
+    """The merged volume used to cut the patches again for each of its inputs."""
+    from voxframe.plans.workflows import merge_patches
+
+    labels = spark.range(2 * 6 * 6).selectExpr("0L as volume_id", "id div 36 as patch_index", "id div 6 % 6 + 4 * (id div 36) as i", "id % 6 as j", "0L as k", "1L as local_label")
+    boxes = spark.createDataFrame([(0, n, 0, 1, 0, 6, 4 * n, 4 * n + 6) for n in range(2)], "volume_id long, patch_index long, z0 long, z1 long, y0 long, y1 long, x0 long, x1 long")
+    sizes = spark.createDataFrame([(0, 10, 6, 1)], "volume_id long, nx long, ny long, nz long")
+    merged = merge_patches(labels, boxes, sizes)["labels"]
+    assert "Range (" not in plan_of(merged)
+    assert {(r.i, r.j): r.label for r in merged.collect()} == {(i, j): 1 for i in range(10) for j in range(6)}
