@@ -193,13 +193,14 @@ def write_patches(voxels: DataFrame, patches: DataFrame, grids: Grid | DataFrame
 
     box = [f"{a}{n}" for a in "xyz" for n in (0, 1)]
     boxes = patch_grids(patches.select("volume_id", "patch_index", *box), grid_rows(patches, grids) if isinstance(grids, Grid) else grids)
-    boxes = patch_file_name(boxes).select("volume_id", "patch_index", "name", "affine", "unit", *box)
     inside = cut_patches(voxels.select("volume_id", "i", "j", "k", F.col("value").cast("double").alias("value")), patches.select("volume_id", "patch_index", *box))
-    marks = patches.select("volume_id", "patch_index", *[F.lit(None).cast("long").alias(c) for c in "ijk"], F.lit(None).cast("double").alias("value"))
-    rows = inside.select(*marks.columns).unionByName(marks).join(boxes, ["volume_id", "patch_index"])
+    # one row per patch carries its box and name; voxels carry their place and value only
+    marks = patch_file_name(boxes).select("volume_id", "patch_index", *[F.lit(None).cast("long").alias(c) for c in "ijk"], F.lit(None).cast("double").alias("value"),
+                                          F.struct("volume_id", "patch_index", "name", "affine", "unit", *box).alias("box"))
+    rows = marks.unionByName(inside.select("volume_id", "patch_index", "i", "j", "k", "value"), allowMissingColumns=True)
 
     def write(table: pa.Table) -> pa.Table:
-        box = {c: table[c][0].as_py() for c in table.column_names if c not in ("i", "j", "k", "value")}
+        box = table["box"].drop_null()[0].as_py()
         shape = tuple(box[f"{a}1"] - box[f"{a}0"] for a in "xyz")
         data = np.zeros(shape, order="F")
         held = table.filter(table["i"].is_valid())
