@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from compare import compare
 from test_jaccard import brute as components
@@ -69,6 +70,20 @@ def test_pieces_fill_few_sequences(stages):
     assert len({r.sequence_id for r in got}) == len(best_fit(lengths.values(), 2048))
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.quality_rules, corpus_pipeline.best_fit_packing])
+def test_texts_reach_python_in_small_batches(spark, stage):
+    """A batch of 10,000 texts used to be held as a whole, several times over."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1200) AS text", "'en' AS lang", "'web' AS source", "6000 AS n_chars")
+    stage(spark, docs, FOLDER)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    got = docs.select("doc_id", "text").mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 5 << 20
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_queries_equal_their_sql(spark, name):
     class Query:
