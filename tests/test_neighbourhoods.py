@@ -152,6 +152,23 @@ def test_region_grow(voxels, moving):
     assert {(r.i, r.j): r.label for r in out.collect()} == grown_by_rings(image, markers, mask, 6.0, 4, moving)
 
 
+def test_regions_grow_without_a_call_per_marker(spark, voxels):
+    """Windows that go on in the next batch are grown as a whole; every marker used to be a group of its own for Python."""
+    rng = random.Random(4)
+    image = {(i, j): float(rng.randrange(20)) for i in range(N) for j in range(N)}
+    mask = random_mask(2, 0.8)
+    markers = {p: n + 1 for n, p in enumerate(rng.sample(sorted(image), 9))}
+    free = voxels([(*p, 1, v, False, p in mask) for p, v in image.items()], "label long, value double, own boolean, usable boolean")
+    assert "FlatMapGroups" not in regions._spread_claims(free, 6.0)._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = regions.region_grow(voxels([(*p, v) for p, v in image.items()]), voxels([(*p, v) for p, v in markers.items()], "label long"),
+                                  voxels(mask, ""), GRID, 6.0, 4)
+        assert {(r.i, r.j): r.label for r in out.collect()} == grown_by_rings(image, markers, mask, 6.0, 4, True)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_closing_contains_its_input_and_the_edge_is_no_boundary(voxels):
     grid, full = Grid.regular((5, 5, 1)), {(i, j) for i in range(5) for j in range(5)}
     assert pixels(mo.closing(voxels(full, ""), grid, 1, 2)) == full
