@@ -81,3 +81,21 @@ def test_blocks(voxels, factor):
     got = {r.i: r.block_i for r in cells.block_of_voxel(voxels([(i, 0) for i in range(30)], ""), (factor, 1.0), (40, 1)).collect()}
     wanted = {i: b for b in range(40) for i in range(int(b * factor), int((b + 1) * factor)) if i < 30}
     assert got == wanted
+
+
+def test_copies_are_blurred_and_scaled_without_a_shuffle_by_copy(spark):
+    """The cells used to meet their sigma, their scale and their range in three joins of the whole table."""
+    grid = Grid.regular((6, 5, 4))
+    image = spark.createDataFrame([(v, i, j, k, float(i * j + k + v)) for v in (1, 2) for i in range(6) for j in range(5) for k in range(4)],
+                                  "volume_id long, i long, j long, k long, value double")
+    box = spark.createDataFrame([(v, 6.0, 5.0, 4.0, 2.5, 2.0, 1.5) for v in (1, 2)],
+                                "volume_id long, extent_x double, extent_y double, extent_z double, center_x double, center_y double, center_z double")
+    parameters = transforms.augmentation_parameters(box, copies=3).withColumns({"blur": F.lit(0.5), "scale": F.lit(1.0), "bias": F.lit(2.0), "noise": F.lit(0.0)})
+    got = transforms.augment_volumes(image, parameters, grid, intensity=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "strategy=broadcast" in plan
+    plain = transforms.augment_volumes(image, parameters, grid)
+    blurred = transforms.blur_copies(plain, parameters.select("volume_id", "copy", F.col("blur").alias("sigma")), grid)
+    wanted = {(r.volume_id, r["copy"], r.i, r.j, r.k): r.value + 2.0 for r in blurred.collect()}
+    found = {(r.volume_id, r["copy"], r.i, r.j, r.k): r.value for r in got.collect()}
+    assert len({key[:2] for key in found}) == 6 and found == pytest.approx(wanted)
