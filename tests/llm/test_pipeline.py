@@ -7,6 +7,9 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from compare import compare
+from pyspark import SparkContext
+from pyspark.sql.classic.dataframe import DataFrame
+from pyspark.sql.readwriter import DataFrameWriter
 from test_jaccard import brute as components
 from test_packing import best_fit
 from test_quality import brute as facts
@@ -84,6 +87,26 @@ def test_texts_reach_python_in_small_batches(spark, stage):
     assert sum(r.rows for r in got) == 3000 and max(r.bytes for r in got) <= 5 << 20
 
 
+def python_on_python(plan, above=False):
+    """Does a Python step take the rows of another one in the same task?"""
+    python = "InArrow" in plan.nodeName()
+    if python and above:
+        return True
+    above = python or (above and plan.nodeName() not in ("Aggregate", "Join"))
+    return any(python_on_python(plan.children().apply(k), above) for k in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_a_core_keeps_one_python_worker(spark, stages, stage, monkeypatch):
+    """A second Python step in a task, or rows of Python objects, start workers that stay and grow beside the first ones."""
+    plans, checkpoint, parquet = [], DataFrame.checkpoint, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a, **b: plans.append(df) or checkpoint(df, *a, **b))
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda w, *a, **b: plans.append(w._df) or parquet(w, *a, **b))
+    monkeypatch.setattr(SparkContext, "parallelize", lambda *a, **b: pytest.fail("rows of Python objects"))
+    store(corpus_pipeline.STAGES[stage][1](spark, stages[stage], FOLDER), "one-worker")
+    assert plans and not any(python_on_python(df._jdf.queryExecution().optimizedPlan()) for df in plans)
+
+
 @pytest.mark.parametrize("name", [n for n in QUERIES if n in ORACLES])
 def test_queries_equal_their_sql(spark, name):
     class Query:

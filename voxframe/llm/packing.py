@@ -248,8 +248,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     runs, _ = plan_bins(counts, capacity)
-    plan = spark.createDataFrame([(r.length, r.from_rank, r.to_rank, r.first_bin, r.per_bin, r.base) for r in runs],
-                                 "length long, from_rank long, to_rank long, first_bin long, per_bin long, base long")
+    names = ["length", "from_rank", "to_rank", "first_bin", "per_bin", "base"]
+    # as an Arrow table: rows of Python objects would go through workers of another kind, which stay beside those of the queries
+    plan = spark.createDataFrame(pa.table({name: pa.array([getattr(r, name) for r in runs], pa.int64()) for name in names}))
     order = [c for c in ("doc_id", "piece") if c in pieces.columns]
     numbered = number_rows(pieces, ["length"], "part", order)
     # the plan has a few runs for each length, however many pieces there are
