@@ -63,3 +63,14 @@ def test_room_does_not_grow_with_the_poses(spark):
     rows = many.agg(F.count("*"), F.sum("n")).first()
     assert few.count() == 8 and rows[0] == 144
     assert size() - middle < rows[1] * 8, (middle - before, size() - middle)  # two numbers a pair are 16 bytes
+
+
+def test_voxels_travel_in_pieces(spark, monkeypatch):
+    """A row per voxel, with its place and that of both blocks, took most of the room of every pass."""
+    fixed, moving = images(spark, False)
+    met, tally = [], posed.tally_pairs
+    monkeypatch.setattr(posed, "tally_pairs", lambda voxels, *rest: met.append(voxels) or tally(voxels, *rest))
+    registration.score_candidates(fixed, moving, poses_of(spark, 90), GRID).collect()
+    assert len(met) == 3
+    for voxels in met:
+        assert voxels.count() * 10 < fixed.count() + moving.count() == voxels.agg(F.sum(F.size("cells"))).first()[0]

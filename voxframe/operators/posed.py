@@ -8,6 +8,7 @@ without a moving voxel are the same for all poses, so they are counted once per
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 from itertools import product
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.validity import is_finite
 from ..grid import Grid, attach_grid
 from ..session import cut_lineage, keep_table
-from .blocks import PLACE, on_blocks, placed, slots
+from .blocks import PLACE, on_blocks, placed
 from .ranking import join_groups, quantiles
 from .resample import INDEX, cells_of_block, geometry_of, requested, resample_jobs, target_box, weighted_sums
 from .similarity import FLAT, cells_of_ranks, quantiles_in_cells
@@ -30,6 +31,7 @@ WANTED = {"lo": 0.01, "hi": 0.99}
 SIDE = 64     # of a block on both grids
 CELLS = 128   # of the moving image's range
 AT_ONCE = 64  # poses whose counts leave a task together
+PIECE = 500   # voxels of a block that go together
 
 
 def between_blocks(asked: DataFrame) -> DataFrame:
@@ -51,17 +53,44 @@ def between_blocks(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(reach, schema)
 
 
+def in_pieces(voxels: DataFrame, place: Sequence[str], reach: int = 0) -> DataFrame:
+    """(volume_id, *place, cells, numbers): the voxels of a task by block, up to ``PIECE`` in a row; a cell is numbered in its block,
+    which has ``reach`` further cells of the next ones on every axis.
+
+    Voxels go to the pairs three times, and as rows of their own with their keys they take several times the room.
+    """
+    block = ["volume_id", *place]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            turn = np.zeros(batch.num_rows, dtype=bool)
+            for c in (batch.column(n) for n in range(len(block))):
+                turn[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(turn | (np.arange(batch.num_rows) % PIECE == 0))
+            offsets = pa.array(np.append(first, batch.num_rows).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(len(block) + n)) for n in range(2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(pa.array(first)) for n in range(len(block))), *lists], names=[*block, "cells", "numbers"])
+
+    rows = placed(voxels.dropna(subset=["volume_id"]), INDEX, -reach, 0, SIDE)
+    inner, width = [F.col(c) - F.col(p) * SIDE for c, p in zip(INDEX, PLACE)], SIDE + reach
+    cell = ((inner[0] * width + inner[1]) * width + inner[2]).cast("int")
+    rows = rows.select("volume_id", *[F.col(p).alias(name) for p, name in zip(PLACE, place)], cell.alias("cell"), "value")
+    kind = voxels.schema["volume_id"].dataType.simpleString()
+    return rows.sortWithinPartitions(*block, "cell").mapInArrow(
+        gather, ", ".join([f"volume_id {kind}", *(f"{p} long" for p in place), "cells array<int>", "numbers array<double>"]))
+
+
 def voxels_between(fixed: DataFrame, moving: DataFrame, asked: DataFrame) -> DataFrame:
-    """The voxels of both images at every pair of blocks that some pose connects."""
+    """The voxels of both images (``in_pieces``) at every pair of blocks that some pose connects."""
     def others(here: Sequence[str], there: Sequence[str]) -> DataFrame:
         return asked.groupBy("volume_id", *here).agg(F.collect_set(F.struct(*there)).alias("_others"))
 
-    at_target = fixed.select("volume_id", *INDEX, F.col("a").alias("value"), *[F.floor(F.col(c) / SIDE).cast("long").alias(t) for c, t in zip(INDEX, TARGET)])
-    at_source = placed(moving.select("volume_id", *INDEX, F.col("value").cast("double").alias("value")), INDEX, -1, 0, SIDE)
     sides = []
-    for voxels, here, there in ((at_target, TARGET, PLACE), (at_source, PLACE, TARGET)):
-        met = join_groups(voxels, others(here, there), ["volume_id", *here]).withColumn("_other", F.explode("_others"))
-        sides.append(met.select("volume_id", *INDEX, "value", *here, *[F.col(f"_other.{c}").alias(c) for c in there], F.lit(here is TARGET).alias("fixed")))
+    for pieces, here, there in ((fixed, TARGET, PLACE), (moving, PLACE, TARGET)):
+        met = join_groups(pieces, others(here, there), ["volume_id", *here]).withColumn("_other", F.explode("_others"))
+        sides.append(met.select("volume_id", "cells", "numbers", *here, *[F.col(f"_other.{c}").alias(c) for c in there], F.lit(here is TARGET).alias("fixed")))
     return sides[0].unionByName(sides[1])
 
 
@@ -74,16 +103,17 @@ def tally_pairs(voxels: DataFrame, asked: DataFrame, tally: Callable, schema: st
         here, moving = table.filter(table["fixed"]), table.filter(pc.invert(table["fixed"]))
         if not moving.num_rows:
             return None
-        values = moving["value"].combine_chunks()
+        flat = lambda column: pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], column.type.value_type)
+        values = flat(moving["numbers"])
         known = values.is_valid().to_numpy(zero_copy_only=False)
         numbers = np.where(known, values.to_numpy(zero_copy_only=False), 0.0)
+        place = np.full((SIDE + 1,) * 3, -1, dtype=np.int32)
+        place[np.unravel_index(flat(moving["cells"]).to_numpy(), place.shape)] = np.arange(len(values), dtype=np.int32)
         first = [SIDE * table[c][0].as_py() for c in TARGET]
-        cell = np.zeros(here.num_rows, np.int64)
-        for c, begin in zip(INDEX, first):
-            cell = cell * SIDE + here[c].to_numpy() - begin
+        cell = flat(here["cells"]).to_numpy().astype(np.int64)
         order = np.argsort(cell, kind="stable")
         count = np.bincount(cell, minlength=SIDE ** 3)
-        return slots(moving, INDEX, corner, 1, 0, SIDE), known, numbers, first, here["value"].to_numpy()[order], count, np.cumsum(count) - count
+        return place, known, numbers, first, flat(here["numbers"]).to_numpy()[order], count, np.cumsum(count) - count
 
     def answer(corner, state, requests):
         if state is None:
@@ -171,7 +201,7 @@ def _joint(bins: int):
         there = np.bincount(bin_a[fa & fb] * bins + _bin(b[fa & fb], *limits[2:], bins), minlength=bins * bins)
         there[np.arange(bins) * bins + zero] -= np.bincount(bin_a[fa & matched], minlength=bins)
         code = np.flatnonzero(there)
-        return [pa.array([code], pa.list_(pa.int32())), pa.array([there[code]], pa.list_(pa.int64()))]
+        return [pa.array([zlib.compress(np.stack((code, there[code])).astype("<i8").tobytes(), 1)], pa.binary())]
 
     return tally
 
@@ -179,8 +209,15 @@ def _joint(bins: int):
 def _information(bins: int, minimum: int):
     """MI of one pose from its parts of the joint histogram, each of at most bins² cells."""
     def merged(table: pa.Table) -> pa.Table:
-        lists = [table[c].combine_chunks().flatten().to_numpy() for c in ("codes", "counts")]
-        joint = np.bincount(lists[0], lists[1], minlength=bins * bins).reshape(bins, bins)
+        joint = np.zeros(bins * bins)
+        for codes, counts in zip(table["codes"], table["counts"]):
+            if codes.is_valid:
+                np.add.at(joint, codes.values.to_numpy(), counts.values.to_numpy())
+        for packed in table["packed"]:
+            if packed.is_valid:
+                codes, counts = np.frombuffer(zlib.decompress(packed.as_buffer()), "<i8").reshape(2, -1)
+                joint[codes] += counts
+        joint = joint.reshape(bins, bins)
         total, n_a, n_b = joint.sum(), joint.sum(1), joint.sum(0)
         x, y = np.nonzero(joint > 0)
         n = joint[x, y]
@@ -219,6 +256,8 @@ def pose_similarity(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid:
     moving = keep_table(moving.select("volume_id", *INDEX, F.col("value").cast("double").alias("value")), "moving")
     usable = known.where(is_finite(F.col("a")))
     volumes = attach_grid(fixed.select("volume_id").distinct(), grid, "g_").select("volume_id", (F.col("g_nx") * F.col("g_ny") * F.col("g_nz")).alias("n_cells"))
+    fixed_pieces = keep_table(in_pieces(known.withColumnRenamed("a", "value"), TARGET), "fixed-pieces")
+    moving_pieces = keep_table(in_pieces(moving, PLACE, 1), "moving-pieces")
     volumes = volumes.join(known.groupBy("volume_id").agg(F.count("*").alias("rows_n")), "volume_id", "left")
     volumes = volumes.join(usable.groupBy("volume_id").agg(F.count("*").alias("fixed_n"), F.avg("a").alias("shift_a"), F.var_pop("a").alias("fixed_var")), "volume_id", "left")
     volumes = volumes.join(moving.where(is_finite(F.col("value"))).groupBy("volume_id").agg(
@@ -228,7 +267,7 @@ def pose_similarity(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid:
     jobs = resample_jobs(poses.select(*KEYS, "matrix"), moving_grid, grid, F.col("matrix"), KEYS)
     ranges = volumes.select("volume_id", "shift_a", "shift_b", "first_b", "last_b")
     asked = cut_lineage(between_blocks(requested(jobs.join(ranges, "volume_id"), [*KEYS, "shift_a", "shift_b", "first_b", "last_b"], SIDE)))
-    voxels = voxels_between(known, moving, asked)
+    voxels = voxels_between(fixed_pieces, moving_pieces, asked)
 
     # moments, and the histogram of b over the range of the moving image
     parts = cut_lineage(tally_pairs(voxels, asked, _moments, ", ".join([*(f"{c} double" for c in SUMS), "cells array<long>", "counts array<long>"])))
@@ -246,7 +285,7 @@ def pose_similarity(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid:
     cells = parts.select(*KEYS, F.explode(F.arrays_zip("cells", "counts")).alias("c")).select(*KEYS, F.col("c.cells").alias("cell"), F.col("c.counts").alias("n")).unionByName(zeros)
     kept = cut_lineage(cells_of_ranks(cells.groupBy(*KEYS, "cell").agg(F.sum("n").alias("n")), KEYS, WANTED))
     search = asked.join(kept.groupBy(*KEYS).agg(F.collect_set("cell").alias("cells")), KEYS, "left")
-    found = cut_lineage(tally_pairs(voxels, search, _values, "side string, cell long, v double, n long").groupBy(*KEYS, "side", "cell", "v").agg(F.sum("n").alias("n")))
+    found = keep_table(tally_pairs(voxels, search, _values, "side string, cell long, v double, n long").groupBy(*KEYS, "side", "cell", "v").agg(F.sum("n").alias("n")), "found")
     values = found.where("side = 'b'").drop("side").unionByName(zeros.select(*KEYS, "cell", F.lit(0.0).alias("v"), "n"))
     counted = values.join(kept, [*KEYS, "cell"]).groupBy(*KEYS, "cell", "_before", "_count", "v").agg(F.sum("n").alias("n"))
     limits_b = quantiles_in_cells(counted, KEYS, WANTED).toDF(*KEYS, "lo_b", "hi_b")
@@ -270,7 +309,7 @@ def pose_similarity(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid:
     limits = cut_lineage(limits_a.join(limits_b, KEYS).where((F.col("hi_a") - F.col("lo_a") >= FLAT) & (F.col("hi_b") - F.col("lo_b") >= FLAT)))
 
     # the joint histogram
-    there = tally_pairs(voxels, asked.join(limits, KEYS), _joint(bins), "codes array<int>, counts array<long>")
+    there = tally_pairs(voxels, asked.join(limits, KEYS), _joint(bins), "packed binary")
 
     def bin_of(x, side: str):
         low, high = F.col(f"lo_{side}"), F.col(f"hi_{side}")
@@ -285,5 +324,5 @@ def pose_similarity(fixed: DataFrame, moving: DataFrame, poses: DataFrame, grid:
     base = base.select(*KEYS, bars.alias("bars"), bin_of(F.lit(0.0), "b").alias("zero")).select(
         *KEYS, F.transform("bars", lambda x: x["bin_a"] * bins + F.col("zero")).alias("codes"), F.transform("bars", lambda x: x["n"]).alias("counts"))
     kinds = ", ".join(f"{k} {stats.schema[k].dataType.simpleString()}" for k in KEYS)
-    mi = there.unionByName(base).groupBy(*KEYS).applyInArrow(_information(bins, minimum), f"{kinds}, mi double")
+    mi = there.unionByName(base, allowMissingColumns=True).groupBy(*KEYS).applyInArrow(_information(bins, minimum), f"{kinds}, mi double")
     return scores.join(mi, KEYS, "left")
