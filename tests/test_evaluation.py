@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxframe.grid import Grid, IDENTITY
+from voxframe.operators import ranking, registration, similarity
 
 
 def test_evaluation_returns_mutual_information(spark):
@@ -51,3 +53,49 @@ def test_evaluate_registration_on_the_native_grid(spark, voxels):
         for name, b in moving.items():
             for scope, at in (("global", a >= 0), ("mask", a > 300)):
                 assert (row[f"mi_{scope}_{name}"], row[f"ncc_{scope}_{name}"]) == pytest.approx(scores(a[at], b[at]), abs=1e-8)
+
+
+def test_maps_are_made_once(spark):
+    """The maps were made from their source again for each of the inputs and steps, with a shuffle each."""
+    from voxframe.plans.catalog import REGISTRY
+
+    out = REGISTRY["evaluate_transforms"].run(spark, "/root/testdata/sf0.001")
+    assert not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_pairs_of_more_volumes_than_few_groups_are_not_shuffled(spark, monkeypatch):
+    """Beyond 10,000 key sets all pairs were shuffled for their ends, once more for each side and cell, and for their limits."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(ranking, "FEW_GROUPS", 1)
+    pairs = spark.range(0, 4000, 1, 8).selectExpr("id % 2 as g", "double(id % 101) as a", "double(id % 97) as b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = similarity.mutual_information(pairs, ["g"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan
+    every = np.arange(4000)
+    for r in out.collect():
+        x = every[every % 2 == r.g]
+        assert r.mi == pytest.approx(scores(x % 101 * 1.0, x % 97 * 1.0)[0], abs=1e-8)
+
+
+def test_pairs_by_block_are_those_of_the_joins(spark, voxels):
+    """Repeated, missing and null voxels, cells of the mask without any, a volume without a fixed voxel; blocks of both signs."""
+    rng = np.random.default_rng(8)
+    grid = Grid.regular((70, 3, 2))
+    at = lambda n: [tuple(int(x) for x in rng.integers((-2, 0, 0), (72, 3, 2))) for _ in range(n)]
+    fixed = voxels([(*c, None if n % 9 == 0 else float(n)) for n, c in enumerate(at(120))], dims=3).unionByName(voxels([(0, 0, 0, 5.0)], dims=3, volume=2))
+    cells = lambda: sorted({(abs(i) % 70, j, k) for i, j, k in at(150)})
+    moved = None
+    for volume, image in ((0, "a"), (0, "b"), (1, "a"), (2, "b")):
+        one = voxels([(*c, None if n % 7 == 0 else float(-n)) for n, c in enumerate(cells())], dims=3, volume=volume).withColumn("image", F.lit(image))
+        moved = one if moved is None else moved.unionByName(one)
+    mask = voxels([(*c,) for c in at(100)], columns="", dims=3)
+    names = moved.select("volume_id", "image").distinct()
+    joined = similarity.scoped(registration.sparse_pairs(fixed, moved, names, "image", grid), mask.distinct())
+    pairs = registration.masked_pairs(fixed, moved, mask, names, grid)
+    rows = lambda df: sorted(map(tuple, df.select("volume_id", "image", "a", "b").collect()))
+    assert rows(pairs) == rows(joined.where("scope = 'global'")) and rows(pairs.where("inside")) == rows(joined.where("scope = 'mask'"))
+    assert pairs.where("inside").count() > 20
