@@ -3,7 +3,9 @@
 import hashlib
 import re
 
-from voxframe.llm import pii, secrets
+from pyspark.sql import functions as F
+
+from voxframe.llm import pii, secrets, spans
 
 digits = lambda x: re.sub("[^0-9]", "", x)
 
@@ -136,3 +138,18 @@ def test_many_matches_in_one_text(spark):
     assert ips.b.before == ("1.2.3.4 " * 6)[-48:] and ips.b.after == (" 1.2.3.4" * 6)[:48]
     found = secrets.find_secrets(docs).where("doc_id = 2").selectExpr("size(base) as n", "base[77777].start as s").first()
     assert tuple(found) == (n, 77777 * 17 + 2)
+
+
+def test_patterns_search_only_texts_that_can_match(spark):
+    """Every pattern used to search every text; most have neither a digit nor an @."""
+    texts = ["Write to a.b@c.de", "no match @ all", "call +49 (0)30 1234567 now", "1.2.3.4", "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00",
+             "phone (030) 12345-678", "\n@\n+1 23456789", "\u0660\u0661 are digits elsewhere", "plain words. And more", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_pii(docs)
+    searched = re.findall(r"(CASE WHEN (?:__pii_digits#\d+|Contains\([^()]+\)) THEN )?regexp_extract_all\(", found._jdf.queryExecution().analyzed().toString())
+    assert len(searched) == len(pii.PATTERNS) and all(searched)
+    every = spans.locate(docs, "text", pii.PATTERNS).select("doc_id", *[F.coalesce(F.size(spans.MATCHES + kind), F.lit(-1)).alias(kind) for kind in pii.PATTERNS]).collect()
+    assert {kind: [r.doc_id for r in every if r[kind] > 0] for kind in pii.PATTERNS} == {
+        "email": [0], "ip": [3], "card": [2, 4, 5, 6, 7], "phone": [2, 7], "iban": [5], "local_phone": [5, 6]}
+    kinds = {r.doc_id: sorted({s.kind for s in r.pii}) for r in found.collect()}
+    assert kinds == {**{n: [] for n in range(len(texts))}, 0: ["email"], 2: ["phone"], 3: ["ip"], 4: ["card"], 5: ["iban"], 6: ["local_phone"], 7: ["phone"]}

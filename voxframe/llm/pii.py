@@ -17,6 +17,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+.(-])\(?0[0-9]{2,4}\)?[\x20/-][0-9][0-9\x20-]{4,12}[0-9](?![0-9])",
 }
+# A character that every match of a kind has; matches of the others have a digit. Texts without it are not searched.
+NEEDED = {"email": "@", "phone": "+", "local_phone": "0"}
 RANK = {kind: rank for rank, kind in enumerate(PATTERNS)}
 OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]|(?<=0))"
 IP = rf"^{OCTET}(?:\.{OCTET}){{3}}$"
@@ -86,7 +88,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     columns of the same names, in letters of either case.
     """
     body = docs.withColumn("__pii_text", F.coalesce(F.col(text), F.lit("")))
-    found = locate(body, "__pii_text", PATTERNS)
+    body = body.withColumn("__pii_digits", F.col("__pii_text").rlike("[0-9]"))  # a column of its own, so it is looked for once
+    needs = lambda kind: F.contains("__pii_text", F.lit(NEEDED[kind])) if kind in NEEDED else F.col("__pii_digits")
+    found = locate(body, "__pii_text", PATTERNS, needs)
     spans = {kind: kept_spans(kind, RANK[kind], lambda m, kind=kind: confirmed(kind, m)) for kind in PATTERNS}
     for kind in set(PATTERNS) - set(BASE):
         spans[kind] = F.filter(spans[kind], lambda s: score(s["kind"], s) >= THRESHOLD)

@@ -23,12 +23,17 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def locate(df: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:
+def locate(df: DataFrame, text: str, patterns: dict[str, str], needs: Callable[[str], Column] | None = None) -> DataFrame:
     """Add the matches of every pattern and the pieces around them, in columns named after MATCHES and PIECES.
 
-    A null text has no matches. Texts are only cut where something was found.
+    A null text has no matches. Texts are only cut where something was found, and only searched where they pass
+    ``needs`` of the kind, a cheap test that every text with a match passes.
     """
-    found = df.withColumns({f"{MATCHES}{kind}": F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for kind, p in patterns.items()})
+    def matches(kind: str, pattern: str) -> Column:
+        every = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+        return every if needs is None else F.when(needs(kind), every).otherwise(F.array().cast("array<string>"))
+
+    found = df.withColumns({f"{MATCHES}{kind}": matches(kind, p) for kind, p in patterns.items()})
     return found.withColumns({
         f"{PIECES}{kind}": F.when(F.size(f"{MATCHES}{kind}") > 0, F.split(F.col(text), p, -1)) for kind, p in patterns.items()})
 
