@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxframe.llm import jaccard
 
@@ -86,3 +87,32 @@ def test_combinations_meet_whenever_sets_may_link():
                 words = jaccard.bitmap_words(n, percent)
                 apart = sum(bin(int(x) & (2**64 - 1)).count("1") for x in jaccard.bitmap(a, words) ^ jaccard.bitmap(b, words))
                 assert apart <= len(a) + len(b) - 2 * both
+
+
+def test_places_of_rare_tokens_look_at_each_entry_once(spark):
+    """For every token all entries of its window were searched again: the square of the length of a text."""
+    rng = np.random.default_rng(4)
+    rows = [(n, [(int(p), int(rng.integers(99)), bool(rng.random() < 0.4)) for p in sorted(rng.choice(40, n % 20, replace=False))]) for n in range(60)]
+    df = spark.createDataFrame(rows, "n long, entries array<struct<pos:int,token:long,often:boolean>>")
+    out = df.select("n", jaccard.rare_places(F.col("entries")).alias("x"))
+    assert out._jdf.queryExecution().analyzed().toString().split("LogicalRDD")[0].count("entries#") == 1
+    for r in out.collect():
+        held = rows[r.n][1]
+        assert [tuple(x) for x in r.x] == [(token, pos - sum(o for p, _, o in held if p < pos)) for pos, token, often in held if not often]
+
+
+def test_shingles_keep_no_words_between_texts():
+    """Most words of a large corpus are new; keeping them took more time than hashing them, and memory in every worker."""
+    import xxhash
+
+    words = [b"a", b"bb", b"a", b"bb", b"a", b"c" * 40]
+    expected = set()
+    for low in range(len(words) - 1):
+        out = np.full(1, 2, np.uint64)
+        for word in words[low:low + 2]:
+            out = jaccard.mix(out * np.uint64(0x9E3779B97F4A7C15) + np.uint64(xxhash.xxh64_intdigest(word)))
+        expected.add(int(out.view(np.int64)[0]))
+    before = {name: len(x) for name, x in vars(jaccard).items() if isinstance(x, dict)}
+    assert jaccard.shingle_hashes(" ".join(w.decode() for w in words).upper(), 2).tolist() == sorted(expected)
+    assert jaccard.shingle_hashes("one", 3).size == 1 and jaccard.shingle_hashes(" ", 3).size == jaccard.shingle_hashes(None, 3).size == 0
+    assert before == {name: len(x) for name, x in vars(jaccard).items() if isinstance(x, dict)}
